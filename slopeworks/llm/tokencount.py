@@ -92,6 +92,7 @@ class _Lengths(dict):
             self.clear()
         if not self:
             self.update(frequent)
+            self[b""] = 1  # a space that no other character follows
         new = [w for w in words if w not in self]
         encoded = self.model.encode([w.decode("utf-8", "replace") for w in new], num_threads=1)
         self.update(zip(new, map(len, encoded), strict=True))

@@ -22,7 +22,12 @@ from slopeworks.llm.common import held_out, materialise, one_label, small_batche
 BUCKETS, DIM, NGRAMS = 1 << 17, 8, (3, 4, 5)
 #: Bound of the training sample: labelled texts of each class, drawn by hash.
 SAMPLE = 3000
-EPOCHS, BATCH, RATE, SEED = 10, 64, 0.05, 4
+#: At least so many passes and steps; mini-batch, learning rate, seed.
+EPOCHS, STEPS, BATCH, RATE, SEED = 10, 600, 64, 0.15, 4
+#: Sampled texts that must hold a subword before it is learned.
+LEAST_TEXTS = 3
+#: What the stored vectors are multiplied by: means over hundreds of subwords are small.
+GAIN = 30.0
 #: Words kept in a worker's cache.
 CACHE_WORDS = 200_000
 
@@ -84,42 +89,49 @@ def train(texts: list[bytes], labels: list[int]) -> SubwordModel:
     y_all = np.array(labels, dtype=np.int64)
     if len(set(labels)) < 2:
         return SubwordModel(np.zeros(2 * BUCKETS, np.float32), 0.0 if not labels else (2.0 if labels[0] else -2.0), 1.0)
+    found = [np.unique(buckets_of(sorted(words_of(t)))[1], return_counts=True) for t in texts]
+    texts_with = np.bincount(np.concatenate([ids for ids, _ in found]), minlength=2 * BUCKETS)
     bags = []
-    for t in texts:
-        ids, weight = np.unique(buckets_of(sorted(words_of(t)))[1], return_counts=True)
-        bags.append((ids.astype(np.int32), (weight / max(weight.sum(), 1)).astype(np.float32)))
+    for ids, weight in found:
+        # What few texts hold teaches those texts by heart: its vector stays zero.
+        often = texts_with[ids] >= LEAST_TEXTS
+        bags.append((ids[often].astype(np.int32), (weight[often] / max(weight.sum(), 1)).astype(np.float32)))
     rng = np.random.default_rng(SEED)
     shuffled = rng.permutation(len(texts))
     apart, learn = shuffled[: len(texts) // 5], shuffled[len(texts) // 5 :]
-    # Vectors are stored times a constant: means over hundreds of subwords are small.
-    gain = 30.0
-    vectors = rng.uniform(-1, 1, (2 * BUCKETS, DIM)).astype(np.float32) / DIM / 10
+    learn = learn if len(learn) else shuffled
+    gain = GAIN
+    vectors = rng.uniform(-1e-3, 1e-3, (2 * BUCKETS, DIM)).astype(np.float32)
+    vectors[texts_with < LEAST_TEXTS] = 0
     softmax, bias = rng.normal(0, 0.5, (DIM, 2)).astype(np.float32), np.zeros(2, np.float32)
     seen_v, seen_s = np.full(2 * BUCKETS, 1e-6, np.float32), np.full((DIM, 2), 1e-6, np.float32)
-    for epoch in range(EPOCHS):
-        learn = rng.permutation(learn)
-        rate = RATE * (1 - epoch / EPOCHS)
-        for at in range(0, len(learn), BATCH):
-            part = [k for k in learn[at : at + BATCH] if len(bags[k][0])]
-            if not part:
+    learn = np.array([k for k in learn if len(bags[k][0])] or [0])
+    # Mini-batches are dealt once; what sorts their subwords is kept from pass to pass.
+    batches = []
+    for at in range(0, len(learn), BATCH):
+        part = learn[at : at + BATCH]
+        ids, weight = np.concatenate([bags[k][0] for k in part]), np.concatenate([bags[k][1] for k in part])
+        long = [len(bags[k][0]) for k in part]
+        order = np.argsort(ids, kind="stable")
+        first = np.flatnonzero(np.r_[True, ids[order][1:] != ids[order][:-1]])
+        batches.append((y_all[part], ids, weight[:, None], np.cumsum([0, *long])[:-1], np.repeat(np.arange(len(part)), long)[order], weight[order, None], ids[order][first], first))
+    epochs = max(EPOCHS, -(-STEPS // len(batches)))
+    for epoch in range(epochs):
+        rate = RATE * (1 - epoch / epochs)
+        for k in rng.permutation(len(batches)):
+            y, ids, weight, starts, of, sorted_weight, own, first = batches[k]
+            if not len(ids):
                 continue
-            ids = np.concatenate([bags[k][0] for k in part])
-            weight = np.concatenate([bags[k][1] for k in part])
-            starts = np.cumsum([0] + [len(bags[k][0]) for k in part])[:-1]
-            mean = gain * np.add.reduceat(vectors[ids] * weight[:, None], starts, axis=0)
+            mean = gain * np.add.reduceat(vectors[ids] * weight, starts, axis=0)
             logits = mean @ softmax + bias
             p = np.exp(logits - logits.max(axis=1, keepdims=True))
             p /= p.sum(axis=1, keepdims=True)
-            p[np.arange(len(part)), y_all[part]] -= 1
-            grad_s, grad_m = mean.T @ p / len(part), p @ softmax.T
+            p[np.arange(len(y)), y] -= 1
+            grad_s, grad_m = mean.T @ p / len(y), p @ softmax.T
             bias -= rate * p.mean(axis=0)
             seen_s += grad_s**2
             softmax -= rate * grad_s / np.sqrt(seen_s)
-            order = np.argsort(ids, kind="stable")
-            ids = ids[order]
-            first = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
-            of = np.repeat(np.arange(len(part)), [len(bags[k][0]) for k in part])[order]
-            own, g = ids[first], np.add.reduceat(grad_m[of] * weight[order, None], first, axis=0)
+            g = np.add.reduceat(grad_m[of] * sorted_weight, first, axis=0)
             seen_v[own] += (g**2).mean(axis=1)
             vectors[own] -= rate * g / np.sqrt(seen_v[own])[:, None]
     value = gain * vectors @ (softmax[:, 1] - softmax[:, 0])
@@ -158,6 +170,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str) -> SubwordModel:
 
     counts = {r["label"]: r["count"] for r in open_rows.groupBy("label").count().collect()}
     row = sample.coalesce(1).mapInArrow(learn, "value binary, offset double, scale double").first()
+    if row is None:  # not one labelled text to learn from
+        return SubwordModel(np.zeros(2 * BUCKETS, np.float32), 0.0, 1.0)
     # The sample holds the classes more evenly than the labels do: back to the labels' odds.
     n, drawn = [counts.get(k, 0) for k in (0, 1)], [min(counts.get(k, 0), SAMPLE) for k in (0, 1)]
     odds = np.log(n[1] / n[0]) - np.log(drawn[1] / drawn[0]) if all(n) else 0.0

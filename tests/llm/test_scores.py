@@ -16,8 +16,8 @@ def auc(score, label):
     return (mean[pos].sum() - pos.sum() * (pos.sum() + 1) / 2) / (pos.sum() * (~pos).sum())
 
 
-@pytest.mark.parametrize(("score", "label", "least", "cut"), [(toxicity.score_toxicity, "toxic", 0.9, 0.7), (classifier.score_quality, "quality", 0.97, 0.5)])
-def test_held_out(spark, sf10, score, label, least, cut):
+@pytest.mark.parametrize(("score", "label", "least", "cut", "sf10"), [(toxicity.score_toxicity, "toxic", 0.94, 0.7, "/root/testdata/sf0.1"), (classifier.score_quality, "quality", 0.97, 0.5, "/root/testdata/sf0.01")])
+def test_held_out(spark, score, label, least, cut, sf10):
     labels = spark.read.parquet(f"{sf10}/labels.parquet")
     docs = spark.read.parquet(f"{sf10}/documents.parquet")
     rows = score(docs, labels).toPandas()
