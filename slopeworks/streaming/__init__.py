@@ -1,0 +1 @@
+"""Nothing: all inputs of the network and route jobs are complete files."""
