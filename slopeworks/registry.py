@@ -487,10 +487,14 @@ def geojson_route(spark, d):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from slopeworks import registry_routes  # noqa: F401
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from slopeworks import registry_routes  # noqa: F401
+
     return dict(SQL)
 
 

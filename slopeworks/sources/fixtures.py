@@ -95,6 +95,12 @@ select e.edge_id, k.k as seq, e.length_m * k.k / 6 as dist_m,
        a.elev + e.de * k.k / 6 + case when k.k in (0, 6) then 0 else (e.edge_id * k.k) % 3 end as elev_m
 from fx_edges e join fx_nodes a on a.node_id = e.u join fx_nodes b on b.node_id = e.v
 cross join (select distinct cast(l_linenumber - 1 as bigint) as k from lineitem where l_linenumber <= 7) k
+"""),
+    "fx_route_edges": (('fx_edges', 'fx_nodes'), """
+select a.gy as route_id, cast(row_number() over (partition by a.gy order by e.edge_id) - 1 as bigint) as arc_seq, e.edge_id, a.gx % 5 <> 0 as fwd, e.length_m,
+       case when a.gx % 12 >= 4 then concat('rue ', cast(a.gx - a.gx % 4 as varchar(9))) end as name,
+       case when a.gx % 2 = 0 then 'service' else 'residential' end as road_class
+from fx_edges e join fx_nodes a on a.node_id = e.u where e.edge_id % 2 = 0
 """),
     "fx_flags": ((), """
 select l_orderkey as seg_id, case when l_suppkey % 2 = 0 then 'is_bridge' else 'is_tunnel' end as flag,
