@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from slopeworks.functions import geo
+
 # What stands for a missing street name, by road class.
 CLASS_LABEL = {
     "cycleway": "piste cyclable", "service": "voie de service", "path": "chemin", "footway": "allée", "pedestrian": "voie piétonne", "track": "chemin",
@@ -62,3 +64,28 @@ def turn_word(delta: Column) -> Column:
 def wrap(delta: Column) -> Column:
     """An angle in [-180, 180)."""
     return F.pmod(delta + 180.0, F.lit(360.0)) - 180.0
+
+
+def step_notes(stats: DataFrame, threshold: float = 6.0) -> DataFrame:
+    """``stats`` (as from step_stats) with ``notes``: a climb of 40 m or more that reaches 2 %, and a descent of 40 m or more."""
+    whole, tenth = lambda c: F.format_string("%.0f", F.bround(c)), lambda c: F.format_string("%.1f", F.bround(c, 1))
+    steep = F.when(F.col("steep_m") > 0, F.concat(F.lit(", dont "), whole("steep_m"), F.lit(f" m à plus de {threshold:g} %"))).otherwise("")
+    climb = F.concat(F.lit("montée sur "), geo.distance_text(F.col("climb_m")), F.lit(" (+"), whole("gain_m"), F.lit(" m), pente max "), tenth("max_grade"), F.lit(" %"), steep)
+    descent = F.concat(F.lit("descente sur "), geo.distance_text(F.col("descent_m")), F.lit(" (pente min "), tenth("min_grade"), F.lit(" %)"))
+    return stats.withColumn("notes", F.array_compact(F.array(F.when((F.col("climb_m") >= 40) & (F.col("max_grade") >= 2.0), climb), F.when(F.col("descent_m") >= 40, descent))))
+
+
+def directions_text(steps: DataFrame, totals: DataFrame) -> DataFrame:
+    """(route_id, line_no, line): departure, every step (route_id, step_no, name, length_m, delta, notes), arrival with the route's totals.
+
+    Lines stay rows: a sheet is written by sorting on (route_id, line_no), not by gathering a route in one value.
+    """
+    mark = F.when(F.exists("notes", lambda n: n.startswith("montée")), F.lit("⛰ ")).otherwise("↘ ")
+    notes = F.when(F.size("notes") > 0, F.concat(F.lit("  \n    "), mark, F.array_join("notes", " ; "))).otherwise("")
+    instruction = F.when(F.col("delta").isNull(), F.lit("Partir sur")).otherwise(turn_word(F.col("delta")))
+    line = F.concat(F.format_string("%2d", "step_no"), F.lit(". "), instruction, F.lit(" **"), F.col("name"), F.lit("** — "), geo.distance_text(F.col("length_m")), notes)
+    body = steps.select("route_id", F.col("step_no").cast("long").alias("line_no"), line.alias("line"))
+    n = totals.join(steps.groupBy("route_id").agg((F.max("step_no") + 1).alias("_n")), "route_id")
+    minutes, gain = F.format_string("%.0f", F.bround(F.col("time_s") / 60)), F.format_string("%.0f", F.bround("gain_m"))
+    arrival = F.concat(F.format_string("%2d", "_n"), F.lit(". Arrivée — total "), geo.distance_text(F.col("length_m")), F.lit(", "), minutes, F.lit(" min, D+ "), gain, F.lit(" m"))
+    return body.unionByName(n.select("route_id", F.lit(0).cast("long").alias("line_no"), F.lit("Départ").alias("line"))).unionByName(n.select("route_id", F.col("_n").cast("long").alias("line_no"), arrival.alias("line")))

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from slopeworks.operators import directions, network, profile, routes
-from slopeworks.registry import GRADED, GROUPS, REQ, STEPS, _routes, query, r
+from slopeworks.operators import directions, layers, network, profile, routes
+from slopeworks.registry import GRADED, GROUPS, REQ, SPEED, STEPS, _routes, query, r
 from slopeworks.sources.fixtures import view
 
 ROUTE = """s0 as (select *, coalesce(sum(length_m) over (partition by route_id order by arc_seq rows between unbounded preceding and 1 preceding), 0.0) as at0 from fx_route_edges),
@@ -42,9 +42,12 @@ def edge_metrics(spark, d):
     return m.select("edge_id", *[r(F.col(c), 4).alias(c) for c in m.columns[1:]])
 
 
-@query(f"""with {ROUTE}, {ON_ROUTES}, {RA}, {NAMED}, sp as (select g.*, step_no, lead(g.dist_m) over w - g.dist_m as l, lead(g.elev_m) over w - g.elev_m as dh from g join st on st.route_id = g.track_id and g.dist_m between d_start and d_end window w as (partition by g.track_id, step_no order by g.seq))
-select track_id as route_id, step_no, round(max(grade), 4) as max_grade, round(min(grade), 4) as min_grade, round(coalesce(sum(l) filter (where grade > 2.0), 0.0), 4) as climb_m, round(coalesce(sum(dh) filter (where dh > 0), 0.0), 4) as gain_m,
-round(coalesce(sum(l) filter (where grade < -2.0), 0.0), 4) as descent_m, round(coalesce(sum(l) filter (where grade > 6.0), 0.0), 4) as steep_m from sp group by track_id, step_no""")
+STATS = """sq as (select g.*, step_no, lead(g.dist_m) over w - g.dist_m as l, lead(g.elev_m) over w - g.elev_m as dh from g join st on st.route_id = g.track_id and g.dist_m between d_start and d_end window w as (partition by g.track_id, step_no order by g.seq)),
+ss as (select track_id as route_id, step_no, round(max(grade), 4) as max_grade, round(min(grade), 4) as min_grade, round(coalesce(sum(l) filter (where grade > 2.0), 0.0), 4) as climb_m, round(coalesce(sum(dh) filter (where dh > 0), 0.0), 4) as gain_m,
+round(coalesce(sum(l) filter (where grade < -2.0), 0.0), 4) as descent_m, round(coalesce(sum(l) filter (where grade > 6.0), 0.0), 4) as steep_m from sq group by track_id, step_no)"""
+
+
+@query(f"with {ROUTE}, {ON_ROUTES}, {RA}, {NAMED}, {STATS} select * from ss")
 def step_stats(spark, d):
     s = routes.step_stats(profile.windowed_grades(_points(spark, d)), _steps(spark, d))
     return s.select("route_id", "step_no", *[r(F.col(c), 4).alias(c) for c in s.columns[2:]])
@@ -53,11 +56,14 @@ def step_stats(spark, d):
 BEARING = "(degrees(atan2(sin(radians({1}.lon - {0}.lon)) * cos(radians({1}.lat)), cos(radians({0}.lat)) * sin(radians({1}.lat)) - sin(radians({0}.lat)) * cos(radians({1}.lat)) * cos(radians({1}.lon - {0}.lon)))) + 360.0) % 360.0"
 
 
-@query(f"""with {ROUTE}, {RA}, {NAMED}, sp as (select ap.track_id, ap.seq, ap.dist_m, step_no, min(ap.dist_m) over w as d0, max(ap.dist_m) over w as d1, min(ap.seq) over w as i0, max(ap.seq) over w as i1 from ap join st on st.route_id = ap.track_id and ap.dist_m between d_start and d_end window w as (partition by ap.track_id, step_no)),
+TURNS = f"""sp as (select ap.track_id, ap.seq, ap.dist_m, step_no, min(ap.dist_m) over w as d0, max(ap.dist_m) over w as d1, min(ap.seq) over w as i0, max(ap.seq) over w as i1 from ap join st on st.route_id = ap.track_id and ap.dist_m between d_start and d_end window w as (partition by ap.track_id, step_no)),
 ix as (select track_id, step_no, min(i0) as i0, max(i1) as i1, greatest(max(seq) filter (where dist_m - d0 < 30.0), min(i0) + 1) as k, coalesce(least(min(seq) filter (where seq > i0 and d1 - dist_m < 30.0), max(i1) - 1), max(i1)) as k2 from sp group by track_id, step_no),
 az as (select ix.track_id as route_id, step_no, {BEARING.format('a', 'b')} as entry, case when i1 > k2 then {BEARING.format('c', 'z')} end as out from ix join ap a on a.track_id = ix.track_id and a.seq = i0 left join ap b on b.track_id = ix.track_id and b.seq = k join ap c on c.track_id = ix.track_id and c.seq = k2 join ap z on z.track_id = ix.track_id and z.seq = i1),
-az2 as (select route_id, step_no, entry, coalesce(out, entry) as out from az)
-select route_id, step_no, round(entry, 4) as entry, round(out, 4) as exit, round((entry - lag(out) over (partition by route_id order by step_no) + 540.0) % 360.0 - 180.0, 4) as delta from az2""")
+az2 as (select route_id, step_no, entry, coalesce(out, entry) as out from az),
+tn as (select route_id, step_no, round(entry, 4) as entry, round(out, 4) as exit, round((entry - lag(out) over (partition by route_id order by step_no) + 540.0) % 360.0 - 180.0, 4) as delta from az2)"""
+
+
+@query(f"with {ROUTE}, {RA}, {NAMED}, {TURNS} select * from tn")
 def turn_bearings(spark, d):
     t = routes.turn_bearings(_points(spark, d), _steps(spark, d))
     return t.select("route_id", "step_no", *[r(F.col(c), 4).alias(c) for c in ("entry", "exit", "delta")])
@@ -93,7 +99,7 @@ def tier_grid(spark, d):
 
 
 @query("""with t as (select src % 5 as req_id, cast(req_id % 4 as bigint) * 10 as tier, 1000.0::double + dst as length_m from fx_requests), b as (select *, coalesce(max(case when tier <= 0 then length_m end) over (partition by req_id), min(length_m) over (partition by req_id)) as reference_m from t)
-select req_id, tier, length_m, reference_m, round((length_m / reference_m - 1) * 100, 6) as detour_pct, case when tier <= 0 then '+0 % (trajet le plus court)' else '+' || tier || ' % de détour' end as label, 'variante_+' || lpad(cast(tier as varchar), 2, '0') || 'pct' as slug from b""")
+select req_id, tier, length_m, reference_m, round((length_m / reference_m - 1) * 100, 6) as detour_pct, case when tier <= 0 then '+0 % (trajet le plus court)' else '+' || tier || ' % de détour' end as label, printf('variante_+%02dpct', tier) as slug from b""")
 def detour_pct(spark, d):
     t = view(spark, d, "fx_requests").select((F.col("src") % 5).alias("req_id"), (F.col("req_id") % 4 * 10).cast("long").alias("tier"), (F.lit(1000.0) + F.col("dst")).alias("length_m"))
     return routes.detour_pct(t).withColumns({"detour_pct": r(F.col("detour_pct")), "label": routes.tier_label(F.col("tier")), "slug": routes.tier_slug(F.col("tier"))})
@@ -106,3 +112,44 @@ select line_id, round(pos_deg, 7) as pos_deg, round(lon, 7) as lon, round(lat, 7
 def line_substring(spark, d):
     piece = routes.line_substring(view(spark, d, "fx_lines"), F.lit(0.2), F.lit(0.7))
     return piece.select("line_id", *[r(F.col(c), 7).alias(c) for c in ("pos_deg", "lon", "lat")])
+
+
+def _far(c: str) -> str:
+    return f"case when {c} >= 1000 then printf('%.1f km', {c} / 1000) else printf('%.0f m', {c}) end"
+
+
+NOTES = f"""nt as (select *, list_filter([case when climb_m >= 40 and max_grade >= 2.0 then 'montée sur ' || {_far('climb_m')} || printf(' (+%.0f m), pente max %.1f %%', gain_m, round_even(max_grade, 1)) || case when steep_m > 0 then printf(', dont %.0f m à plus de 6 %%', steep_m) else '' end end,
+  case when descent_m >= 40 then 'descente sur ' || {_far('descent_m')} || printf(' (pente min %.1f %%)', round_even(min_grade, 1)) end], lambda z: z is not null) as notes from ss)"""
+
+
+@query(f"with {ROUTE}, {ON_ROUTES}, {RA}, {NAMED}, {STATS}, {NOTES} select route_id, step_no, notes from nt")
+def step_notes(spark, d):
+    return directions.step_notes(step_stats(spark, d)).select("route_id", "step_no", "notes")
+
+
+@query(f"""with {ROUTE}, {ON_ROUTES}, {RA}, {NAMED}, {STATS}, {NOTES}, {TURNS}, {SPEED},
+tt as (select track_id as route_id, max(dist_m) - min(dist_m) as length_m, coalesce(sum(greatest(dh, 0.0)), 0.0) as gain_m, coalesce(sum(l / greatest(3.5 / 3.6, least(32 / 3.6, speed))), 0.0) as time_s from v group by track_id),
+ln as (select st.*, nt.notes, tn.delta, case when delta > 0 then 'droite' else 'gauche' end as side from st join nt on nt.route_id = st.route_id and nt.step_no = st.step_no join tn on tn.route_id = st.route_id and tn.step_no = st.step_no),
+ct as (select tt.*, k.n from tt join (select route_id, max(step_no) + 1 as n from ln group by route_id) k on k.route_id = tt.route_id)
+select route_id, step_no as line_no, printf('%2d', step_no) || '. ' || case when delta is null then 'Partir sur' when abs(delta) < 25 then 'Continuer tout droit sur' when abs(delta) < 60 then 'Légèrement à ' || side || ' sur' when abs(delta) < 135 then 'Tourner à ' || side || ' sur'
+  else 'Faire demi-tour (virage serré à ' || side || ') sur' end || ' **' || name || '** — ' || {_far('length_m')} || case when len(notes) = 0 then '' else '  ' || chr(10) || '    ' || case when starts_with(notes[1], 'montée') then '⛰ ' else '↘ ' end || array_to_string(notes, ' ; ') end as line from ln
+union all select route_id, 0, 'Départ' from ct
+union all select route_id, n, printf('%2d', n) || '. Arrivée — total ' || {_far('length_m')} || printf(', %.0f min, D+ %.0f m', time_s / 60, gain_m) from ct""")
+def directions_text(spark, d):
+    steps = _steps(spark, d).join(step_notes(spark, d), ["route_id", "step_no"]).join(turn_bearings(spark, d), ["route_id", "step_no"])
+    totals = profile.track_metrics(_points(spark, d)).withColumnRenamed("track_id", "route_id")
+    return directions.directions_text(steps, totals)
+
+
+@query("select line_id, seq from fx_lines where lon > 2.39 and lon < 2.41 and lat > 48.8201 and lat < 48.8401 qualify count(*) over (partition by line_id) >= 2")
+def points_in_extent(spark, d):
+    return layers.points_in_extent(view(spark, d, "fx_lines"), 2.39, 2.41, 48.8201, 48.8401).select("line_id", "seq")
+
+
+@query("""with n as (select line_id, lon, lat, lead(lon) over w - lon as dx, lead(lat) over w - lat as dy from fx_lines window w as (partition by line_id order by seq)),
+k as (select line_id, greatest(0.0, case when dx <> 0 then least((2.3905 - lon) / dx, (2.3907 - lon) / dx) else 0 end, case when dy <> 0 then least((48.82 - lat) / dy, (48.83005 - lat) / dy) else 0 end) as t0,
+  least(1.0, case when dx <> 0 then greatest((2.3905 - lon) / dx, (2.3907 - lon) / dx) else 1 end, case when dy <> 0 then greatest((48.82 - lat) / dy, (48.83005 - lat) / dy) else 1 end) as t1,
+  (dx = 0 and lon not between 2.3905 and 2.3907) or (dy = 0 and lat not between 48.82 and 48.83005) as beside from n where dx is not null)
+select distinct line_id from k where not beside and t0 <= t1""")
+def line_intersects_box(spark, d):
+    return layers.lines_in_box(view(spark, d, "fx_lines"), 2.3905, 2.3907, 48.82, 48.83005)
