@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from slopeworks.functions import geo
 from slopeworks.operators import directions, profile
 
+#: Length of the stretches by which samples and steps are joined.
+STRETCH_M = 250.0
+
 
 def assemble_points(arcs: DataFrame, points: DataFrame) -> DataFrame:
     """Samples (track_id, seq, arc_seq, dist_m, elev_m, lon, lat) of routes (route_id, arc_seq, edge_id, fwd, length_m).
@@ -36,9 +39,14 @@ def edge_metrics(graded: DataFrame, threshold: float = 6.0) -> DataFrame:
 
 
 def step_points(points: DataFrame, steps: DataFrame) -> DataFrame:
-    """Samples of every step, both ends included; one that two steps share appears in both."""
-    s = steps.select(F.col("route_id").alias("_r"), "step_no", "name", "d_start", "d_end", "length_m")
-    return points.join(s, (F.col("track_id") == F.col("_r")) & F.col("dist_m").between(F.col("d_start"), F.col("d_end"))).drop("_r")
+    """Samples of every step, both ends included; one that two steps share appears in both.
+
+    Samples and steps meet by stretches of ``STRETCH_M``, so a long route is not a pairing of all its samples with all its steps.
+    """
+    stretch = lambda c: F.floor(F.col(c) / STRETCH_M)
+    s = steps.select(F.col("route_id").alias("_r"), "step_no", "name", "d_start", "d_end", "length_m", F.explode(F.sequence(stretch("d_start"), stretch("d_end"))).alias("_s"))
+    same = (F.col("track_id") == F.col("_r")) & (stretch("dist_m") == F.col("_s"))
+    return points.join(s, same & F.col("dist_m").between(F.col("d_start"), F.col("d_end"))).drop("_r", "_s")
 
 
 def step_stats(graded: DataFrame, steps: DataFrame, climb: float = 2.0, steep: float = 6.0) -> DataFrame:
