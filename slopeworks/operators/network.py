@@ -5,9 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from slopeworks.sources.geometry import is_route_line
+
 # Road classes open to bicycles, with their preference factor.
 ROAD_CLASSES = {
     "cycleway": 1.0, "residential": 1.0, "living_street": 1.0, "tertiary": 1.0, "unclassified": 1.0, "secondary": 1.05, "primary": 1.1,
@@ -48,6 +50,11 @@ def flag_covers(flags: Column, name: str, a: Column, b: Column) -> Column:
     return F.exists(flags, lambda f: (f["flag"] == name) & (f["from_at"].isNull() | ((f["from_at"] <= a + 1e-9) & (f["to_at"] >= b - 1e-9))))
 
 
+def valid_geometry(segments: DataFrame, geometry: Column, connectors: Column) -> DataFrame:
+    """Segments whose decoded ``geometry`` is a line of some length and that have two connectors (a count) or more."""
+    return segments.where(is_route_line(geometry) & (connectors >= 2))
+
+
 def connector_pairs(connectors: DataFrame) -> DataFrame:
     """Consecutive connectors of each segment by position, then id; pairs that do not advance go."""
     own = F.array_sort(F.collect_list(F.struct("at", "connector_id")))
@@ -94,14 +101,19 @@ def nearest_node(points: DataFrame, nodes: DataFrame, cell: float = 0.002, round
     return done.unionByName(open_.select("pt_id", F.lit(None).cast("long").alias("node_id"), F.lit(None).cast("double").alias("d2")))
 
 
-def _written(df: DataFrame) -> DataFrame:
-    """The table written to the folder all executors share, and read again: each round starts from a file."""
-    spark = df.sparkSession
+def scratch(spark: SparkSession) -> str:
+    """The folder all executors share; one of our own only where the session names none."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
         root = tempfile.mkdtemp(prefix="slopeworks-")
         spark.sparkContext.setCheckpointDir(root)
-    path = f"{root.rstrip('/')}/paths-{uuid.uuid4().hex}"
+    return root.rstrip("/")
+
+
+def _written(df: DataFrame) -> DataFrame:
+    """The table written to the shared folder, and read again: each round starts from a file."""
+    spark = df.sparkSession
+    path = f"{scratch(spark)}/paths-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
