@@ -110,7 +110,7 @@ def scratch(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def _written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame) -> DataFrame:
     """The table written to the shared folder, and read again: each round starts from a file."""
     spark = df.sparkSession
     path = f"{scratch(spark)}/paths-{uuid.uuid4().hex}"
@@ -125,7 +125,7 @@ def shortest_paths(arcs: DataFrame, requests: DataFrame, cost: str = "length_m",
     value per node survives, and a value above the best at the target goes no further.
     """
     step = arcs.select(F.col("u"), F.col("v"), F.col(cost).alias("w"))
-    state = _written(requests.select("req_id", F.col("src").alias("node"), F.lit(0.0).alias("d"), F.lit(0).cast("long").alias("h"), F.lit(True).alias("fresh")))
+    state = written(requests.select("req_id", F.col("src").alias("node"), F.lit(0.0).alias("d"), F.lit(0).cast("long").alias("h"), F.lit(True).alias("fresh")))
     for _ in range(most_rounds):
         goal = requests.join(state, (requests["req_id"] == state["req_id"]) & (F.col("dst") == F.col("node")), "left").select(requests["req_id"], F.col("d").alias("goal"))
         moved = (
@@ -136,7 +136,7 @@ def shortest_paths(arcs: DataFrame, requests: DataFrame, cost: str = "length_m",
         )
         # The smallest (cost, hops) wins; an old value wins ties and stops being fresh.
         best = state.withColumn("fresh", F.lit(False)).unionByName(moved).groupBy("req_id", "node").agg(F.min(F.struct("d", "h", "fresh")).alias("s"))
-        state = _written(best.select("req_id", "node", "s.*"))
+        state = written(best.select("req_id", "node", "s.*"))
         if state.where("fresh").isEmpty():
             break
     return requests.join(state, (requests["req_id"] == state["req_id"]) & (F.col("dst") == F.col("node")), "left").select(requests["req_id"], F.col("d").alias("cost"), F.col("h").alias("hops"))

@@ -1,0 +1,82 @@
+"""Binary geometries and layer files by hand-made rows."""
+
+import struct
+
+from pyspark.sql import functions as F
+
+from slopeworks.operators import layers
+from slopeworks.sources import geometry
+from slopeworks.sources import layers as files
+
+
+def line(order, *xy, code=2):
+    flat = [c for p in xy for c in p]
+    return struct.pack(order + "BI", int(order == "<"), code) + struct.pack(order + "I", len(xy)) + struct.pack(f"{order}{len(flat)}d", *flat)
+
+
+def polygon(*rings):
+    return struct.pack("<BII", 1, 3, len(rings)) + b"".join(struct.pack("<I", len(r)) + b"".join(struct.pack("<2d", *p) for p in r) for r in rings)
+
+
+SQUARE, HOLE = [(0, 0), (4, 0), (4, 4), (0, 0)], [(1, 1), (2, 1), (2, 2), (1, 1)]
+ROWS = [
+    (1, line("<", (0, 1), (2, 3))), (2, line(">", (0, 1), (2, 3))), (3, line("<", (0, 1, 9), (2, 3, 9), code=1002)), (4, polygon(SQUARE, HOLE)),
+    (5, struct.pack("<BII", 1, 5, 2) + line("<", (0, 0), (1, 1)) + line(">", (5, 5), (6, 6), (7, 7))), (6, struct.pack("<BII", 1, 6, 2) + polygon(SQUARE) + polygon(HOLE)),
+    (7, struct.pack("<BI2d", 1, 1, 3, 4)), (8, None), (9, b""), (10, b"\x01\x63\x00\x00\x00"), (11, line("<", (0, 1), (2, 3))[:-3]), (12, line("<", (1, 1), (1, 1))), (13, line("<")),
+]
+
+
+def decoded(spark):
+    return spark.createDataFrame(ROWS, "id long, geometry binary").withColumn("g", geometry.wkb_decode(F.col("geometry")))
+
+
+def test_kinds_parts_and_unreadable(spark):
+    got = {x.id: (x.g.kind, None if x.g.parts is None else [list(zip(p.xs, p.ys)) for p in x.g.parts]) for x in decoded(spark).collect()}
+    two = [(0.0, 1.0), (2.0, 3.0)]
+    assert got[1] == got[2] == got[3] == ("LineString", [two])
+    assert got[4] == ("Polygon", [[(float(a), float(b)) for a, b in SQUARE]])
+    assert got[5][0] == "MultiLineString" and [len(p) for p in got[5][1]] == [2, 3]
+    assert got[6][0] == "MultiPolygon" and [len(p) for p in got[6][1]] == [4, 4]
+    assert got[7] == ("Point", [[(3.0, 4.0)]])
+    assert all(got[k] == (None, None) for k in (8, 9, 10, 11))
+    assert got[13] == ("LineString", [[]])
+
+
+def test_round_trip(spark):
+    again = decoded(spark).where("g.kind is not null").withColumn("h", geometry.wkb_decode(geometry.wkb_encode(F.col("g.kind"), F.col("g.parts"))))
+    assert again.where("g = h").count() == 9
+    assert decoded(spark).select(geometry.wkb_encode(F.col("g.kind"), F.col("g.parts")).alias("b")).where("b is null").count() == 4
+
+
+def test_route_lines(spark):
+    kept = decoded(spark).where(geometry.is_route_line(F.col("g")))
+    assert sorted(x.id for x in kept.collect()) == [1, 2, 3]
+
+
+def test_layers_are_written_once_and_read_by_box(spark, tmp_path):
+    rows = [(i, "transportation" if i % 2 else "base", "segment" if i % 2 else "water", i * 1.0, i + 0.5, 0.0, 1.0) for i in range(10)]
+    df = spark.createDataFrame(rows, "id long, theme string, type string, xmin double, xmax double, ymin double, ymax double")
+    path = str(tmp_path / "cache")
+    assert files.layer_cache(df, path).count() == 10
+    assert files.layer_cache(df.limit(1), path).count() == 10
+    root = str(tmp_path / "layers")
+    df.where("type = 'water'").withColumn("subtype", F.lit("river")).write.partitionBy("theme", "type").parquet(root)
+    df.where("type = 'segment'").write.mode("append").partitionBy("theme", "type").parquet(root)
+    found = files.scan_layers(spark, root, (2.5, 5.0, 0.0, 0.0))
+    assert sorted(x.id for x in found["segment"].collect()) == [3, 5] and sorted(x.id for x in found["water"].collect()) == [2, 4]
+    assert found["building"].count() == 0 and "height" in found["building"].columns and found["water"].where("subtype = 'river'").count() == 2
+    plan = found["water"]._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(theme" in plan and "LessThanOrEqual(xmin,5.0)" in plan
+
+
+def test_empty_table_keeps_its_columns(spark):
+    got = files.union_promoted([spark.createDataFrame([(1,)], "a long"), spark.createDataFrame([], "a long, b string")])
+    assert got.columns == ["a", "b"] and got.collect() == [(1, None)]
+
+
+def test_water_and_ways(spark):
+    rows = [("Polygon", "lake"), ("LineString", "river"), ("LineString", "lake"), ("MultiPolygon", None), ("Point", "river"), (None, "river")]
+    got = spark.createDataFrame(rows, "k string, s string").select(layers.classify_water(F.col("k"), F.col("s")).alias("c")).collect()
+    assert [x.c for x in got] == ["water area", "water line", None, "water area", None, None]
+    ways = spark.createDataFrame([("rail", "standard_gauge", "a"), ("road", "primary", "b"), ("road", "service", "c"), ("road", "x", "d"), ("road", "primary", "")], "subtype string, class string, name string")
+    assert [(x.style, x.draw_order, x.label) for x in layers.classify_ways(ways).collect()] == [("rail", None, None), ("road primary", 7, "b"), ("road service", 3, None), ("road primary", 7, None)]
