@@ -487,13 +487,13 @@ def geojson_route(spark, d):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from slopeworks import registry_layers, registry_routes, registry_search  # noqa: F401
+    from slopeworks import registry_layers, registry_reports, registry_routes, registry_search  # noqa: F401
 
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from slopeworks import registry_layers, registry_routes, registry_search  # noqa: F401
+    from slopeworks import registry_layers, registry_reports, registry_routes, registry_search  # noqa: F401
 
     return dict(SQL)
 
