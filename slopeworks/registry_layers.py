@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import hashlib
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from slopeworks.functions import geo
-from slopeworks.operators import layers, network
+from slopeworks.operators import layers, network, streets
 from slopeworks.registry import query, r
 from slopeworks.sources import geometry
 from slopeworks.sources import layers as files
@@ -144,3 +145,18 @@ def scan_bbox_multi(spark, d):
     found = files.scan_layers(spark, root, (2.39, 2.41, 48.8201, 48.8401))
     typed = [f.select(F.lit(k).alias("type"), "id", "subtype", "class", *(["height"] if "height" in f.columns else [])) for k, f in found.items()]
     return files.union_promoted(typed).withColumn("height", F.col("height").cast("double"))
+
+
+@query("""with p as (select line_id, seq, line_id * 100 + seq as piece_id, lon, lat, lead(lon) over w as lon2, lead(lat) over w as lat2 from fx_lines window w as (partition by line_id order by seq)),
+k as (select *, row_number() over (partition by line_id order by seq) - seq as isle from p where lon2 is not null and seq % 10 <> 9)
+select 'street ' || (line_id % 7) as name, min(piece_id) as line_id, arg_min(case when piece_id % 3 = 0 then 'residential' else 'service' end, piece_id) as class, count(*) as pieces, count(*) + 1 as vertices, round(sum(sqrt(pow(lon2 - lon, 2) + pow(lat2 - lat, 2))), 9) as length_deg from k group by line_id, isle""")
+def street_merge(spark, d):
+    w = Window.partitionBy("line_id").orderBy("seq")
+    p = view(spark, d, "fx_lines").withColumns({"lon2": F.lead("lon").over(w), "lat2": F.lead("lat").over(w), "piece_id": F.col("line_id") * 100 + F.col("seq")}).where("lon2 is not null and seq % 10 <> 9")
+    turned = F.col("piece_id") % 2 == 0  # pieces lie either way round
+    pair = lambda a, b: F.when(turned, F.array(a, b)).otherwise(F.array(b, a))
+    cls = F.when(F.col("piece_id") % 3 == 0, "residential").otherwise("service")
+    n = streets.street_merge(p.select("piece_id", F.concat(F.lit("street "), F.col("line_id") % 7).alias("name"), cls.alias("class"), pair("lon", "lon2").alias("xs"), pair("lat", "lat2").alias("ys")))
+    step = lambda i: F.sqrt(F.pow(F.get("xs", i) - F.get("xs", i - 1), 2) + F.pow(F.get("ys", i) - F.get("ys", i - 1), 2))
+    length = F.aggregate(F.sequence(F.lit(1), F.size("xs") - 1), F.lit(0.0), lambda a, i: a + step(i))
+    return n.select("name", "line_id", "class", "pieces", F.size("xs").cast("long").alias("vertices"), r(length, 9).alias("length_deg"))
