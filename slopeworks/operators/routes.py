@@ -109,13 +109,15 @@ def tier_slug(tier: Column) -> Column:
 
 
 def line_substring(points: DataFrame, a: Column, b: Column) -> DataFrame:
-    """The piece of every line (line_id, seq, lon, lat) between positions ``a`` and ``b`` of its planar length: (line_id, pos_deg, lon, lat)."""
+    """The piece of every line (line_id, seq, lon, lat) between positions ``a`` and ``b`` of its planar length: (line_id, pos_deg, lon, lat). A line without length has none."""
     by = Window.partitionBy("line_id").orderBy("seq")
     n = points.withColumns({"_lon": F.lead("lon").over(by), "_lat": F.lead("lat").over(by)})
     n = n.withColumn("_l", F.coalesce(F.sqrt(F.pow(F.col("_lon") - F.col("lon"), 2) + F.pow(F.col("_lat") - F.col("lat"), 2)), F.lit(0.0)))
-    n = n.withColumn("_s", F.coalesce(F.sum("_l").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))).withColumn("_t", F.sum("_l").over(Window.partitionBy("line_id")))
-    on = lambda x: F.when((x >= F.col("_s")) & (x < F.col("_s") + F.col("_l")), x)
-    inner = F.when((F.col("_s") > a * F.col("_t")) & (F.col("_s") < b * F.col("_t")), F.col("_s"))
+    n = n.withColumn("_s", F.coalesce(F.sum("_l").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))).withColumn("_t", F.sum("_l").over(Window.partitionBy("line_id"))).where("_t > 0")
+    # A cut lies on the stretch it falls in; at the line's end it is the last vertex, which has no stretch.
+    on = lambda x: F.when((x >= F.col("_s")) & ((x < F.col("_s") + F.col("_l")) | F.col("_lon").isNull()), x)
+    slack = 1e-12 * F.col("_t")
+    inner = F.when((F.col("_s") > a * F.col("_t") + slack) & (F.col("_s") < b * F.col("_t") - slack), F.col("_s"))
     cut = n.withColumn("pos_deg", F.explode(F.array_compact(F.array(inner, on(a * F.col("_t")), on(b * F.col("_t")))))).withColumn("_f", F.when(F.col("_l") > 0, (F.col("pos_deg") - F.col("_s")) / F.col("_l")).otherwise(0.0))
     point = lambda c: F.col(c) + F.coalesce((F.col(f"_{c}") - F.col(c)) * F.col("_f"), F.lit(0.0))
     return cut.select("line_id", "pos_deg", point("lon").alias("plon"), point("lat").alias("plat")).withColumnsRenamed({"plon": "lon", "plat": "lat"})

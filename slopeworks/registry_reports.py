@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from slopeworks.jobs import build_network
 from slopeworks.operators import directions, profile, reports, routes, search
-from slopeworks.registry import GRADED, RUNS, SPEED, SQL, query
+from slopeworks.registry import GRADED, RUNS, SPEED, SQL, _access, query
 from slopeworks.registry_routes import directions_text
 from slopeworks.registry_search import _networks, _points, _rounded
 from slopeworks.sources.fixtures import view
@@ -88,3 +89,23 @@ def request_reports(spark, d):
     found = search.solve_paths(_networks(spark, d, [100]), search.Plan((0, 10, 50)))
     solved = reports.tiers_of(search.describe(found, _points(spark, d), [100]))
     return _rounded(reports.route_report(solved))
+
+
+def _built(spark, d):
+    """Segments as gently bent lines over the tiles' area, one vertex per connector and one past it."""
+    c = view(spark, d, "fx_connectors")
+    x, y = 2.38 + F.col("seg_id") % 97 * 0.004, 48.8 + F.col("seg_id") % 89 * 0.002
+    ends = F.explode(F.array(*[F.struct(F.lit(k).alias("seq"), F.lit(k / 2).alias("t")) for k in range(3)]))
+    vertices = c.select("seg_id").distinct().withColumn("e", ends).select("seg_id", "e.seq", (x + F.col("e.t") * 0.002).alias("lon"), (y + F.col("e.t") * F.col("e.t") * 0.001).alias("lat"))
+    return build_network.build_network(view(spark, d, "fx_segments"), vertices, c, _access(spark, d), view(spark, d, "fx_flags"), view(spark, d, "fx_tiles"), side=8)
+
+
+@query()
+def network_edges(spark, d):
+    """Edges of the network job with their measures."""
+    return _rounded(_built(spark, d)["edges"])
+
+
+@query()
+def network_nodes(spark, d):
+    return _rounded(_built(spark, d)["nodes"])
