@@ -86,6 +86,6 @@ def directions_text(steps: DataFrame, totals: DataFrame) -> DataFrame:
     line = F.concat(F.format_string("%2d", "step_no"), F.lit(". "), instruction, F.lit(" **"), F.col("name"), F.lit("** — "), geo.distance_text(F.col("length_m")), notes)
     body = steps.select("route_id", F.col("step_no").cast("long").alias("line_no"), line.alias("line"))
     n = totals.join(steps.groupBy("route_id").agg((F.max("step_no") + 1).alias("_n")), "route_id")
-    minutes, gain = F.format_string("%.0f", F.bround(F.col("time_s") / 60)), F.format_string("%.0f", F.bround("gain_m"))
+    minutes, gain = F.format_string("%.0f", F.bround(F.col("time_s") / 60)), F.format_string("%.0f", F.bround(F.round("gain_m", 6)))  # whatever the order of the sum
     arrival = F.concat(F.format_string("%2d", "_n"), F.lit(". Arrivée — total "), geo.distance_text(F.col("length_m")), F.lit(", "), minutes, F.lit(" min, D+ "), gain, F.lit(" m"))
     return body.unionByName(n.select("route_id", F.lit(0).cast("long").alias("line_no"), F.lit("Départ").alias("line"))).unionByName(n.select("route_id", F.col("_n").cast("long").alias("line_no"), arrival.alias("line")))
