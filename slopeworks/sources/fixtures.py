@@ -30,7 +30,6 @@ where (a.node_id * 37 + a.gy * 3) % 10 < 9
     "fx_requests": ((), """
 select c_custkey as req_id, (c_custkey * 97) % n as src, (c_custkey * 389 + 31) % n as dst
 from customer cross join (select count(*) as n from part) t
-where c_custkey < 20
 """),
     "fx_points": ((), """
 select user_id as track_id,
