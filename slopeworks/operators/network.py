@@ -80,25 +80,35 @@ def cheapest_parallel(arcs: DataFrame, cost: str = "length_m") -> DataFrame:
     return arcs.groupBy("u", "v").agg(best.alias("a")).select("u", "v", "a.*")
 
 
-def nearest_node(points: DataFrame, nodes: DataFrame, cell: float = 0.002, rounds: int = 6) -> DataFrame:
+def nearest_node(points: DataFrame, nodes: DataFrame, cell: float = 0.002) -> DataFrame:
     """The nearest node (node_id, lon, lat) per point (pt_id, lon, lat) in degrees, longitudes scaled by the point's cosine.
 
     Cells of doubling size; a point is settled once its best is no farther than the nearest
-    edge of its neighbourhood. What is open after the last round is reported with a null node.
+    edge of its neighbourhood, and all are once a cell is wider than points and nodes together.
+    What is open is written each round. Only points without a finite place, or without any
+    node, have a null node.
     """
-    done, open_ = None, points
+    known = F.coalesce((F.abs("lon") < float("inf")) & (F.abs("lat") < float("inf")), F.lit(False))
+    nodes, open_ = nodes.where(known), points.where(known)
+    id_type = nodes.schema["node_id"].dataType
+    done = points.where(~known).select("pt_id", F.lit(None).cast(id_type).alias("node_id"), F.lit(None).cast("double").alias("d2"))
+    span = lambda c: F.max(c) - F.min(c)
+    reach = nodes.select("lon", "lat").unionByName(open_.select("lon", "lat")).agg(F.greatest(span("lon"), span("lat"))).first()[0]
     scale = F.cos(F.radians(F.col("lat")))
-    for _ in range(rounds):
+    while reach is not None:
         around = F.explode(F.flatten(F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda i: F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda j: F.struct((F.floor(F.col("lon") / cell) + i).alias("cx"), (F.floor(F.col("lat") / cell) + j).alias("cy"))))))
         asked = open_.withColumn("c", around).select("*", "c.*").drop("c")
         filed = nodes.select("node_id", F.col("lon").alias("nlon"), F.col("lat").alias("nlat"), F.floor(F.col("lon") / cell).alias("cx"), F.floor(F.col("lat") / cell).alias("cy"))
         d2 = F.pow((F.col("nlon") - F.col("lon")) * scale, 2) + F.pow(F.col("nlat") - F.col("lat"), 2)
         best = asked.join(filed, ["cx", "cy"], "left").groupBy("pt_id", "lon", "lat").agg(F.min(F.when(F.col("node_id").isNotNull(), F.struct(d2.alias("d2"), "node_id"))).alias("b"))
-        sure = F.col("b").isNotNull() & (F.col("b.d2") <= F.pow(cell * scale, 2))
-        settled = best.where(sure).select("pt_id", F.col("b.node_id").alias("node_id"), F.col("b.d2").alias("d2"))
-        done = settled if done is None else done.unionByName(settled)
-        open_, cell = best.where(~F.coalesce(sure, F.lit(False))).select("pt_id", "lon", "lat"), cell * 2
-    return done.unionByName(open_.select("pt_id", F.lit(None).cast("long").alias("node_id"), F.lit(None).cast("double").alias("d2")))
+        sure = F.lit(True) if cell > reach else F.coalesce(F.col("b.d2") <= F.pow(cell * scale, 2), F.lit(False))
+        judged = written(best.withColumn("sure", sure))
+        done = done.unionByName(judged.where("sure").select("pt_id", F.col("b.node_id").alias("node_id"), F.col("b.d2").alias("d2")))
+        open_ = judged.where("not sure").select("pt_id", "lon", "lat")
+        if open_.isEmpty():
+            break
+        cell *= 2
+    return done
 
 
 def scratch(spark: SparkSession) -> str:
