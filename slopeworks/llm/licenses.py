@@ -1,13 +1,14 @@
 """License scans by conditional compression.
 
-A block of a text that speaks of licensing is compressed by itself and with each template as a
-raw dictionary; templates are ranked by how many bytes they save, and the best ones are
-confirmed by the words in which template and block differ.
+In runs of words around every cue of licensing, across line ends, every stretch that differs from
+a template in few words, none of them a name or a version, is compressed by itself and with the
+template as a raw dictionary; it is confirmed if that saves bytes.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -32,10 +33,31 @@ TEMPLATES = {
     "MPL-2.0": "This work is subject to the terms of the Mozilla Public License, version 2.0.",
     "all-rights-reserved": "All rights reserved.",
 }
-#: A block is a line with one of these words.
-CUE = re.compile(r"licen[sc]|copyright|rights reserved|public domain|governed by|creative commons", re.I)
-#: Templates confirmed per block, and the share of a template's words that may differ.
-RANKED, DIFFERENT = 3, 0.1
+#: Words of a short notice that have to stand side by side as they are; so has every word with a digit.
+CORES = {
+    "Apache-2.0": ("apache license",), "BSD-2-Clause": ("bsd 2-clause",), "BSD-3-Clause": ("bsd 3-clause",), "CC-BY-4.0": ("cc by 4.0",), "CC-BY-NC-4.0": ("cc by-nc 4.0",),
+    "CC-BY-SA-4.0": ("cc by-sa 4.0",), "CC0-1.0": ("cc0 1.0",), "GPL-2.0-only": ("gnu general public license",), "GPL-3.0-only": ("gnu general public license",),
+    "LGPL-3.0-only": ("gnu lesser general public license",), "MIT": ("mit license",), "MPL-2.0": ("mozilla public license",), "all-rights-reserved": ("all rights reserved",),
+}
+#: Passages of the licenses' own texts, with their cores.
+BODIES = [
+    ("Apache-2.0", "Apache License Version 2.0, January 2004", ("apache license",)),
+    ("BSD-2-Clause", "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS", ("provided with the distribution this software is provided by the",)),
+    ("BSD-3-Clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", ("endorse or promote products derived from this software",)),
+    ("CC-BY-4.0", "Creative Commons Attribution 4.0 International Public License", ("creative commons attribution 4.0",)),
+    ("CC-BY-NC-4.0", "Creative Commons Attribution-NonCommercial 4.0 International Public License", ("creative commons attribution-noncommercial 4.0",)),
+    ("CC-BY-SA-4.0", "Creative Commons Attribution-ShareAlike 4.0 International Public License", ("creative commons attribution-sharealike 4.0",)),
+    ("CC0-1.0", "Creative Commons Legal Code CC0 1.0 Universal", ("cc0 1.0 universal",)),
+    ("GPL-2.0-only", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991", ("gnu general public license",)),
+    ("GPL-3.0-only", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007", ("gnu general public license",)),
+    ("LGPL-3.0-only", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007", ("gnu lesser general public license",)),
+    ("MIT", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software", ("copyright notice and this permission notice",)),
+    ("MPL-2.0", "Mozilla Public License Version 2.0 1. Definitions", ("mozilla public license",)),
+]
+#: A run lies around one of these; their words may stand on two lines.
+CUE = re.compile(r"licen[sc]|copyright|rights[\W_]+reserved|public[\W_]+domain|governed[\W_]+by|creative[\W_]+commons|\bcc[\W_]+by\b|\bcc0\b|\bgnu\b|\bbsd\b|\bmozilla\b|\bapache\b|\bendorse\b|provided[\W_]+with[\W_]+the[\W_]+distribution", re.I)
+#: The share of a template's words that may differ, names and versions apart.
+DIFFERENT = 0.2
 #: Blocks kept in a task's cache.
 CACHE_BLOCKS = 50_000
 
@@ -58,63 +80,119 @@ def wording_differences(template: list[str], block: list[str]) -> tuple[int, int
     return row[end][0], row[end][1], end
 
 
+def alignments(template: list[str], tied: list[bool], glued: list[bool], words: list[str], most: int) -> Iterator[tuple[int, int, int]]:
+    """(differences, first, end) for every end with at most ``most``; ``tied`` words stay, and nothing comes between one that is ``glued`` and the next."""
+    row = [(0, j) for j in range(len(words) + 1)]  # the stretch may begin anywhere
+    for i, want in enumerate(template):
+        last, out = row, most + 1
+        row = [(out if tied[i] else last[0][0] + 1, 0)]
+        for j, have in enumerate(words, 1):
+            same = want == have
+            best = (last[j - 1][0] + (0 if same else out if tied[i] else 1), last[j - 1][1])
+            if not tied[i]:
+                best = min(best, (last[j][0] + 1, last[j][1]))
+            if not glued[i]:
+                best = min(best, (row[j - 1][0] + 1, row[j - 1][1]))
+            row.append(best)
+    yield from ((d, first, end) for end, (d, first) in enumerate(row) if d <= most)
+
+
 class Scanner:
-    """Compressors with each template as dictionary, and the blocks already judged."""
+    """Compressors with each template as dictionary, and the runs already judged."""
 
     def __init__(self, templates: dict[str, str]) -> None:
         import zstandard
 
         level = 3
+        texts = [(name, text, CORES.get(name, ()) if TEMPLATES.get(name) == text else ()) for name, text in sorted(templates.items())]
+        texts += [x for x in BODIES if x[0] in templates]
         self.plain = zstandard.ZstdCompressor(level=level)
-        self.given = {
-            name: zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(text.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT))
-            for name, text in sorted(templates.items())
-        }
-        self.words = {name: words_of(text) for name, text in templates.items()}
+        self.given = []
+        for name, text, cores in texts:
+            words = words_of(text)
+            tied, glued = [any(map(str.isdigit, w)) for w in words], [False] * len(words)
+            for core in map(str.split, cores):
+                for k in range(len(words) - len(core) + 1):
+                    if words[k : k + len(core)] == core:
+                        tied[k : k + len(core)] = [True] * len(core)
+                        glued[k : k + len(core) - 1] = [True] * (len(core) - 1)
+            must = {w for w, t in zip(words, tied, strict=True) if t}
+            given = zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(" ".join(words).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT))
+            self.given.append((name, given, words, tied, glued, must, int(DIFFERENT * len(words) + 1e-9)))
+        #: Words on either side of a cue: the longest template with all its differences.
+        self.reach = max((len(x[2]) + x[6] for x in self.given), default=0)
         self.known: dict[str, list[tuple]] = {}
 
-    def judge(self, block: str) -> list[tuple[str, int, int]]:
-        """(license, bytes saved, differences) of the confirmed templates, fewest differences first."""
-        if (found := self.known.get(block)) is None:
+    def spans(self, run: str) -> list[tuple[str, int, int, int, int]]:
+        """(license, bytes saved, differences, first character, end) wherever a template that saves bytes is confirmed."""
+        if (found := self.known.get(run)) is None:
             if len(self.known) > CACHE_BLOCKS:
                 self.known.clear()
-            raw = block.encode()
-            alone = len(self.plain.compress(raw))
-            saved = sorted(((alone - len(c.compress(raw)), name) for name, c in self.given.items()), key=lambda x: (-x[0], x[1]))
-            mine = words_of(block)
-            near = [(wording_differences(self.words[name], mine)[0], -n, name) for n, name in saved[:RANKED] if n > 0]
-            found = self.known[block] = [(name, -n, d) for d, n, name in sorted(near) if d <= DIFFERENT * len(self.words[name])]
+            found, places = [], [(m.start(), m.end()) for m in _WORDS.finditer(run)]
+            words = [run[a:b].lower() for a, b in places]
+            have = set(words)
+            for name, given, template, tied, glued, must, most in self.given:
+                for d, first, end in alignments(template, tied, glued, words, most) if must <= have else ():
+                    # The stretch by itself: in a long run the saving of a short template is lost in the rest.
+                    raw = " ".join(words[first:end]).encode(errors="replace")
+                    if end > first and (saved := len(self.plain.compress(raw)) - len(given.compress(raw))) > 0:
+                        found.append((name, saved, d, places[first][0], places[end - 1][1]))
+            self.known[run] = found
         return found
 
-
-def blocks_of(text: str) -> Iterator[tuple[int, str]]:
-    """(first character, line) of the candidate blocks."""
-    at = 0
-    for line in text.split("\n"):
-        if CUE.search(line):
-            yield at, line
-        at += len(line) + 1
+    def judge(self, block: str) -> list[tuple[str, int, int]]:
+        """(license, bytes saved, differences) of the confirmed templates of a block, fewest differences first."""
+        return [(name, saved, d) for d, _, name, saved in sorted((d, -saved, name, saved) for _, _, name, saved, d in self.scan(block))]
+
+    def scan(self, text: str) -> list[tuple[int, int, str, int, int]]:
+        """(first character, end, license, bytes saved, differences) of a text, in order: of overlapping spans of one license the one with the fewest differences, then the longest."""
+        if not CUE.search(text):
+            return []
+        places = [(m.start(), m.end()) for m in _WORDS.finditer(text)]
+        ends, found = [b for _, b in places], {}
+        for cue in CUE.finditer(text):
+            at = bisect_right(ends, cue.start())
+            run = places[max(0, at - self.reach) : at + self.reach + 1]
+            if run:
+                start = run[0][0]
+                for name, saved, d, a, b in self.spans(text[start : run[-1][1]]):
+                    key = (name, start + a, start + b)
+                    found[key] = min(found.get(key, (d, 0)), (d, -saved))
+        taken: dict[str, list[tuple[int, int]]] = {}
+        kept = []
+        for (d, less), a, b, name in sorted(((v, a, b, n) for (n, a, b), v in found.items()), key=lambda x: (x[0][0], x[1] - x[2], x[1], x[3])):
+            # Spans of one license that are kept do not overlap: only the two beside this one matter.
+            own = taken.setdefault(name, [])
+            k = bisect_right(own, (a, b))
+            if (k == 0 or own[k - 1][1] <= a) and (k == len(own) or own[k][0] >= b):
+                own.insert(k, (a, b))
+                kept.append((a, b, name, -less, d))
+        return sorted(kept)
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
-    """(doc_id, block_start, block_end, license, saved_bytes, differences) for the blocks of ``docs`` (doc_id, text) that carry a license.
+    """(doc_id, block_start, block_end, license, saved_bytes, differences) for every license that a text of ``docs`` (doc_id, text) carries.
 
-    A block has the confirmed template with the fewest differing words, then the most bytes
-    saved, then the first name. Null and empty texts have no blocks; a null doc_id is carried;
+    A block is the line, or the lines, on which a confirmed stretch of words stands; several
+    licenses give a row each. Null and empty texts have no blocks; a null doc_id is carried;
     repeated rows and lines are found each; other columns are ignored; no rows give no rows.
     """
     small_batches(docs.sparkSession)
     used = dict(templates or TEMPLATES)
     kind = "doc_id long, block_start long, block_end long, license string, saved_bytes int, differences int"
 
+    def blocks(scanner: Scanner, text: str) -> Iterator[tuple]:
+        for a, b, *what in scanner.scan(text):
+            end = text.find("\n", b)
+            yield text.rfind("\n", 0, a) + 1, end if end >= 0 else len(text), *what
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(used)
         for b in batches:
             rows = [
-                (doc_id, at, at + len(line), *hits[0])
+                (doc_id, *found)
                 for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True)
-                for at, line in blocks_of(text or "")
-                if (hits := scanner.judge(line))
+                for found in blocks(scanner, text or "")
             ]
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int32()]
