@@ -110,7 +110,9 @@ def _allowed(n: Column, alpha: float, delta: Column) -> Column:
 def cutoffs(scored: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """(stratum, rule, cutoff) from good texts (label 1, base passed, label open to learning); no row where no cutoff is safe.
 
-    Bonferroni: with R rules and S strata every bound is taken at alpha / R and delta / (R * S).
+    Bonferroni: with R rules and G groups every bound is taken at alpha / R and delta / (R * G). A
+    group is a stratum whose good texts would do at G = S, the number of strata; all others
+    share one, so G is S at most. Their bound holds for their good texts together.
     """
     good = (
         scored.where("not base_failed").where(~held_out(F.col("doc_id")))
@@ -119,27 +121,33 @@ def cutoffs(scored: DataFrame, labels: DataFrame, stratum: str = "lang", alpha:
         .groupBy("stratum", "x.rule", "x.q").agg(F.count("*").alias("n"))
     )
     everything = Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    group = Window.partitionBy("stratum", "rule")
     per_rule = alpha / len(RULES)
     # A bounded table from here on: strata x rules x distinct thousandths.
     strata = good.groupBy("stratum").agg((F.sum("n") / len(RULES)).cast("long").alias("good")).withColumn("tests", F.count("*").over(everything) * len(RULES))
-    strata = strata.withColumn("allowed", _allowed(F.col("good"), per_rule, F.lit(delta) / F.col("tests")))
+    strata = strata.withColumn("thin", _allowed(F.col("good"), per_rule, F.lit(delta) / F.col("tests")) < 0).withColumn("own", F.when(~F.col("thin"), F.col("stratum")))
+    tests = (F.sum((~F.col("thin")).cast("long")).over(everything) + F.max(F.col("thin").cast("long")).over(everything)) * len(RULES)
+    strata = strata.withColumns({"tests": tests, "good": F.sum("good").over(Window.partitionBy("thin", "own"))})
+    strata = strata.withColumn("allowed", _allowed(F.col("good"), per_rule, F.lit(delta) / F.col("tests"))).withColumnRenamed("stratum", "_s")
+    group = Window.partitionBy("thin", "own", "rule")
     above = F.coalesce(F.sum("n").over(group.orderBy(F.col("q").desc()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     strictest = F.create_map(*[F.lit(x) for r in RULES.items() for x in r])
-    return (
-        good.withColumn("above", above)
-        .join(strata.withColumnRenamed("stratum", "_s"), F.col("stratum").eqNullSafe(F.col("_s")))
+    found = (
+        good.join(strata, F.col("stratum").eqNullSafe(F.col("_s")))
+        .groupBy("thin", "own", "rule", "q").agg(F.sum("n").alias("n"), F.max("allowed").alias("allowed"))
+        .withColumn("above", above)
         .where("above <= allowed")
-        .groupBy("stratum", "rule").agg(F.min("q").alias("q"))
-        .select("stratum", "rule", F.greatest("q", strictest[F.col("rule")]).alias("cutoff"))
+        .groupBy("thin", "own", "rule").agg(F.min("q").alias("q"))
+        .select(F.col("thin").alias("_thin"), F.col("own").alias("_own"), "rule", F.greatest("q", strictest[F.col("rule")]).alias("cutoff"))
     )
+    return strata.join(found, (F.col("thin") == F.col("_thin")) & F.col("own").eqNullSafe(F.col("_own"))).select(F.col("_s").alias("stratum"), "rule", "cutoff")
 
 
 def apply_rules(docs: DataFrame, labels: DataFrame, stratum: str = "lang", keep_text: bool = True) -> DataFrame:
     """``docs`` (doc_id, text, the stratum's column and others) with the statistics and ``kept``.
 
     Null and empty texts have no words and fail the base; a null stratum is a stratum; a
-    stratum with too few good texts to certify a cutoff keeps all that pass the base; equal
+    stratum with too few good texts to certify a cutoff shares one with the others like it; if
+    they are too few together, or a stratum has none, all that pass the base are kept; equal
     rows are judged alike; no rows give no rows.
     """
     scored = with_statistics(docs)
