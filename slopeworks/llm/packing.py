@@ -12,8 +12,9 @@ from __future__ import annotations
 
 import bisect
 import os
-import unicodedata
+import re
 import zlib
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 from itertools import islice
@@ -28,14 +29,33 @@ from slopeworks.llm.common import materialise, small_batches, worker_cache
 
 CAPACITY = 2048
 #: Words kept per Python worker; beyond it those met first, the frequent ones among them, stay.
-CACHE_WORDS = 800_000
+CACHE_WORDS = 600_000
+#: Letters that the normalizer leaves as they are but for their case, then signs that no letter follows.
+_PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-įı-ňŊ-žΑ-ΡΤ-Ωα-ωА-Яа-я]+)([!\"#$%&()*+,./:;<=>?@\\[\\\\\\]^_`{|}~-]*)")
+#: Bytes as the model's vocabulary shows them: printable ones of Latin-1 as they are, the others from 256 on.
+_SHOWN = {b: 256 + k for k, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174))}
+
+
+class _StemIds(dict):
+    """Lower-case run of letters -> its token ids: one pre-token, so the tokenizer's model alone decides."""
+
+    def __init__(self, tokenizer) -> None:  # noqa: ANN001
+        super().__init__()
+        self.model = tokenizer.model
+
+    def __missing__(self, stem: str) -> bytes:
+        shown = stem if stem.isascii() else stem.encode().decode("latin-1").translate(_SHOWN)
+        self[stem] = ids = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+        return ids
 
 
 class _WordIds(dict):
-    """Word -> its token ids as little-endian bytes, encoded by the library on a miss.
+    """Word -> its token ids as little-endian bytes.
 
     The tokenizer drops white space and no pre-token spans it, so a text's ids are its
-    white-space separated words' ids, one after the other.
+    white-space separated words' ids, one after the other. Letters with signs behind them, the
+    most of all words, are two pre-tokens, and their letters are looked up in lower case; any
+    other word goes through the whole tokenizer.
     """
 
     def __init__(self, tokenizer_file: str) -> None:
@@ -44,27 +64,33 @@ class _WordIds(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
+        self.stems, self.signs = _StemIds(self.tokenizer), {"": b""}
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def add(self, words: set[bytes]) -> None:
-        if len(self) > CACHE_WORDS:
-            first = list(islice(self.items(), CACHE_WORDS // 4))
-            self.clear()
-            self.update(first)
-        new = [w for w in words if w not in self]
-        for at in range(0, len(new), 4096):
-            part = [w.decode("utf-8", "replace") for w in new[at : at + 4096]]
-            joined = " ".join(part)
-            if "<|" in joined or not unicodedata.is_normalized("NFC", joined):
-                for key, e in zip(new[at:], self.tokenizer.encode_batch(part, add_special_tokens=False), strict=False):
-                    self[key] = np.array(e.ids, dtype="<u4").tobytes()
-                continue
-            # One call for many words: no token spans a space, so the offsets tell the words apart.
-            e = self.tokenizer.encode(joined, add_special_tokens=False)
-            ids = np.array(e.ids, dtype="<u4").tobytes()
-            starts = np.array([a for a, _ in e.offsets], dtype=np.int64)
-            cuts = 4 * np.searchsorted(starts, np.cumsum([0] + [len(w) + 1 for w in part]))
-            for key, a, b in zip(new[at:], cuts[:-1].tolist(), cuts[1:].tolist(), strict=False):
-                self[key] = ids[a:b]
+    def __missing__(self, word: bytes) -> bytes:
+        text = word.decode("utf-8", "replace")
+        plain = _PLAIN.fullmatch(text)
+        if plain is None:
+            ids = self.whole(text)
+        else:
+            stem, signs = plain.groups()
+            ids = self.stems[stem.lower()]
+            if signs:
+                if signs not in self.signs:
+                    self.signs[signs] = self.whole(signs)
+                ids += self.signs[signs]
+        self[word] = ids
+        return ids
+
+    def trim(self) -> None:
+        """Keep the words met first, the frequent ones among them, when there are too many."""
+        for held, most in ((self, CACHE_WORDS), (self.stems, CACHE_WORDS), (self.signs, CACHE_WORDS // 8)):
+            if len(held) > most:
+                first = list(islice(held.items(), most // 4))
+                held.clear()
+                held.update(first)
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], tokenizer_file: str, capacity: int) -> Iterator[pa.RecordBatch]:
@@ -73,7 +99,7 @@ def _pieces(batches: Iterator[pa.RecordBatch], tokenizer_file: str, capacity: in
     for batch in batches:
         rows: list[tuple] = []
         texts = [t.split() if t else [] for t in batch.column("text").to_pylist()]
-        words_ids.add(set().union(*texts))
+        words_ids.trim()
         for doc_id, words in zip(batch.column("doc_id").to_pylist(), texts, strict=True):
             ids = b"".join([*map(words_ids.__getitem__, words), b"\0\0\0\0"])
             for piece, start in enumerate(range(0, len(ids) // 4, capacity)):
@@ -180,7 +206,7 @@ def make_plan(counts: dict[int, int], capacity: int = CAPACITY) -> _Plan:
                 n = min(plan.left[s] // found.count(s) for s in set(found))
                 plan.fix(found, n)
                 changed = True
-    plan.reduced = plan.sequences
+    plan.reduced, plan.rest = plan.sequences, dict(plan.left)
     for size in sorted(plan.left, reverse=True):  # best fit by falling length, groups of equal bins at once
         while size in plan.left:
             room = min((r for r in plan.bins if r >= size and plan.bins[r]), default=None)
@@ -237,7 +263,8 @@ def pack_documents(docs: DataFrame, tokenizer_file: str, capacity: int = CAPACIT
     plan = make_plan({r["length"]: r["n"] for r in histogram}, capacity)
     rows = np.array(sorted(plan.rows) or [(0, 0, 0, 1, 0)], dtype=np.int64)
     keys = (rows[:, 0] << 44) + rows[:, 1]
-    ranked = pieces.join(offsets, ["length", "part"]).withColumn("rank", F.col("before") + F.col("part_rank"))
+    # A row per partition and length: it grows with the input, so it is merged, not broadcast.
+    ranked = pieces.join(offsets.hint("merge"), ["length", "part"]).withColumn("rank", F.col("before") + F.col("part_rank"))
     return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInArrow(
         lambda batches: _place(batches, keys, rows),
         "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long",

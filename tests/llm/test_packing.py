@@ -82,10 +82,8 @@ def test_plan_is_valid_and_reduction_keeps_an_optimum():
         best = optimum(lengths, capacity)
         assert best <= used <= best_fit_decreasing(lengths, capacity)
         # What the reduction fixed leaves the rest's optimum at the whole's less the fixed sequences.
-        left = dict(counts)
-        for size, _rank, first, per_bin, _offset in plan.rows:
-            if first < plan.reduced:
-                pass
+        rest = [n for n, k in plan.rest.items() for _ in range(k)]
+        assert plan.reduced + (optimum(rest, capacity) if rest else 0) == best
         exact += used == best
     assert exact > 110
     assert not packing.make_plan({}, 10).rows
@@ -114,6 +112,17 @@ def test_ids_and_layout(spark, sf):
     assert check_layout(rows) <= best_fit_decreasing([r["length"] for r in rows], 2048)
 
 
+def test_word_ids_equal_the_library():
+    rng = random.Random(11)
+    letters = "abcXYZéÉßñÑ'’.,;:!?|<>-_/\\[]()#&123½²İıŉſΣσςΑωЖжDždžﬁ日本語🚴\u0301\u200d▁\xa0\x1c^`~@\"$%+=*{}"
+    words = ["".join(rng.choice(letters) for _ in range(rng.randint(1, 9))) for _ in range(20000)]
+    words += ["it's", "IT'S.", "we'll,", "<|endoftext|>", "x<|endoftext|>.", "ΟΔΟΣ.", "İstanbul", "a" * 3000, "word." * 500]
+    own, tok = packing._WordIds(FILE), Tokenizer.from_file(FILE)
+    texts = [" ".join(words[k : k + 7]) for k in range(0, len(words), 7)]
+    for text, e in zip(texts, tok.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert np.frombuffer(b"".join(own[w] for w in text.encode().split()), "<u4").tolist() == e.ids, text
+
+
 def test_odd_rows(spark, weird, no_docs):
     rows = packing.pack_documents(weird, FILE).collect()
     check_layout(rows)
