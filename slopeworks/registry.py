@@ -313,18 +313,18 @@ def nearest_node(spark, d):
     return network.nearest_node(_ends(spark, d), view(spark, d, "fx_nodes")).select("pt_id", "node_id")
 
 
-@query(f"with {PTS}, b as (select pt_id // 2 as req_id, min(lon) - 0.0045 as x0, max(lon) + 0.0045 as x1, min(lat) - 0.0045 as y0, max(lat) + 0.0045 as y1 from q group by pt_id // 2) select req_id, round(x0, 8) as x0, round(x1, 8) as x1, round(y0, 8) as y0, round(y1, 8) as y1 from b")
+@query(f"with {PTS}, b as (select pt_id // 2 as req_id, round(min(lon) - 0.0045, 8) as x0, round(max(lon) + 0.0045, 8) as x1, round(min(lat) - 0.0045, 8) as y0, round(max(lat) + 0.0045, 8) as y1 from q group by pt_id // 2) select req_id, x0, x1, y0, y1 from b")
 def request_bbox(spark, d):
-    return _boxes(spark, d).select("req_id", *[r(F.col(c), 8).alias(c) for c in ("x0", "x1", "y0", "y1")])
+    return _boxes(spark, d)
 
 
 def _boxes(spark, d):
     return _ends(spark, d).groupBy(F.floor(F.col("pt_id") / 2).alias("req_id")).agg(
-        (F.min("lon") - 0.0045).alias("x0"), (F.max("lon") + 0.0045).alias("x1"), (F.min("lat") - 0.0045).alias("y0"), (F.max("lat") + 0.0045).alias("y1")
+        r(F.min("lon") - 0.0045, 8).alias("x0"), r(F.max("lon") + 0.0045, 8).alias("x1"), r(F.min("lat") - 0.0045, 8).alias("y0"), r(F.max("lat") + 0.0045, 8).alias("y1")
     )
 
 
-@query(f"with {PTS}, b as (select pt_id // 2 as req_id, min(lon) - 0.0045 as x0, max(lon) + 0.0045 as x1, min(lat) - 0.0045 as y0, max(lat) + 0.0045 as y1 from q group by pt_id // 2) select req_id, id from b, fx_layers where xmin <= x1 and xmax >= x0 and ymin <= y1 and ymax >= y0")
+@query(f"with {PTS}, b as (select pt_id // 2 as req_id, round(min(lon) - 0.0045, 8) as x0, round(max(lon) + 0.0045, 8) as x1, round(min(lat) - 0.0045, 8) as y0, round(max(lat) + 0.0045, 8) as y1 from q group by pt_id // 2) select req_id, id from b, fx_layers where xmin <= x1 and xmax >= x0 and ymin <= y1 and ymax >= y0")
 def features_per_request(spark, d):
     return layers.features_per_request(view(spark, d, "fx_layers"), _boxes(spark, d))
 

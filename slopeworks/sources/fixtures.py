@@ -10,8 +10,8 @@ BASE = ("customer", "embeddings", "events", "lineitem", "orders", "part")
 VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     "fx_nodes": ((), """
 select p_partkey as node_id, p_partkey % 50 as gx, cast(floor(p_partkey / 50.0) as bigint) as gy,
-       cast(2.38 + (p_partkey % 50) * 0.001 as double) as lon,
-       cast(48.82 + floor(p_partkey / 50.0) * 0.001 as double) as lat,
+       cast(238000 + p_partkey % 50 * 100 as double) / 100000 as lon,
+       cast(4882000 + cast(floor(p_partkey / 50.0) as bigint) * 100 as double) / 100000 as lat,
        cast((p_partkey * 7919 + p_size * 31) % 8 as double) as elev
 from part
 """),
@@ -28,8 +28,9 @@ from fx_nodes a join fx_nodes b on b.node_id = a.node_id + 50
 where (a.node_id * 37 + a.gy * 3) % 10 < 9
 """),
     "fx_requests": ((), """
-select c_custkey as req_id, (c_custkey * 97) % n as src, (c_custkey * 389 + 31) % n as dst
-from customer cross join (select count(*) as n from part) t
+select req_id, src, least(49, greatest(0, src % 50 + dx)) + 50 * least(top, greatest(0, cast(floor(src / 50.0) as bigint) + dy)) as dst
+from (select c_custkey as req_id, (c_custkey * 97) % n as src, (c_custkey * 389 + 31) % 13 - 6 as dx, (c_custkey * 31 + 7) % 11 - 5 as dy, cast(floor(n / 50.0) as bigint) - 1 as top
+      from customer cross join (select count(*) as n from part) t) trips
 """),
     "fx_points": ((), """
 select user_id as track_id,
@@ -74,10 +75,10 @@ select p_partkey as id,
        case p_type when 'ECONOMY' then 'park' when 'SMALL' then 'cemetery' when 'MEDIUM' then 'education'
             when 'LARGE' then 'developed' when 'PROMO' then 'recreation' else 'forest' end as subtype,
        case when p_size % 3 = 0 then 'industrial' when p_size % 3 = 1 then 'grass' else 'other' end as class,
-       cast(2.38 + (p_partkey % 50) * 0.001 as double) as xmin,
-       cast(2.38 + (p_partkey % 50) * 0.001 + p_size * 0.0001 as double) as xmax,
-       cast(48.82 + floor(p_partkey / 50.0) * 0.001 as double) as ymin,
-       cast(48.82 + floor(p_partkey / 50.0) * 0.001 + p_size * 0.0001 as double) as ymax
+       cast(238000 + p_partkey % 50 * 100 as double) / 100000 as xmin,
+       cast(238000 + p_partkey % 50 * 100 + p_size * 10 as double) / 100000 as xmax,
+       cast(4882000 + cast(floor(p_partkey / 50.0) as bigint) * 100 as double) / 100000 as ymin,
+       cast(4882000 + cast(floor(p_partkey / 50.0) as bigint) * 100 + p_size * 10 as double) / 100000 as ymax
 from part
 """),
     "fx_tiles": ((), """
