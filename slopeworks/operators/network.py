@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from heapq import heapify, heappop, heappush
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -128,28 +131,117 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def shortest_paths(arcs: DataFrame, requests: DataFrame, cost: str = "length_m", most_rounds: int = 100_000) -> DataFrame:
-    """(req_id, cost, hops) of the cheapest path per request (req_id, src, dst); null where there is none.
-
-    All requests advance together: the nodes that improved meet their arcs, the cheapest new
-    value per node survives, and a value above the best at the target goes no further.
+#: Requests of one task; more of one block are dealt over several.
+REQUESTS_A_TASK = 128
+LABEL = "req_id long, node long, d double, h long, edge_id long, fwd boolean, tail long, w double, round int"
+
+
+def dealt(asked: DataFrame, held: DataFrame, key: list[str], by: str, most: int, work: Callable, schema: str) -> DataFrame:
+    """``work(rows of asked, rows of held)`` per key; where more than ``most`` different ``by`` ask for one key they are dealt over several tasks, each with the key's held rows."""
+    crowds = asked.groupBy(*key).agg(F.ceil(F.countDistinct(by) / most).cast("int").alias("_tasks"))
+    one = asked.join(crowds, key).withColumn("_task", F.pmod(F.xxhash64(by), F.col("_tasks")).cast("int"))
+    each = held.join(crowds, key).withColumn("_task", F.explode(F.sequence(F.lit(0), F.col("_tasks") - 1)))
+    # A number of partitions asked for is kept: small rows are much work here, so tasks are not to be merged by bytes.
+    n = int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    fresh = lambda df: df.drop("_tasks").toDF(*[c for c in df.columns if c != "_tasks"]).repartition(n, *key, "_task").groupBy(*key, "_task")
+    return fresh(one).cogroup(fresh(each)).applyInPandas(work, schema)
+
+
+def _spread(labels: pd.DataFrame, arcs: pd.DataFrame) -> pd.DataFrame:
+    """What the new labels of a block improve inside it and on the nodes its arcs lead to."""
+    out: dict[int, list[tuple]] = {}
+    for u, *arc in arcs[["u", "v", "w", "edge_id", "fwd"]].itertuples(index=False, name=None):
+        out.setdefault(u, []).append(arc)
+    rows: list[tuple] = []
+    for req, own in labels.groupby("req_id"):
+        goal, most = own["dst"].iloc[0], float(own["most"].iloc[0])
+        best = {n: (d, h) for n, d, h in own[["node", "d", "h"]].itertuples(index=False, name=None)}
+        heap = [(d, h, n) for n, d, h in own.loc[own["new"], ["node", "d", "h"]].itertuples(index=False, name=None)]
+        heapify(heap)
+        found: dict[int, tuple] = {}
+        while heap:
+            d, h, node = heappop(heap)
+            if (d, h) > best[node]:
+                continue
+            if node == goal:
+                most = min(most, d)
+            for to, w, edge, fwd in out.get(node, ()):
+                reached = (d + w, h + 1)
+                if reached[0] <= most and (to not in best or reached < best[to]):
+                    best[to], found[to] = reached, (edge, fwd, node, w)
+                    heappush(heap, (*reached, to))
+        rows += [(req, n, *best[n], *back) for n, back in found.items()]
+    return pd.DataFrame(rows, columns=[c.split()[0] for c in LABEL.split(", ")[:-1]])
+
+
+def path_labels(arcs: DataFrame, requests: DataFrame, nodes: DataFrame, cost: str = "length_m", cell: float = 0.05) -> DataFrame:
+    """Every label (LABEL) that the cheapest paths of the requests (req_id, src, dst, perhaps budget) ever set; the smallest (d, h) of a node holds.
+
+    All requests advance together, block by block: a block is a cell of the nodes' places; a
+    task settles what new labels of its requests improve inside its block, and the values that
+    leave it are the next round's new labels. A round reads and writes no request at rest, and
+    there are about as many rounds as blocks on a path. A value above the best at the target,
+    or above the budget, goes no further. ``cost`` is no less than 0.
     """
-    step = arcs.select(F.col("u"), F.col("v"), F.col(cost).alias("w"))
-    state = written(requests.select("req_id", F.col("src").alias("node"), F.lit(0.0).alias("d"), F.lit(0).cast("long").alias("h"), F.lit(True).alias("fresh")))
-    for _ in range(most_rounds):
-        goal = requests.join(state, (requests["req_id"] == state["req_id"]) & (F.col("dst") == F.col("node")), "left").select(requests["req_id"], F.col("d").alias("goal"))
-        moved = (
-            state.where("fresh").join(step, F.col("node") == F.col("u")).join(goal, "req_id")
-            .select("req_id", F.col("v").alias("node"), (F.col("d") + F.col("w")).alias("d"), (F.col("h") + 1).alias("h"), "goal")
-            .where("goal is null or d < goal")
-            .select("req_id", "node", "d", "h", F.lit(True).alias("fresh"))
-        )
-        # The smallest (cost, hops) wins; an old value wins ties and stops being fresh.
-        best = state.withColumn("fresh", F.lit(False)).unionByName(moved).groupBy("req_id", "node").agg(F.min(F.struct("d", "h", "fresh")).alias("s"))
-        state = written(best.select("req_id", "node", "s.*"))
-        if state.where("fresh").isEmpty():
+    spark = arcs.sparkSession
+    place = nodes.select("node_id", F.floor(F.col("lon") / cell).alias("cx"), F.floor(F.col("lat") / cell).alias("cy"))
+    step = arcs.select("u", "v", "edge_id", "fwd", F.col(cost).cast("double").alias("w")).join(place.withColumnRenamed("node_id", "u"), "u")
+    step, place = written(step), written(place)
+    budget = F.col("budget").cast("double") if "budget" in requests.columns else F.lit(float("inf"))
+    asked = written(requests.select("req_id", F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), budget.alias("budget")))
+    root, k = f"{scratch(spark)}/labels-{uuid.uuid4().hex}", 0
+    nothing = [F.lit(None).cast(t).alias(n) for n, t in (("edge_id", "long"), ("fwd", "boolean"), ("tail", "long"), ("w", "double"))]
+    asked.where("src is not null").select("req_id", F.col("src").alias("node"), F.lit(0.0).alias("d"), F.lit(0).cast("long").alias("h"), *nothing).write.parquet(f"{root}/round=0")
+    while True:
+        known = spark.read.schema(LABEL).parquet(root)
+        best = known.groupBy("req_id", "node").agg(F.min(F.struct("d", "h", "round")).alias("s")).select("req_id", "node", "s.d", "s.h", (F.col("s.round") == k).alias("new"))
+        placed = best.join(place, F.col("node") == F.col("node_id"), "left").drop("node_id")
+        by = Window.partitionBy("req_id", "cx", "cy")
+        limit = best.join(asked, "req_id").groupBy("req_id", "dst", "budget").agg(F.min(F.when(F.col("node") == F.col("dst"), F.col("d"))).alias("goal")).select("req_id", "dst", F.least("budget", F.coalesce("goal", "budget")).alias("most"))
+        active = written(placed.withColumn("_on", F.max("new").over(by)).where("_on").drop("_on").join(limit, "req_id"))
+        found = dealt(active, step, ["cx", "cy"], "req_id", REQUESTS_A_TASK, _spread, LABEL.rpartition(",")[0])
+        found.write.parquet(f"{root}/round={k + 1}")
+        k += 1
+        if spark.read.schema(LABEL).parquet(f"{root}/round={k}").isEmpty():
+            return known
+
+
+def _settled(labels: DataFrame) -> DataFrame:
+    """The label that holds of every request's node: of equal ones the first set."""
+    return labels.groupBy("req_id", "node").agg(F.min(F.struct("d", "h", "round", "edge_id", "fwd", "tail", "w")).alias("s")).select("req_id", "node", "s.*")
+
+
+def _at_goal(labels: DataFrame, requests: DataFrame) -> DataFrame:
+    asked = requests.select("req_id", F.col("dst").alias("node"))
+    return asked.join(_settled(labels), ["req_id", "node"], "left")
+
+
+def shortest_paths(arcs: DataFrame, requests: DataFrame, nodes: DataFrame, cost: str = "length_m") -> DataFrame:
+    """(req_id, cost, hops, status) of the cheapest path per request (req_id, src, dst, perhaps budget); status "none" where no path, or none within the budget, leads there."""
+    status = F.when(F.col("d").isNull(), "none").otherwise("found")
+    return _at_goal(path_labels(arcs, requests, nodes, cost), requests).select("req_id", F.col("d").alias("cost"), F.col("h").alias("hops"), status.alias("status"))
+
+
+def shortest_routes(arcs: DataFrame, requests: DataFrame, nodes: DataFrame, cost: str = "length_m") -> DataFrame:
+    """(req_id, arc_seq, edge_id, fwd, u, v, cost) of the cheapest path per request, arc by arc.
+
+    Predecessors are followed by doubled jumps: about two written tables per doubling of the
+    longest path, whatever the number of requests.
+    """
+    labels = path_labels(arcs, requests, nodes, cost)
+    tree = written(_settled(labels))
+    jumps = [written(tree.where("tail is not null").select("req_id", "node", F.col("tail").alias("to")))]
+    while True:
+        far = jumps[-1].join(jumps[-1].select("req_id", F.col("node").alias("to"), F.col("to").alias("next")), ["req_id", "to"]).select("req_id", "node", F.col("next").alias("to"))
+        far = written(far)
+        if far.isEmpty():
             break
-    return requests.join(state, (requests["req_id"] == state["req_id"]) & (F.col("dst") == F.col("node")), "left").select(requests["req_id"], F.col("d").alias("cost"), F.col("h").alias("hops"))
+        jumps.append(far)
+    places = _at_goal(labels, requests).where("d is not null").select("req_id", "node")
+    for jump in reversed(jumps):
+        places = written(places.unionByName(places.join(jump, ["req_id", "node"]).select("req_id", F.col("to").alias("node"))))
+    on = places.join(tree, ["req_id", "node"]).where("tail is not null")
+    return on.select("req_id", (F.col("h") - 1).alias("arc_seq"), "edge_id", "fwd", F.col("tail").alias("u"), F.col("node").alias("v"), F.col("w").alias("cost"))
 
 
 def tier_grid(routes: DataFrame, tiers: list[int], windows: list[int]) -> DataFrame:

@@ -8,7 +8,7 @@ from slopeworks.jobs import build_network
 from slopeworks.operators import directions, profile, reports, routes, search
 from slopeworks.registry import GRADED, RUNS, SPEED, SQL, _access, query
 from slopeworks.registry_routes import directions_text
-from slopeworks.registry_search import _networks, _points, _rounded
+from slopeworks.registry_search import _points, _rounded, _solve
 from slopeworks.sources.fixtures import view
 
 TIERS = f"""{GRADED}, {RUNS}, {SPEED},
@@ -72,7 +72,7 @@ def web_frontier(spark, d):
     from slopeworks.operators.network import written
 
     windows = [50, 100]
-    found = written(search.solve_paths(_networks(spark, d, windows), search.Plan((0, 10, 20), refine=False)))
+    found = written(_solve(spark, d, windows, search.Plan((0, 10, 20), refine=False))[0])
     numbered = written(search.number_routes(search.describe(found, _points(spark, d), windows)).select("req_id", "window_m", "tier_pct", "route_no"))
     first = numbered.groupBy("req_id", "route_no").agg(F.min(F.struct("window_m", "tier_pct")).alias("k")).select("req_id", "route_no", "k.*")
     arcs = found.join(first, ["req_id", "window_m", "tier_pct"]).withColumn("route_id", F.concat_ws("/", "req_id", "route_no"))
@@ -86,7 +86,7 @@ def web_frontier(spark, d):
 @query()
 def request_reports(spark, d):
     """The report lines of every solved request."""
-    found = search.solve_paths(_networks(spark, d, [100]), search.Plan((0, 10, 50)))
+    found = _solve(spark, d, [100], search.Plan((0, 10, 50)))[0]
     solved = reports.tiers_of(search.describe(found, _points(spark, d), [100]))
     return _rounded(reports.route_report(solved))
 

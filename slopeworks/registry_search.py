@@ -15,12 +15,12 @@ def _points(spark, d):
     return view(spark, d, "fx_edge_points")
 
 
-def _networks(spark, d, windows):
-    return search.request_networks(view(spark, d, "fx_requests"), view(spark, d, "fx_nodes"), view(spark, d, "fx_edges"), _points(spark, d), windows)
+def _solve(spark, d, windows, plan):
+    return search.solve(view(spark, d, "fx_requests"), view(spark, d, "fx_nodes"), view(spark, d, "fx_edges"), _points(spark, d), windows, plan)
 
 
 def _described(spark, d, windows, plan):
-    return search.describe(search.solve_paths(_networks(spark, d, windows), plan), _points(spark, d), windows)
+    return search.describe(_solve(spark, d, windows, plan)[0], _points(spark, d), windows)
 
 
 def _rounded(df):
@@ -29,7 +29,7 @@ def _rounded(df):
 
 @query()
 def lazy_verify(spark, d):
-    return _rounded(search.solve_paths(_networks(spark, d, [100]), search.Plan(tiers=(50,), cap=4.0)))
+    return _rounded(_solve(spark, d, [100], search.Plan(tiers=(50,), cap=4.0))[0])
 
 
 @query()
@@ -39,12 +39,15 @@ def min_grade_frontier(spark, d):
 
 @query()
 def refine_route(spark, d):
-    return _rounded(search.solve_paths(_networks(spark, d, [100]), search.Plan((20,))))
+    return _rounded(_solve(spark, d, [100], search.Plan((20,)))[0])
 
 
 @query()
 def solve_requests(spark, d):
-    return _rounded(_described(spark, d, [100], search.Plan(TIERS)))
+    """Every tier's route of every request, and a row with the status of those that have none."""
+    found, without = _solve(spark, d, [100], search.Plan(TIERS))
+    told = search.describe(found, _points(spark, d), [100]).withColumn("status", F.lit("found"))
+    return _rounded(told.unionByName(without, allowMissingColumns=True))
 
 
 @query()

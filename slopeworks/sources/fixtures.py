@@ -136,6 +136,8 @@ def with_views(sql: str) -> str:
     add(sql)
     ctes = ",\n".join(f"{n} as ({VIEWS[n][1]})" for n in named)
     body = sql.strip()
+    if body.lower().startswith("with recursive "):
+        return f"with recursive {ctes},\n{body[15:]}"
     if body.lower().startswith("with "):
         return f"with {ctes},\n{body[5:]}" if named else body
     return f"with {ctes}\n{body}" if named else body
