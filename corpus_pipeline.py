@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from slopeworks.llm import classifier, mixing, packing, rules, simhash
 from slopeworks.llm.common import materialise, table
@@ -15,7 +14,7 @@ ORACLE_SQL = None
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the risk-controlled rules keep."""
-    return rules.apply_rules(docs, table(spark, sf_dir, "labels")).where("kept").select(*docs.columns)
+    return rules.keep_passing(docs, table(spark, sf_dir, "labels"))
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,10 +29,7 @@ def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as their source's target asks for; those not taken go."""
-    sized = docs.withColumn("_words", mixing.size_of(F.col("text")))
-    renamed = sized.withColumnRenamed("_words", "size")
-    taken = mixing.mix_sources(renamed).where("copies > 0")
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*docs.columns)
+    return mixing.take_copies(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
