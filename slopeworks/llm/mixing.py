@@ -51,7 +51,9 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = C
 
 
 def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
-    """``docs`` (doc_id, source, size and any others) with source_size, target and copies.
+    """(doc_id, source, size, source_size, target, copies) for every row of ``docs`` (doc_id, source, size).
+
+    doc_id may be of any type that sorts; other columns are ignored.
 
     A null source is a source of its own, the last; null ids sort first; documents without a
     word add nothing and may be taken or not; repeated rows are sampled each for itself; no
@@ -59,7 +61,8 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int =
     source, however large, meets in one task.
     """
     spark = docs.sparkSession
-    held = list(docs.columns)
+    held = ["doc_id", "source", "size"]
+    docs = materialise(docs.select(*held), "mix-sizes")  # words are counted once
     goals = materialise(targets(docs.groupBy("source").agg(F.sum("size").alias("source_size")), weights, cap), "mix-targets")
     goals = goals.withColumnsRenamed({c: f"_{c}" for c in goals.columns})
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -90,6 +93,26 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int =
     return joined.select(*held, F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("_whole") + crossed).alias("copies"))
 
 
+def take_copies(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` (doc_id, source, text and others) as often as their source's target asks for; those not taken go.
+
+    Rows are known by their doc_id and a hash of their columns, so that whole rows are moved only
+    once; rows alike in all columns stand for each other. Columns keep their names, whatever they are.
+    """
+    hashed = [c for c, t in docs.dtypes if "map<" not in t]
+    one, h, n, total, nth = ("".join(x) for x in zip(("mix",) * 5, ("_id", "_hash", "_rows", "_copies", "_nth"), ("_" * max(map(len, docs.columns)),) * 5, strict=True))
+    marked = docs.withColumn(h, F.xxhash64(*hashed))
+    thin = marked.select(F.struct(F.col("doc_id").alias("id"), F.col(h).alias("h")).alias("doc_id"), "source", size_of(F.col("text")).alias("size"))
+    taken = mix_sources(thin).groupBy("doc_id").agg(F.sum("copies").alias(total), F.count("*").alias(n)).where(F.col(total) > 0)
+    taken = taken.select(F.col("doc_id.id").alias(one), F.col("doc_id.h").alias(h + "h"), total, n)
+    joined = marked.join(taken, F.col("doc_id").eqNullSafe(F.col(one)) & (F.col(h) == F.col(h + "h")))
+    # Of n equal rows each gives its share of their copies.
+    own = F.row_number().over(Window.partitionBy(one, h + "h").orderBy(F.lit(0)))
+    share = F.floor(F.col(total) / F.col(n)) + (F.col(nth) <= F.col(total) % F.col(n)).cast("long")
+    dealt = joined.withColumn(nth, own).where(share > 0)
+    return dealt.withColumn(total, F.explode(F.sequence(F.lit(1).cast("long"), share))).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def op2_sql() -> str:
     """The same mix in DuckDB."""
     return r"""

@@ -142,8 +142,15 @@ def cutoffs(scored: DataFrame, labels: DataFrame, stratum: str = "lang", alpha:
     return strata.join(found, (F.col("thin") == F.col("_thin")) & F.col("own").eqNullSafe(F.col("_own"))).select(F.col("_s").alias("stratum"), "rule", "cutoff")
 
 
+def keep_passing(docs: DataFrame, labels: DataFrame, stratum: str = "lang") -> DataFrame:
+    """The rows of ``docs`` that base and rules keep, all columns as they were, whatever their names."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    judged = apply_rules(docs.select(row, "doc_id", "text", stratum), labels, stratum, keep_text=False)
+    return judged.where("kept").select("row.*")
+
+
 def apply_rules(docs: DataFrame, labels: DataFrame, stratum: str = "lang", keep_text: bool = True) -> DataFrame:
-    """``docs`` (doc_id, text, the stratum's column and others) with the statistics and ``kept``.
+    """``docs`` (doc_id, text, the stratum's column and others) with the statistics and ``kept``; columns of these names are replaced.
 
     Null and empty texts have no words and fail the base; a null stratum is a stratum; a
     stratum with too few good texts to certify a cutoff shares one with the others like it; if
