@@ -84,12 +84,16 @@ class SubwordModel:
         return (1 / (1 + np.exp(-np.clip(self.offset + self.scale * total / np.maximum(n, 1), -50, 50)))).tolist()
 
 
-def train(texts: list[bytes], labels: list[int]) -> SubwordModel:
+def bag_of(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The different buckets of a text and how often each stands in it: 2 * BUCKETS at most, however long the text."""
+    return np.unique(buckets_of(sorted(words_of(text)))[1], return_counts=True)
+
+
+def train(found: list[tuple[np.ndarray, np.ndarray]], labels: list[int]) -> SubwordModel:
     """Vectors and softmax by Adagrad on mini-batches; scale and offset by a logistic fit on texts kept apart."""
     y_all = np.array(labels, dtype=np.int64)
     if len(set(labels)) < 2:
         return SubwordModel(np.zeros(2 * BUCKETS, np.float32), 0.0 if not labels else (2.0 if labels[0] else -2.0), 1.0)
-    found = [np.unique(buckets_of(sorted(words_of(t)))[1], return_counts=True) for t in texts]
     texts_with = np.bincount(np.concatenate([ids for ids, _ in found]), minlength=2 * BUCKETS)
     bags = []
     for ids, weight in found:
@@ -97,8 +101,8 @@ def train(texts: list[bytes], labels: list[int]) -> SubwordModel:
         often = texts_with[ids] >= LEAST_TEXTS
         bags.append((ids[often].astype(np.int32), (weight[often] / max(weight.sum(), 1)).astype(np.float32)))
     rng = np.random.default_rng(SEED)
-    shuffled = rng.permutation(len(texts))
-    apart, learn = shuffled[: len(texts) // 5], shuffled[len(texts) // 5 :]
+    shuffled = rng.permutation(len(found))
+    apart, learn = shuffled[: len(found) // 5], shuffled[len(found) // 5 :]
     learn = learn if len(learn) else shuffled
     gain = GAIN
     vectors = rng.uniform(-1e-3, 1e-3, (2 * BUCKETS, DIM)).astype(np.float32)
@@ -160,12 +164,21 @@ def fit(docs: DataFrame, labels: DataFrame, label: str) -> SubwordModel:
     chosen = materialise(chosen[0].union(chosen[1]), "toxicity-chosen")
     # 2 * SAMPLE rows of two numbers: small whatever the input.
     sample = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).where("text is not null").join(F.broadcast(chosen), "doc_id")
+
+    def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own = [bag_of(t) for t in b.column("text").to_pylist()]
+            held = [pa.array([x[k].astype("<i4").tobytes() for x in own], pa.binary()) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("label"), b.column("h"), *held], names=["doc_id", "label", "h", "ids", "n"])
+
+    # Texts become bags where they lie: what the one task reads is bounded by subwords.
+    sample = sample.select("doc_id", "label", F.xxhash64("text").alias("h"), "text").mapInArrow(bags, "doc_id long, label int, h long, ids binary, n binary")
     # Repeated ids: of the rows of one id the first by text hash is learned from.
-    sample = sample.groupBy("doc_id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    sample = sample.groupBy("doc_id", "label").agg(F.min_by(F.struct("ids", "n"), "h").alias("bag")).select("doc_id", "label", "bag.*")
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = sorted(r for b in batches for r in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), b.column("label").to_pylist(), strict=True))
-        m = train([r[1] for r in rows], [r[2] for r in rows])
+        rows = sorted(r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("doc_id", "label", "ids", "n")), strict=True))
+        m = train([(np.frombuffer(r[2], "<i4"), np.frombuffer(r[3], "<i4")) for r in rows], [r[1] for r in rows])
         yield pa.RecordBatch.from_arrays([pa.array([m.value.astype("<f4").tobytes()], pa.binary()), pa.array([m.offset]), pa.array([m.scale])], names=["value", "offset", "scale"])
 
     counts = {r["label"]: r["count"] for r in open_rows.groupBy("label").count().collect()}

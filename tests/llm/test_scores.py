@@ -57,7 +57,7 @@ def test_misspellings_share_vectors():
             words[int(rng.integers(0, 40))] = b"zzwoppler"
         texts.append(b" ".join(words))
         labels.append(k % 2)
-    model = toxicity.train(texts, labels)
+    model = toxicity.train([toxicity.bag_of(t) for t in texts], labels)
     clean = b" ".join(harmless[:40])
     low, seen, unseen = model.score([clean, clean + b" zzwoppler", clean + b" zzwopplerr"])
     assert low < 0.3 and seen > 0.7 and unseen > 0.7
