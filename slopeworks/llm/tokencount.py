@@ -16,10 +16,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slopeworks.llm.common import small_batches, worker_cache
+from slopeworks.llm.common import materialise, small_batches, worker_cache
 
 #: Entries of the broadcast table; entries of a worker's cache before it starts anew.
 FREQUENT, CACHE = 8192, 300_000
+#: Summaries that one task merges.
+FAN_IN = 64
 #: The tokenizer's own space character counts as a space.
 _SPACE = "▁".encode()
 _PRE_TOKEN = re.compile(rb"(?: |\xe2\x96\x81)*(?:(?!\xe2\x96\x81)[^ ])+|(?: |\xe2\x96\x81)+")
@@ -59,21 +61,24 @@ def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield _summary(_trim(counts, FREQUENT))
 
 
-def _merged(parts: pa.Table) -> pa.Table:
+def _merged(key: tuple, parts: pa.Table) -> pa.Table:
     counts: Counter = Counter()
     for words, n in zip(parts.column("words").to_pylist(), parts.column("counts").to_pylist(), strict=True):
         for w, k in zip(words, n, strict=True):
             counts[w] += k
         counts = _trim(counts, 4 * FREQUENT)
-    return pa.Table.from_batches([_summary(_trim(counts, FREQUENT))])
+    return pa.Table.from_batches([_summary(_trim(counts, FREQUENT))]).add_column(0, "g", pa.array([key[0].as_py()], pa.int64()))
 
 
 def frequent_pre_tokens(docs: DataFrame) -> list[bytes]:
-    """At most FREQUENT frequent pre-tokens of all texts: a summary per partition, merged in two steps."""
+    """At most FREQUENT frequent pre-tokens of all texts: a summary per partition, merged FAN_IN at a time until one is left."""
     kind = "words array<binary>, counts array<bigint>"
     parts = docs.select(F.col("text").cast("binary")).mapInArrow(_summaries, kind)
-    for group in (F.pmod(F.spark_partition_id(), F.lit(64)), F.lit(0)):
-        parts = parts.withColumn("g", group).groupBy("g").applyInArrow(lambda _, t: _merged(t), kind)
+    parts = materialise(parts.withColumn("g", F.spark_partition_id().cast("long")), "tokens-summaries")
+    last = parts.agg(F.max("g")).first()[0]
+    while last:
+        last //= FAN_IN
+        parts = materialise(parts.withColumn("g", F.floor(F.col("g") / FAN_IN)).groupBy("g").applyInArrow(_merged, f"g long, {kind}"), "tokens-summaries")
     row = parts.first()
     return [bytes(w) for w in row["words"]] if row else []
 

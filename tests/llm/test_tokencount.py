@@ -39,3 +39,10 @@ def test_summary_keeps_what_is_frequent():
 
     counts = Counter({b"a": 50, b"b": 30, b"c": 1, b"d": 1})
     assert tokencount._trim(counts, 2) == Counter({b"a": 49, b"b": 29})
+
+
+def test_summaries_merge_in_rounds(spark, monkeypatch):
+    monkeypatch.setattr(tokencount, "FAN_IN", 2)
+    docs = spark.createDataFrame([(k, f"often w{k} often") for k in range(60)], "doc_id long, text string").repartition(7)
+    found = tokencount.frequent_pre_tokens(docs)
+    assert b"often" in found and len(found) == 61
