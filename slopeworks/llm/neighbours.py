@@ -16,8 +16,10 @@ from pyspark.sql import functions as F
 
 from slopeworks.llm.common import materialise
 
-#: Rows of a shard, queries of a block, points of a leaf.
+#: Rows of a shard and queries of a block while there are few, points of a leaf.
 SHARD, BLOCK, LEAF = 8192, 8192, 64
+#: Beyond so many shards or blocks they grow instead, up to so many times: every vector is copied to every block, every query to every shard.
+MANY, GROWN = 64, 8
 #: How far the pruning is relaxed in production: recall is measured in the tests.
 RELAX = 1.15
 
@@ -78,6 +80,8 @@ def _search(cell: pa.Table, k: int, relax: float) -> pa.Table:
     is_query = cell.column("is_query").to_numpy(zero_copy_only=False)
     ids = cell.column("vec_id").to_numpy()
     vectors = cell.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ids), -1)
+    # Scaled by a power of two, which changes no cosine, so that no square overflows or vanishes.
+    vectors = np.ldexp(vectors, -np.frexp(np.abs(vectors).max(axis=1, initial=0))[1][:, None])
     norms = np.sqrt((vectors * vectors).sum(axis=1))
     q, c = np.flatnonzero(is_query), np.flatnonzero(~is_query)
     empty = {"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())}
@@ -128,7 +132,8 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, relax: float = RELA
     usable = usable.where(F.size("v") == sizes["n"])
     queries = usable.where(F.pmod("vec_id", F.lit(every)) == 0)
     n, n_queries = usable.count(), queries.count()
-    shards, blocks = max(1, math.ceil(n / SHARD)), max(1, math.ceil(n_queries / BLOCK))
+    dealt = lambda rows, most: max(1, math.ceil(rows / most / GROWN), min(MANY, math.ceil(rows / most)))
+    shards, blocks = dealt(n, SHARD), dealt(n_queries, BLOCK)
     # A cell is one shard and one block of queries: bounded, whatever the input.
     each = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
     filed = usable.select("vec_id", "v", F.lit(False).alias("is_query"), F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int").alias("shard"), each(blocks).alias("block"))
