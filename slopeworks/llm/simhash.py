@@ -26,7 +26,9 @@ BLOCKS = ((0, 22), (22, 21), (43, 21))
 #: Fixed value: generator polynomial of the binary Golay code of length 23.
 GENERATOR, LENGTH, CHECKS = 0xAE3, 23, 11
 #: Fingerprints on either side of one comparison task; larger anchors are cut into pairs of chunks.
-CHUNK = 4096
+CHUNK = 8192
+#: Parts into which the rows of a frequent key are dealt before a join.
+SALTS = 64
 
 
 def fingerprint(text: bytes, width: int = SHINGLE) -> int:
@@ -143,9 +145,11 @@ def components(edges: DataFrame) -> DataFrame:
     """
     edges, seen = materialise(edges, "simhash-edges"), None
     while True:
+        part = F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")
         both = edges.union(edges.select("b", "a")).toDF("u", "v")
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        larger = edges.toDF("v", "u").join(least, "u").select("v", "m").where("v <> m")
+        # A node's smallest neighbour goes to the parts its edges are dealt to: a hub's edges never meet in one task.
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.collect_set(part).alias("parts")).select("u", "m", F.explode("parts").alias("part"))
+        larger = edges.toDF("v", "u").withColumn("part", part).join(least, ["u", "part"]).select("v", "m").where("v <> m")
         # Smaller neighbours and the node itself go to the smallest neighbour.
         least = larger.groupBy("v").agg(F.min("m").alias("r"))
         joined = larger.join(least, "v")
@@ -168,15 +172,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     columns are ignored; no rows give no rows.
     """
     small_batches(docs.sparkSession)
-    prints = materialise(
-        docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(_fingerprints, "doc_id long, fp long"), "simhash-prints"
-    )
-    distinct = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct")
-    rooted = distinct.join(components(links(distinct)), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    rooted = materialise(rooted, "simhash-rooted")
-    smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    classes = rooted.join(smallest, "root").select("fp", "component_id")
-    return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
+    found = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(_fingerprints, "doc_id long, fp long")
+    # Copies of one fingerprint are dealt over parts; its class goes to those parts alone.
+    prints = materialise(found.withColumn("part", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")), "simhash-prints")
+    distinct = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.collect_set("part").alias("parts")), "simhash-distinct")
+    rooted = distinct.join(components(links(distinct)), "fp", "left").select("fp", "first", "parts", F.coalesce("root", "fp").alias("root"))
+    rooted = materialise(rooted.withColumn("of", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int")), "simhash-rooted")
+    smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"), F.collect_set("of").alias("of")).select("root", "component_id", F.explode("of").alias("of"))
+    classes = rooted.join(smallest, ["root", "of"]).select("fp", "component_id", F.explode("parts").alias("part"))
+    return prints.join(classes, ["fp", "part"]).select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
@@ -185,10 +189,11 @@ def keep_one(docs: DataFrame) -> DataFrame:
     Rows that share this id stay once per different text. Rows without an id cannot be referred
     to and stay. Only texts of kept documents are compared after the join on the id.
     """
-    kept = near_duplicates(docs).where("component_id is not null").select(F.col("component_id").alias("_kept")).distinct()
+    own = "simhash_" + "_" * max(map(len, docs.columns))  # longer than any column, so none of the same name
+    kept = near_duplicates(docs).where("component_id is not null").select(F.col("component_id").alias(own)).distinct()
     kept = materialise(kept, "simhash-kept")
-    named = docs.where("doc_id is not null").join(kept, F.col("doc_id") == F.col("_kept"), "left_semi")
-    once = named.withColumn("_text", F.xxhash64("text")).dropDuplicates(["doc_id", "_text"]).drop("_text")
+    named = docs.where("doc_id is not null").join(kept, F.col("doc_id") == F.col(own), "left_semi")
+    once = named.withColumn(own, F.xxhash64("text")).dropDuplicates(["doc_id", own]).drop(own)
     return once.unionByName(docs.where("doc_id is null"))
 
 
