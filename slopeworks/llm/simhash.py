@@ -151,8 +151,9 @@ def components(edges: DataFrame) -> DataFrame:
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.collect_set(part).alias("parts")).select("u", "m", F.explode("parts").alias("part"))
         larger = edges.toDF("v", "u").withColumn("part", part).join(least, ["u", "part"]).select("v", "m").where("v <> m")
         # Smaller neighbours and the node itself go to the smallest neighbour.
-        least = larger.groupBy("v").agg(F.min("m").alias("r"))
-        joined = larger.join(least, "v")
+        part = F.pmod(F.xxhash64("m"), F.lit(SALTS)).cast("int")
+        least = larger.groupBy("v").agg(F.min("m").alias("r"), F.collect_set(part).alias("parts")).select("v", "r", F.explode("parts").alias("part"))
+        joined = larger.withColumn("part", part).join(least, ["v", "part"])
         edges = materialise(
             joined.select(F.col("v").alias("a"), F.col("r").alias("b")).union(joined.select(F.col("m").alias("a"), F.col("r").alias("b"))).where("a <> b").distinct(),
             "simhash-edges",
