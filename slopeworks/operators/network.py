@@ -115,9 +115,11 @@ def nearest_node(points: DataFrame, nodes: DataFrame, cell: float = 0.002) -> Da
 
 
 def scratch(spark: SparkSession) -> str:
-    """The folder all executors share; one of our own only where the session names none."""
+    """The folder all executors share; one of our own only where the session names none and has no other machine."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="slopeworks-")
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")

@@ -32,12 +32,14 @@ def windowed_grades(points: DataFrame, window_m: float = 100, min_len_m: float =
 
     Only frames that grow with the distance are used, so a track costs one sort.
     """
-    half = int(window_m // 2)
-    by_dist = track().orderBy("dist_m")
+    half = window_m / 2
+    # Frames take whole bounds: distances are doubled, or told in half millimetres where the window is no whole number.
+    unit = 2 if float(window_m).is_integer() else 2000
+    reach, by_dist = round(half * unit), track().orderBy(F.col("dist_m") * unit)
     sample = F.struct("dist_m", "elev_m", "next_dist", "next_elev")
     n = with_next(points).withColumns({
-        "_lo": F.max_by(sample, "seq").over(by_dist.rangeBetween(Window.unboundedPreceding, -half)),
-        "_hi": F.max_by(sample, "seq").over(by_dist.rangeBetween(Window.unboundedPreceding, half)),
+        "_lo": F.max_by(sample, "seq").over(by_dist.rangeBetween(Window.unboundedPreceding, -reach)),
+        "_hi": F.max_by(sample, "seq").over(by_dist.rangeBetween(Window.unboundedPreceding, reach)),
         "_first": F.first(F.struct("dist_m", "elev_m")).over(by_seq().rowsBetween(Window.unboundedPreceding, 0)),
     })
 

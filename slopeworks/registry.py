@@ -435,12 +435,16 @@ def tiers_per_route(spark, d):
     return _routes(spark, d).groupBy("req_id", "nodes").agg(F.min("tier").alias("first_tier"), text.alias("tiers")).drop("nodes")
 
 
-@query("select round(min(lon) - 0.06 * (max(lon) - min(lon)), 8) as x0, round(max(lon) + 0.06 * (max(lon) - min(lon)), 8) as x1, round(min(lat) - 0.06 * (max(lat) - min(lat)), 8) as y0, round(max(lat) + 0.06 * (max(lat) - min(lat)), 8) as y1, round(avg(lon), 8) as lon0, round(avg(lat), 8) as lat0 from fx_nodes")
+PADDED = ", ".join(f"round({f}({c}) {sign} (0.06 * (max({c}) - min({c})) + {k}), 8) as {n}" for c, k, n0 in (("lon", 0.004, "x"), ("lat", 0.003, "y")) for f, sign, n in (("min", "-", n0 + "0"), ("max", "+", n0 + "1")))
+
+
+@query(f"select {PADDED}, round(avg(lon), 8) as lon0, round(avg(lat), 8) as lat0 from fx_nodes")
 def overall_extent(spark, d):
-    pad = lambda c: 0.06 * (F.max(c) - F.min(c))
-    return view(spark, d, "fx_nodes").agg(
-        r(F.min("lon") - pad("lon"), 8).alias("x0"), r(F.max("lon") + pad("lon"), 8).alias("x1"), r(F.min("lat") - pad("lat"), 8).alias("y0"),
-        r(F.max("lat") + pad("lat"), 8).alias("y1"), r(F.avg("lon"), 8).alias("lon0"), r(F.avg("lat"), 8).alias("lat0"),
+    n = view(spark, d, "fx_nodes")
+    pad = lambda c, k: 0.06 * (F.max(c) - F.min(c)) + k
+    return n.agg(
+        r(F.min("lon") - pad("lon", 0.004), 8).alias("x0"), r(F.max("lon") + pad("lon", 0.004), 8).alias("x1"), r(F.min("lat") - pad("lat", 0.003), 8).alias("y0"),
+        r(F.max("lat") + pad("lat", 0.003), 8).alias("y1"), r(F.avg("lon"), 8).alias("lon0"), r(F.avg("lat"), 8).alias("lat0"),
     )
 
 
@@ -479,23 +483,7 @@ select line_id, name, cast(row_number() over (order by imp desc, len desc, name,
 def label_candidates(spark, d):
     n = view(spark, d, "fx_lines").groupBy("line_id").agg((F.max("lon") - F.min("lon")).alias("length_m"))
     n = n.withColumns({"map_id": F.lit(0), "span_m": F.lit(0.049), "importance": F.col("line_id") % 4, "name": F.concat(F.lit("street "), F.col("line_id") % 7)})
-    rank = F.row_number().over(Window.partitionBy("map_id").orderBy(F.desc("importance"), F.desc("length_m"), "name", "line_id")).cast("long")
-    return n.where(F.col("length_m") >= 0.025 * F.col("span_m")).withColumn("rank", rank).where("rank <= 160").select("line_id", "name", "rank")
-
-
-@query("""select line_id, '<trk>' || chr(10) || string_agg(printf('<trkpt lat="%.6f" lon="%.6f"/>', lat, lon), chr(10) order by seq) || chr(10) || '</trk>' as gpx from fx_lines group by line_id""")
-def gpx_lines(spark, d):
-    line = F.format_string('<trkpt lat="%.6f" lon="%.6f"/>', "lat", "lon")
-    rows = F.transform(F.array_sort(F.collect_list(F.struct("seq", line.alias("x")))), lambda s: s["x"])
-    return view(spark, d, "fx_lines").groupBy("line_id").agg(F.concat(F.lit("<trk>\n"), F.array_join(rows, "\n"), F.lit("\n</trk>")).alias("gpx"))
-
-
-@query()
-def geojson_route(spark, d):
-    coords = F.transform(F.array_sort(F.collect_list(F.struct("seq", r(F.col("lon")).alias("x"), r(F.col("lat")).alias("y")))), lambda s: F.array(s["x"], s["y"]))
-    lines = view(spark, d, "fx_lines").groupBy("line_id").agg(coords.alias("c"))
-    feature = F.struct(F.lit("Feature").alias("type"), F.struct(F.lit("LineString").alias("type"), F.col("c").alias("coordinates")).alias("geometry"), F.struct("line_id").alias("properties"))
-    return lines.select("line_id", F.to_json(feature).alias("feature"))
+    return layers.label_candidates(n).select("line_id", "name", "rank")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from slopeworks.operators import directions, layers, network, profile, routes
-from slopeworks.registry import GRADED, GROUPS, REQ, SPEED, STEPS, _routes, query, r
+from slopeworks.operators import directions, layers, network, profile, reports, routes
+from slopeworks.registry import GRADED, GROUPS, REQ, RUNS, SPEED, STEPS, _routes, query, r
 from slopeworks.sources.fixtures import view
 
 ROUTE = """s0 as (select *, coalesce(sum(length_m) over (partition by route_id order by arc_seq rows between unbounded preceding and 1 preceding), 0.0) as at0 from fx_route_edges),
@@ -141,6 +141,57 @@ def directions_text(spark, d):
     return directions.directions_text(steps, totals)
 
 
+@query(f"""with {ROUTE}, rn as (select distinct track_id, 'R&D <' || track_id || '>' as name from ap)
+select track_id, 1 as part, seq as line_no, printf('      <trkpt lat="%.6f" lon="%.6f"><ele>%.1f</ele></trkpt>', round(lat, 8), round(lon, 8), round(elev_m, 1)) as line from ap union all
+select track_id, u.p, u.n, case u.p * 10 + u.n when 0 then '<?xml version="1.0" encoding="UTF-8"?>' when 1 then '<gpx version="1.1" creator="slopeworks" xmlns="http://www.topografix.com/GPX/1/1">' when 2 then '  <trk>'
+  when 3 then '    <name>' || replace(replace(replace(name, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</name>' when 4 then '    <trkseg>' when 20 then '    </trkseg>' when 21 then '  </trk>' else '</gpx>' end
+from rn, (values (0, 0::bigint), (0, 1), (0, 2), (0, 3), (0, 4), (2, 0), (2, 1), (2, 2)) as u(p, n)""")
+def gpx_lines(spark, d):
+    points = _points(spark, d)
+    return reports.gpx_lines(points, _route_names(points))
+
+
+def _route_names(points):
+    return points.select("track_id").distinct().withColumn("name", F.concat(F.lit("R&D <"), F.col("track_id"), F.lit(">")))
+
+
+def _features(spark, d):
+    points, steps = _points(spark, d), _steps(spark, d)
+    graded = profile.windowed_grades(points)
+    stats = step_stats(spark, d)
+    told = steps.join(directions.step_notes(stats).select("route_id", "step_no", "max_grade", "notes"), ["route_id", "step_no"]).join(turn_bearings(spark, d).select("route_id", "step_no", "delta"), ["route_id", "step_no"])
+    return reports.geojson_features(graded, profile.track_metrics(points), told, _route_names(points))
+
+
+WORD = "case when delta is null then 'Partir sur' when abs(delta) < 25 then 'Continuer tout droit sur' when abs(delta) < 60 then 'Légèrement à ' || side || ' sur' when abs(delta) < 135 then 'Tourner à ' || side || ' sur' else 'Faire demi-tour (virage serré à ' || side || ') sur' end"
+TENTH = "printf('%.1f', round_even({0} * 10.0, 0) / 10.0 + 0.0::double)"
+WHOLE = " || ".join(f"""',"{c}":' || cast(round_even({c}, 0) as bigint)""" for c in ("length_m", "steep_len_m", "gain_m", "loss_m", "time_s"))
+FEATURES = f"""tm as (select track_id, max(dist_m) - min(dist_m) as length_m, greatest(max(grade), 0.0) as max_grade_pct, coalesce(sum(greatest(dh, 0.0)), 0.0) as gain_m, coalesce(sum(greatest(-dh, 0.0)), 0.0) as loss_m,
+  coalesce(sum(l / greatest(3.5 / 3.6, least(32 / 3.6, speed))), 0.0) as time_s from v group by track_id),
+tl as (select track_id, sum(end_m - start_m) as steep_len_m from runs group by track_id), tq as (select tm.*, coalesce(steep_len_m, 0.0) as steep_len_m from tm left join tl on tl.track_id = tm.track_id),
+fl as (select track_id, 'line' as kind, 0::bigint as no, '{{"type":"Feature","properties":{{"name":"R&D <' || track_id || '>"' || {WHOLE} || ',"max_grade_pct":' || {TENTH.format('max_grade_pct')} || '}},"geometry":{{"type":"LineString","coordinates":['
+  || (select string_agg(printf('[%.6f,%.6f,%.1f]', round(lon, 8), round(lat, 8), round(elev_m, 1)), ',' order by seq) from ap where ap.track_id = tq.track_id) || ']}}}}' as feature from tq),
+fs as (select ap.track_id, 'steep' as kind, run as no, '{{"type":"Feature","properties":{{"kind":"steep","from_m":' || cast(round_even(start_m, 0) as bigint) || ',"to_m":' || cast(round_even(end_m, 0) as bigint) || '}},"geometry":{{"type":"LineString","coordinates":['
+  || string_agg(printf('[%.6f,%.6f]', round(lon, 8), round(lat, 8)), ',' order by seq) || ']}}}}' as feature from ap join runs on runs.track_id = ap.track_id and ap.dist_m between start_m - 1e-6 and end_m + 1e-6 group by ap.track_id, run, start_m, end_m having count(*) >= 2),
+pt as (select st.route_id, st.step_no, arg_min(lon, seq) as lon, arg_min(lat, seq) as lat from ap join st on st.route_id = ap.track_id and ap.dist_m between d_start and d_end group by 1, 2),
+fp as (select st.route_id as track_id, 'step' as kind, st.step_no as no, '{{"type":"Feature","properties":{{"kind":"step","n":' || st.step_no || ',"instruction":"' || {WORD} || '","name":' || to_json(st.name) || ',"length_m":' || cast(round_even(st.length_m, 0) as bigint) || ',"max_grade_pct":' || {TENTH.format('max_grade')}
+  || ',"notes":' || to_json(notes) || '}},"geometry":{{"type":"Point","coordinates":' || printf('[%.6f,%.6f]', round(lon, 8), round(lat, 8)) || '}}}}' as feature
+  from st join nt on nt.route_id = st.route_id and nt.step_no = st.step_no join (select *, case when delta > 0 then 'droite' else 'gauche' end as side from tn) t on t.route_id = st.route_id and t.step_no = st.step_no join pt on pt.route_id = st.route_id and pt.step_no = st.step_no),
+fa as (select * from fl union all select * from fs union all select * from fp)"""
+TOLD = f"{ROUTE}, {ON_ROUTES}, {RUNS}, {RA}, {NAMED}, {STATS}, {NOTES}, {TURNS}, {SPEED}, {FEATURES}"
+
+
+@query(f"with {TOLD} select * from fa")
+def geojson_route(spark, d):
+    return _features(spark, d)
+
+
+@query(f"""with {TOLD}, oc as (select track_id, feature, row_number() over w as line_no, lead(no) over w is null as last from fa window w as (partition by track_id order by case kind when 'line' then 0 when 'steep' then 1 else 2 end, no))
+select track_id, line_no, feature || case when last then '' else ',' end as line from oc union all select track_id, 0, '{{"type":"FeatureCollection","features":[' from oc where last union all select track_id, line_no + 1, ']}}' from oc where last""")
+def union_features(spark, d):
+    return reports.union_features(_features(spark, d))
+
+
 @query("select line_id, seq from fx_lines where lon > 2.39 and lon < 2.41 and lat > 48.8201 and lat < 48.8401 qualify count(*) over (partition by line_id) >= 2")
 def points_in_extent(spark, d):
     return layers.points_in_extent(view(spark, d, "fx_lines"), 2.39, 2.41, 48.8201, 48.8401).select("line_id", "seq")
