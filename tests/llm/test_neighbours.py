@@ -63,3 +63,13 @@ def test_odd_rows(spark):
     assert neighbours.nearest(df.where("false")).count() == 0
     assert neighbours.nearest(df.where("vec_id = 50")).count() == 0
     assert len(found(neighbours.nearest(df.where("vec_id in (50, 51, 52)")))[50]) == 2
+
+
+def test_extreme_lengths_and_production_recall(spark, sf10):
+    rows = [(k, [float(k % 7 + 1), float(k % 3), 1.0 + k]) for k in range(120)]
+    scaled = [(k, [x * 2.0 ** (0, 660, -660)[k % 3] for x in v]) for k, v in rows]
+    of = lambda r: found(neighbours.nearest(spark.createDataFrame(r, "vec_id long, embedding array<double>"), relax=1.0))
+    plain, odd = of(rows), of(scaled)
+    assert plain == odd and len(plain) == 3
+    df = spark.read.parquet(f"{sf10}/embeddings.parquet")
+    assert recall(found(op10_nearest(spark, sf10)), brute([(r["vec_id"], r["embedding"]) for r in df.collect()])) >= 0.9
