@@ -55,11 +55,11 @@ def _chain(pieces: pd.DataFrame) -> pd.DataFrame:
         at.setdefault(p[-1], []).append(i)
     free = [i for i, p in enumerate(lines) if len(at[p[0]]) != 2 or len(at[p[-1]]) != 2]
     i = free[0] if free else 0
-    path = lines[i] if len(at[lines[i][0]]) != 2 or not free else lines[i][::-1]
+    path = list(lines[i] if len(at[lines[i][0]]) != 2 or not free else lines[i][::-1])
     left = set(range(len(lines))) - {i}
     while left:
         i = next(k for k in at[path[-1]] if k in left)
-        path = path + (lines[i] if lines[i][0] == path[-1] else lines[i][::-1])[1:]
+        path.extend((lines[i] if lines[i][0] == path[-1] else lines[i][::-1])[1:])
         left.remove(i)
     first = pieces.iloc[0]
     return pd.DataFrame([(first["name"], int(first.line_id), first["class"], len(pieces), [v[0] for v in path], [v[1] for v in path])], columns=MERGED.names)

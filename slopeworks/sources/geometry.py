@@ -61,6 +61,14 @@ def _decode(raw: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["kind", "parts"])
 
 
+def kind_of(raw: Column) -> Column:
+    """Kind of a binary geometry by its head alone, without decoding it; null where it is null or of no known kind."""
+    byte = lambda i: F.hex(F.substring(raw, i, 1))
+    little = byte(1) == "01"
+    code = F.conv(F.when(little, F.concat(*map(byte, (5, 4, 3, 2)))).otherwise(F.concat(*map(byte, (2, 3, 4, 5)))), 16, 10).cast("long") % 1000
+    return F.when(F.length(raw) >= 5, F.element_at(F.create_map(*[F.lit(x) for k in KINDS.items() for x in k]), code.cast("int")))
+
+
 def wkb_decode(raw: Column) -> Column:
     """(kind, parts) of a binary geometry; both null where it is null or unreadable. Heights are left out."""
     return _decode(raw)

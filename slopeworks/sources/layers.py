@@ -18,16 +18,24 @@ LAYERS = {
 BOX = ("xmin", "xmax", "ymin", "ymax")
 
 
-def scan_layers(spark: SparkSession, root: str, box: tuple[float, float, float, float], layers: dict | None = None) -> dict[str, DataFrame]:
-    """Per type the features that meet the closed box; partitions, row groups and columns that are not needed are not read.
+def _there(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
 
-    Columns that a folder lacks come as nulls, so every layer has its columns.
+
+def scan_layers(spark: SparkSession, root: str, box: tuple[float, float, float, float], layers: dict | None = None, merge: bool = False) -> dict[str, DataFrame]:
+    """Per type the features that meet the closed box; folders, row groups and columns that are not needed are not read.
+
+    A layer's columns are those of one of its files, so one footer is read a layer; ``merge`` reads them all, for layers
+    whose files differ. Columns that a layer lacks come as nulls, and a layer without a folder as no rows.
     """
     x0, x1, y0, y1 = box
-    all_ = spark.read.option("mergeSchema", True).parquet(root)
-    have, out = set(all_.columns), {}
+    out = {}
     for (theme, kind), columns in (layers or LAYERS).items():
-        inside = all_.where((F.col("theme") == theme) & (F.col("type") == kind)).where(f"xmin <= {x1!r}D and xmax >= {x0!r}D and ymin <= {y1!r}D and ymax >= {y0!r}D")
+        folder = f"{root}/theme={theme}/type={kind}"
+        own = spark.read.options(basePath=root, mergeSchema=merge).parquet(folder) if _there(spark, folder) else spark.createDataFrame([], ", ".join(["theme string", "type string", *(f"{c} double" for c in BOX)]))
+        have = set(own.columns)
+        inside = own.where((F.col("theme") == theme) & (F.col("type") == kind)).where(f"xmin <= {x1!r}D and xmax >= {x0!r}D and ymin <= {y1!r}D and ymax >= {y0!r}D")
         out[kind] = inside.select(*[F.col(c) if c in have else F.lit(None).alias(c) for c in (*columns, *BOX)])
     return out
 
@@ -40,7 +48,6 @@ def union_promoted(tables: list[DataFrame]) -> DataFrame:
 def layer_cache(df: DataFrame, path: str) -> DataFrame:
     """``df`` as zstd Parquet under ``path``, written only if no complete table is there; ``path`` should name the parameters."""
     spark = df.sparkSession
-    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
+    if not _there(spark, f"{path}/_SUCCESS"):
         df.write.mode("overwrite").option("compression", "zstd").parquet(path)
     return spark.read.parquet(path)
