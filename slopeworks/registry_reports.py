@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from slopeworks.jobs import build_network
 from slopeworks.operators import directions, profile, reports, routes, search
+from slopeworks.operators.network import written
 from slopeworks.registry import GRADED, RUNS, SPEED, SQL, _access, query
 from slopeworks.registry_routes import directions_text
 from slopeworks.registry_search import _points, _rounded, _solve
@@ -47,13 +48,32 @@ def summary_table(spark, d):
     return reports.summary_table(_solved(spark, d))
 
 
-@query(f"""with {TIERS}, {MINUTES} select req_id, 0 as section, tier, 0::bigint as line_no, {LINE} as line from sm
+SOURCES = "Réseau et altitudes : tables de test."
+
+
+@query(f"""with {TIERS}, {MINUTES}, hd as (select req_id, string_agg('+' || tier || ' %', ', ' order by tier) as tiers from (select distinct req_id, tier from so) group by req_id)
+select req_id, 0 as section, tier, 0::bigint as line_no, {LINE} as line from sm
 union all select req_id, 1, tier, 0, '## Palier ' || case when tier <= 0 then '+0 % (trajet le plus court)' else '+' || tier || ' % de détour' end from sm
 union all select req_id, 1, tier, 1, 'Tracé **identique au palier +' || same_as_tier || ' %**' from sm where same_as_tier is not null
 union all select req_id, 1, tier, u.n, case u.n when 1 then '- Distance : **' || {KM} || '** (' || {_fixed('detour_pct', 1, '+')} || ' %)' when 2 then '- Pente max en montée : **' || {_fixed('max_grade_pct', 1)} || ' %**'
-  when 3 then '- Longueur raide : **' || {_fixed('steep_len_m')} || ' m**' when 4 then '- Dénivelé : **+' || {_fixed('gain_m')} || ' m** / −' || {_fixed('loss_m')} || ' m' else '- Temps estimé : **' || {CLOCK} || '**' end from sm, unnest([1, 2, 3, 4, 5]) as u(n) where same_as_tier is null""")
+  when 3 then '- Longueur raide : **' || {_fixed('steep_len_m')} || ' m**' when 4 then '- Dénivelé : **+' || {_fixed('gain_m')} || ' m** / −' || {_fixed('loss_m')} || ' m' when 5 then '- Temps estimé : **' || {CLOCK} || '**' else '- Fichiers : [' || {SLUG} || '.png](' || {SLUG} || '.png) · [GPX](' || {SLUG} || '.gpx) · [GeoJSON](' || {SLUG} || '.geojson)' end
+  from sm, unnest([1, 2, 3, 4, 5, 6]) as u(n) where same_as_tier is null
+union all select req_id, -1, null, u.n, case u.n when 0 then '# Itinéraires vélo à pente douce' when 3 then '**Mode :** vélo classique · **Paliers :** ' || tiers || ' · **Pente max mesurée sur fenêtre de 100 m** · **Seuil « raide » : 6 %**'
+  when 4 then '## Tableau récapitulatif' when 5 then '| Palier | Distance | Détour réel | Pente max montée (100 m) | Longueur > 6 % | D+ | D− | Temps estimé | Tracé |' else '|---|---|---|---|---|---|---|---|---|' end from hd, unnest([0, 3, 4, 5, 6]) as u(n)
+union all select req_id, -1, null, 1, '**Départ :** nœud ' || src || printf(' (%.6f, %.6f)  ', round(a.lat, 8), round(a.lon, 8)) from fx_requests join hd using (req_id) join fx_nodes a on a.node_id = src
+union all select req_id, -1, null, 2, '**Arrivée :** nœud ' || dst || printf(' (%.6f, %.6f)  ', round(a.lat, 8), round(a.lon, 8)) from fx_requests join hd using (req_id) join fx_nodes a on a.node_id = dst
+union all select req_id, 2, null, u.n, case u.n when 0 then '## Sources et méthode' else '{SOURCES}' end from hd, unnest([0, 1]) as u(n)""")
 def route_report(spark, d):
-    return reports.route_report(_solved(spark, d))
+    return reports.route_report(_solved(spark, d), ends=_ends(spark, d), sources=SOURCES)
+
+
+def _ends(spark, d):
+    """Start and end of every request, named after their nodes."""
+    ends = view(spark, d, "fx_requests").select("req_id", "src", "dst")
+    for key, e in (("src", "start"), ("dst", "end")):
+        at = view(spark, d, "fx_nodes").select(F.col("node_id").alias(key), F.col("lat").alias(f"{e}_lat"), F.col("lon").alias(f"{e}_lon"))
+        ends = ends.join(at, key).withColumn(f"{e}_name", F.concat(F.lit("nœud "), F.col(key)))
+    return ends.drop("src", "dst")
 
 
 @query(f"""select route_id, 'sheet' as part, line_no, line from ({SQL['directions_text']}) union all
@@ -69,8 +89,6 @@ def describe_routes(spark, d):
 @query()
 def web_frontier(spark, d):
     """Windows and tiers of every request, the different routes once, a frontier per window and an extent."""
-    from slopeworks.operators.network import written
-
     windows = [50, 100]
     found = written(_solve(spark, d, windows, search.Plan((0, 10, 20), refine=False))[0])
     numbered = written(search.number_routes(search.describe(found, _points(spark, d), windows)).select("req_id", "window_m", "tier_pct", "route_no"))
@@ -86,9 +104,22 @@ def web_frontier(spark, d):
 @query()
 def request_reports(spark, d):
     """The report lines of every solved request."""
-    found = _solve(spark, d, [100], search.Plan((0, 10, 50)))[0]
-    solved = reports.tiers_of(search.describe(found, _points(spark, d), [100]))
-    return _rounded(reports.route_report(solved))
+    found = written(_solve(spark, d, [100], search.Plan((0, 10, 50)))[0])
+    solved = written(reports.tiers_of(search.describe(found, _points(spark, d), [100])))
+    return _rounded(reports.route_report(solved, _sheets(found, solved, _points(spark, d)), _ends(spark, d), SOURCES))
+
+
+def _sheets(found, solved, edge_points):
+    """Direction lines (req_id, tier, line_no, line) of the different routes of every request; the network's arcs have no names."""
+    own = solved.where("same_as_tier is null").withColumn("route_id", F.concat_ws("/", "req_id", "tier"))
+    arcs = found.withColumn("route_id", F.concat_ws("/", "req_id", "tier_pct")).join(own.select("route_id"), "route_id", "left_semi")
+    points = written(routes.assemble_points(arcs, edge_points))
+    named = arcs.select("route_id", F.col("arc_seq").alias("seq"), F.lit(None).cast("string").alias("name"), F.lit("residential").alias("road_class"), "length_m")
+    steps = written(directions.steps(named))
+    notes = directions.step_notes(routes.step_stats(profile.windowed_grades(points), steps)).select("route_id", "step_no", "notes")
+    turns = routes.turn_bearings(points, steps).select("route_id", "step_no", "delta")
+    lines = directions.directions_text(steps.join(notes, ["route_id", "step_no"]).join(turns, ["route_id", "step_no"]), own.select("route_id", "length_m", "time_s", "gain_m"))
+    return lines.join(own.select("route_id", "req_id", "tier"), "route_id").drop("route_id")
 
 
 def _built(spark, d):
