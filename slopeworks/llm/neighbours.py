@@ -3,11 +3,17 @@
 Vectors are compared on the unit sphere, where distance falls as cosine rises. A branch is
 skipped if no point in it can be nearer than the k-th found, by the triangle inequality with
 the found radius divided by ``relax``: 1 is exact search, more skips more.
+
+Shards are dealt by the nearest of a bounded sample of vantage points. A query searches its own
+vantage point's shards first and then, with the radius found there, only those of the vantage
+points whose members may lie within it, by the same relaxed inequality. A shard's tree is built
+once and its queries stream past it.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,12 +22,16 @@ from pyspark.sql import functions as F
 
 from slopeworks.llm.common import materialise
 
-#: Rows of a shard and queries of a block while there are few, points of a leaf.
-SHARD, BLOCK, LEAF = 8192, 8192, 64
-#: Beyond so many shards or blocks they grow instead, up to so many times: every vector is copied to every block, every query to every shard.
-MANY, GROWN = 64, 8
+#: Rows of a shard, points of a leaf.
+SHARD, LEAF = 8192, 64
+#: Most vantage points of shards, a sample of the vectors: what is collected and sent to every task, whatever the input.
+PIVOTS = 4096
+#: Queries beyond which a shard is searched by several tasks.
+ASKED = 1 << 20
 #: How far the pruning is relaxed in production: recall is measured in the tests.
 RELAX = 1.15
+#: Distances near zero are known to some 1e-8.
+SLACK = 1e-7
 
 
 class VantageTree:
@@ -42,10 +52,11 @@ class VantageTree:
             return (None, own)
         return (vantage, radius, self._build(inner), self._build(outer))
 
-    def search(self, queries: np.ndarray, k: int, relax: float) -> tuple[np.ndarray, np.ndarray]:
-        """(cosines, points) of the k best points per query, -2 and -1 where there are fewer."""
+    def search(self, queries: np.ndarray, k: int, relax: float, least: np.ndarray | float = -2.0) -> tuple[np.ndarray, np.ndarray]:
+        """(cosines, points) of the k best points per query; point -1 where fewer have a cosine above ``least``, -2 if there is no such bound."""
         self.q, self.k, self.relax = queries, k, relax
         self.best, self.at = np.full((len(queries), k), -2.0), np.full((len(queries), k), -1)
+        self.best[:] = np.reshape(least, (-1, 1))
         self._visit(self.root, np.arange(len(queries)))
         return self.best, self.at
 
@@ -65,7 +76,7 @@ class VantageTree:
         near = d < radius
         self._visit(inner, rows[near])
         self._visit(outer, rows[~near])
-        reach = _distance(self.best[rows].min(axis=1)) / self.relax + 1e-9
+        reach = _distance(self.best[rows].min(axis=1)) / self.relax + SLACK
         self._visit(outer, rows[near & (d + reach >= radius)])
         self._visit(inner, rows[~near & (d - reach < radius)])
 
@@ -75,41 +86,116 @@ def _distance(cosine: np.ndarray) -> np.ndarray:
     return np.where(cosine < -1.5, 9.0, np.sqrt(np.maximum(2 - 2 * cosine, 0)))
 
 
-def _search(cell: pa.Table, k: int, relax: float) -> pa.Table:
-    """The k nearest of one shard for one block of queries."""
-    is_query = cell.column("is_query").to_numpy(zero_copy_only=False)
-    ids = cell.column("vec_id").to_numpy()
-    vectors = cell.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ids), -1)
-    # Scaled by a power of two, which changes no cosine, so that no square overflows or vanishes.
+def _scaled(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors of a column of lists of one length, and their norms.
+
+    Scaled by a power of two, which changes no cosine, so that no square overflows or vanishes.
+    """
+    vectors = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
     vectors = np.ldexp(vectors, -np.frexp(np.abs(vectors).max(axis=1, initial=0))[1][:, None])
-    norms = np.sqrt((vectors * vectors).sum(axis=1))
-    q, c = np.flatnonzero(is_query), np.flatnonzero(~is_query)
-    empty = {"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())}
-    if not len(q) or not len(c):
-        return pa.table(empty)
-    c = c[np.argsort(ids[c], kind="stable")]
-    # Equal vectors are one point; of each the k + 1 smallest ids can be among the nearest.
-    _, point = np.unique(vectors[c], axis=0, return_inverse=True)
-    point = point.ravel()
-    order = np.argsort(point, kind="stable")
-    starts = np.searchsorted(point[order], np.arange(point.max() + 2))
-    members = [c[order[a : min(b, a + k + 1)]] for a, b in zip(starts[:-1], starts[1:], strict=True)]
-    heads = np.array([m[0] for m in members])
-    tree = VantageTree(vectors[heads] / norms[heads][:, None])
-    _, found = tree.search(vectors[q] / norms[q][:, None], k + 1, relax)
-    queries, rows = [], []
-    for row, points in zip(q, found, strict=True):
-        own = np.concatenate([members[p] for p in points if p >= 0])
-        own = own[ids[own] != ids[row]]
-        score = (vectors[own] * vectors[row]).sum(axis=1) / (norms[own] * norms[row])
-        best = np.lexsort((ids[own], -score))[:k]
-        queries.append(np.full(len(best), ids[row]))
-        rows.append((ids[own[best]], score[best]))
-    return pa.table({
-        "query_id": pa.array(np.concatenate(queries), pa.int64()),
-        "vec_id": pa.array(np.concatenate([r[0] for r in rows]), pa.int64()),
-        "score": pa.array(np.concatenate([r[1] for r in rows]), pa.float64()),
-    })
+    return vectors, np.sqrt((vectors * vectors).sum(axis=1))
+
+
+class _Shard:
+    """A shard's vectors and their tree. Equal vectors are one point; of each the k + 1 smallest ids can be among the nearest."""
+
+    def __init__(self, held: pa.Table, k: int) -> None:
+        held = held.sort_by("vec_id")
+        self.k, self.ids = k, held.column("vec_id").to_numpy()
+        self.vectors, self.norms = _scaled(held.column("v").combine_chunks())
+        _, point = np.unique(self.vectors, axis=0, return_inverse=True)
+        point = point.ravel()
+        order = np.argsort(point, kind="stable")
+        starts = np.searchsorted(point[order], np.arange(point.max() + 2))
+        self.members = [order[a : min(b, a + k + 1)] for a, b in zip(starts[:-1], starts[1:], strict=True)]
+        heads = order[starts[:-1]]
+        self.tree = VantageTree(self.vectors[heads] / self.norms[heads][:, None])
+
+    def nearest(self, asked: pa.RecordBatch, relax: float) -> pa.RecordBatch:
+        """(query_id, vec_id, score) of the k nearest to each query that may beat its ``least`` score."""
+        asked_ids, (q, norms) = asked.column("vec_id").to_numpy(), _scaled(asked.column("v"))
+        least = asked.column("least").fill_null(-2.0).to_numpy(zero_copy_only=False)
+        _, found = self.tree.search(q / norms[:, None], self.k + 1, relax, np.where(least > -1.5, least - SLACK, -2.0))
+        queries, ids, scores = [np.array([], np.int64)], [np.array([], np.int64)], [np.array([])]
+        for row, points in enumerate(found):
+            own = [self.members[p] for p in points if p >= 0]
+            if own:
+                own = np.concatenate(own)
+                own = own[self.ids[own] != asked_ids[row]]
+                score = (self.vectors[own] * q[row]).sum(axis=1) / (self.norms[own] * norms[row])
+                best = np.lexsort((self.ids[own], -score))[: self.k]
+                best = best[score[best] >= least[row]]
+                queries.append(np.full(len(best), asked_ids[row]))
+                ids.append(self.ids[own[best]])
+                scores.append(score[best])
+        columns = [pa.array(np.concatenate(c), t) for c, t in ((queries, pa.int64()), (ids, pa.int64()), (scores, pa.float64()))]
+        return pa.RecordBatch.from_arrays(columns, names=["query_id", "vec_id", "score"])
+
+
+def _search(k: int, relax: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Search of one shard: its vectors come first and are held, queries pass by."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, shard = [], None
+        for b in batches:
+            is_query = b.column("is_query").to_numpy(zero_copy_only=False)
+            own = len(is_query) - int(is_query.sum())
+            if is_query[:own].any() or own and shard:
+                raise RuntimeError("the vectors of a shard have to come before its queries")
+            if own:
+                held.append(b.slice(0, own))
+            if own < len(is_query) and held:
+                shard = shard or _Shard(pa.Table.from_batches(held), k)
+                yield shard.nearest(b.slice(own), relax)
+
+    return task
+
+
+def _assign(pivots: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Every vector with its nearest vantage point and the distance to it."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in (whole.slice(at, 1024) for at in range(0, whole.num_rows, 1024)):
+                vectors, norms = _scaled(b.column("v"))
+                d = _distance(vectors / norms[:, None] @ pivots.T)
+                own = d.argmin(axis=1)
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(own, pa.int32()), pa.array(d[np.arange(len(own)), own])], names=["vec_id", "v", "pivot", "far"])
+
+    return task
+
+
+def _onward(pivots: np.ndarray, near: np.ndarray, reach: np.ndarray, relax: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Every query with the other vantage points, of members between ``near`` and ``reach``, that may have a vector within the radius found."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in (whole.slice(at, 1024) for at in range(0, whole.num_rows, 1024)):
+                vectors, norms = _scaled(b.column("v"))
+                home, far = b.column("pivot").to_numpy()[:, None], b.column("far").to_numpy()[:, None]
+                radius = _distance(b.column("least").fill_null(-2.0).to_numpy(zero_copy_only=False))[:, None] / relax + SLACK
+                d = _distance(vectors / norms[:, None] @ pivots.T)
+                # A member is no farther from its vantage point than from the query's.
+                bound = np.maximum(np.maximum(d - reach, near - d), (d - far) / 2)
+                go = (bound <= radius) & (np.arange(len(pivots)) != home) & (reach >= 0)
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(go.sum(axis=1))]), pa.int32()), pa.array(np.nonzero(go)[1], pa.int32()))
+                yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("v"), b.column("least"), lists], names=["vec_id", "v", "least", "pivots"])
+
+    return task
+
+
+def _searched(filed: DataFrame, parts: DataFrame, asked: DataFrame, blocks: int, k: int, relax: float) -> DataFrame:
+    """(query_id, vec_id, score) of ``asked`` (vec_id, v, least, pivot) in all shards of their vantage point.
+
+    A vantage point's members are dealt over ``parts`` of a shard's size, however many they are.
+    """
+    key = ["pivot", "part", "block"]
+    every = lambda m: F.explode(F.sequence(F.lit(0), m - 1))
+    dealt = lambda m: F.pmod(F.xxhash64("vec_id"), m).cast("int")
+    own = filed.join(F.broadcast(parts), "pivot").select("vec_id", "v", F.lit(None).cast("double").alias("least"), F.lit(False).alias("is_query"), "pivot", dealt(F.col("parts")).alias("part"), every(F.lit(blocks)).alias("block"))
+    ask = asked.join(F.broadcast(parts), "pivot").select("vec_id", "v", "least", F.lit(True).alias("is_query"), "pivot", every(F.col("parts")).alias("part"), dealt(F.lit(blocks)).alias("block"))
+    sorted_ = own.unionByName(ask).repartition(*key).sortWithinPartitions(*key, "is_query")
+    return sorted_.groupBy(*key).applyInArrow(_search(k, relax), "query_id long, vec_id long, score double")
 
 
 def nearest(vectors: DataFrame, every: int = 50, k: int = 5, relax: float = RELAX) -> DataFrame:
@@ -130,14 +216,28 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, relax: float = RELA
     if sizes is None:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     usable = usable.where(F.size("v") == sizes["n"])
-    queries = usable.where(F.pmod("vec_id", F.lit(every)) == 0)
-    n, n_queries = usable.count(), queries.count()
-    dealt = lambda rows, most: max(1, math.ceil(rows / most / GROWN), min(MANY, math.ceil(rows / most)))
-    shards, blocks = dealt(n, SHARD), dealt(n_queries, BLOCK)
-    # A cell is one shard and one block of queries: bounded, whatever the input.
-    each = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
-    filed = usable.select("vec_id", "v", F.lit(False).alias("is_query"), F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int").alias("shard"), each(blocks).alias("block"))
-    asked = queries.select("vec_id", "v", F.lit(True).alias("is_query"), each(shards).alias("shard"), F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"))
-    cells = filed.unionByName(asked).groupBy("shard", "block").applyInArrow(lambda t: _search(t, k, relax), "query_id long, vec_id long, score double")
+    sample = usable.orderBy(F.xxhash64("vec_id"), "vec_id").limit(min(PIVOTS, math.ceil(sizes["count"] / SHARD))).collect()
+    pivots, norms = _scaled(pa.array([r["v"] for r in sample], pa.list_(pa.float64())))
+    pivots = np.unique(pivots / norms[:, None], axis=0)
+    filed = materialise(usable.mapInArrow(_assign(pivots), "vec_id long, v array<double>, pivot int, far double"), "nearest-filed")
+    ours = F.pmod("vec_id", F.lit(every)) == 0
+    # A row per vantage point.
+    shards = filed.groupBy("pivot").agg(F.ceil(F.count("*") / SHARD).cast("int").alias("parts"), F.min("far").alias("near"), F.max("far").alias("reach"), F.count_if(ours).alias("asked")).collect()
+    parts = vectors.sparkSession.createDataFrame([(r["pivot"], r["parts"]) for r in shards], "pivot int, parts int")
+    blocks = max(1, math.ceil(sum(r["asked"] for r in shards) / ASKED))
+    queries = filed.where(ours)
+
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return cells.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    ranked = lambda found: found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    home = ranked(_searched(filed, parts, queries.select("vec_id", "v", F.lit(None).cast("double").alias("least"), "pivot"), blocks, k, relax))
+    if len(shards) == 1:
+        return home
+    home = materialise(home, "nearest-home")
+    least = home.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("least"))
+    near, reach = np.zeros(len(pivots)), np.full(len(pivots), -1.0)
+    for r in shards:
+        near[r["pivot"]], reach[r["pivot"]] = r["near"], r["reach"]
+    found = queries.join(least, F.col("vec_id") == F.col("query_id"), "left").select("vec_id", "v", "least", "pivot", "far")
+    routed = found.mapInArrow(_onward(pivots, near, reach, relax), "vec_id long, v array<double>, least double, pivots array<int>")
+    asked = routed.select("vec_id", "v", "least", F.explode("pivots").alias("pivot"))
+    return ranked(home.drop("rank").unionByName(_searched(filed, parts, asked, blocks, k, relax)))

@@ -36,7 +36,7 @@ def test_exact_at_factor_one_and_recall_in_production(spark, sf10, monkeypatch):
     assert {q: [i for i, _ in own] for q, own in exact.items()} == {q: [i for i, _ in own] for q, own in want.items()}
     assert all(abs(a[1] - b[1]) < 1e-12 for q in want for a, b in zip(exact[q], want[q], strict=True))
     monkeypatch.setattr(neighbours, "SHARD", 100)
-    monkeypatch.setattr(neighbours, "BLOCK", 4)
+    monkeypatch.setattr(neighbours, "ASKED", 4)
     assert recall(found(op10_nearest(spark, sf10)), want) >= 0.9
 
 
@@ -73,3 +73,31 @@ def test_extreme_lengths_and_production_recall(spark, sf10):
     assert plain == odd and len(plain) == 3
     df = spark.read.parquet(f"{sf10}/embeddings.parquet")
     assert recall(found(op10_nearest(spark, sf10)), brute([(r["vec_id"], r["embedding"]) for r in df.collect()])) >= 0.9
+
+
+def test_many_shards_are_exact_at_factor_one(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(12, 8))
+    v = centres[np.arange(900) % 12] + 0.05 * rng.normal(size=(900, 8))
+    v[300:600] = v[300]  # a third are copies: more than a shard holds
+    rows = [(int(k), [float(x) for x in own]) for k, own in enumerate(v)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    monkeypatch.setattr(neighbours, "SHARD", 60)
+    monkeypatch.setattr(neighbours, "LEAF", 8)
+    want = brute(rows, every=20)
+    for asked in (1 << 20, 7):
+        monkeypatch.setattr(neighbours, "ASKED", asked)
+        got = found(neighbours.nearest(df, every=20, relax=1.0))
+        assert {q: [i for i, _ in own] for q, own in got.items()} == {q: [i for i, _ in own] for q, own in want.items()}
+        assert all(abs(a[1] - b[1]) < 1e-12 for q in want for a, b in zip(got[q], want[q], strict=True))
+
+
+def test_far_vantage_points_are_left_out():
+    pivots = np.eye(6)
+    batch = neighbours.pa.RecordBatch.from_pydict({
+        "vec_id": [0, 20], "v": [[1.0, 0.05, 0, 0, 0, 0], [1.0, 0.9, 0, 0, 0, 0]], "least": [0.99, None],
+        "pivot": neighbours.pa.array([0, 0], neighbours.pa.int32()), "far": [0.05, 0.6],
+    })
+    near, reach = np.zeros(6), np.array([0.9, 0.9, 0.9, 0.2, -1.0, 0.9])
+    (out,) = neighbours._onward(pivots, near, reach, 1.0)([batch])
+    assert out.column("pivots").to_pylist() == [[], [1, 2, 3, 5]]  # within a radius of 0.14 none reaches; without one all that have members
