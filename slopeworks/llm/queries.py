@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slopeworks.llm import chat, classifier, licenses, mixing, neighbours, packing, rules, simhash, tokencount, toxicity
+from slopeworks.llm import chat, classifier, licenses, mixing, neighbours, packing, pieces, rules, simhash, tokencount, toxicity
 from slopeworks.llm.common import table
 
 
@@ -62,6 +62,10 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(table(spark, sf_dir, "embeddings"))
 
 
+def op13_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digests(pieces.encode_documents(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model")))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -69,7 +73,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_pack, op2_mix, op3_chat, op4_toxicity, op5_rules, op6_quality, op7_tokens, op8_licenses, op9_simhash, op10_nearest, pipeline)
+    own = (op1_pack, op2_mix, op3_chat, op4_toxicity, op5_rules, op6_quality, op7_tokens, op8_licenses, op9_simhash, op10_nearest, op13_pieces, pipeline)
     return {f.__name__: f for f in own}
 
 
