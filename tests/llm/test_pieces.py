@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import sentencepiece
+
 from slopeworks.llm import pieces
 from slopeworks.llm.queries import op13_pieces, tokenizer_file
 
