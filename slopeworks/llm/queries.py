@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slopeworks.llm import chat, classifier, licenses, mixing, neighbours, packing, pieces, rules, simhash, tokencount, toxicity, whitening
+from slopeworks.llm import chat, classifier, licenses, mixing, neighbours, packing, pieces, rules, simhash, spelling, tokencount, toxicity, whitening
 from slopeworks.llm.common import table
 
 
@@ -62,6 +62,10 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(table(spark, sf_dir, "embeddings"))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
 def op12_whiten(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
@@ -77,7 +81,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_pack, op2_mix, op3_chat, op4_toxicity, op5_rules, op6_quality, op7_tokens, op8_licenses, op9_simhash, op10_nearest, op12_whiten, op13_pieces, pipeline)
+    own = (op1_pack, op2_mix, op3_chat, op4_toxicity, op5_rules, op6_quality, op7_tokens, op8_licenses, op9_simhash, op10_nearest, op11_spelling, op12_whiten, op13_pieces, pipeline)
     return {f.__name__: f for f in own}
 
 
