@@ -142,19 +142,21 @@ class Walker:
         node = 0
         for i in range(len(word) + 1):
             here, rest = word[i : i + 1], word[i + 1 :]
-            # One character more than the word has, or another in the place of its next one.
+            # One character more than the word has, or another in the place of its next one. Of a run of equal
+            # characters only the end can gain or lose one: elsewhere the word would be the same.
             for c, child in down[node].items():
+                if here and c == here[0]:
+                    continue
                 if n := ends(child, word[i:]):
                     found[word[:i] + bytes([c]) + word[i:]] = n
-                if here and c != here[0] and (n := ends(child, rest)):
+                if here and (n := ends(child, rest)):
                     found[word[:i] + bytes([c]) + rest] = n
             if not here:
                 break
-            if n := ends(node, rest):
+            if rest[:1] != here and (n := ends(node, rest)):
                 found[word[:i] + rest] = n
             if (node := down[node].get(here[0], -1)) < 0:
                 break
-        found.pop(word, None)
         return found
 
 

@@ -17,23 +17,28 @@ def _texts(n: int) -> list[str]:
 
 def test_agenda_equals_library():
     codec, lib = pieces.MergeCodec(FILE), sentencepiece.SentencePieceProcessor(model_file=FILE)
-    assert codec.splits
-    for text in [*_texts(4000), "x" * 5000, "ab" * 3000 + " " * 500, "", " ", "日" * 2000]:
-        ids = list(memoryview(codec.encode(text.encode())).cast("i"))
+    assert codec.splits and codec.breaks
+    texts = [*_texts(4000), "x" * 5000, "ab" * 3000 + " " * 500, "", " ", "\n", "日" * 2000, " " * 47, " " * 48 + "\n" * 3]
+    for text, raw in zip(texts, codec.encode([t.encode() for t in texts]), strict=True):
+        ids = list(memoryview(raw).cast("i"))
         assert ids == lib.encode(text, add_eos=True), repr(text)
         assert codec.decode(ids) == lib.decode(ids), repr(text)
-        row = [codec.symbol.get(c, codec.above + ord(c)) for c in text[:90]]
-        assert codec._few(row) == codec._many(row)
+    assert codec.checked() == 0 and not codec.fresh
+
+
+def test_rows_side_by_side_equal_rows_alone():
+    codec = pieces.MergeCodec(FILE)
+    rows = [t[:48] for t in _texts(1000) if t]
+    assert codec._side_by_side(rows) == [codec._ids(codec._one(r)) for r in rows]
 
 
 def test_whole_rows_equal_split_rows():
     codec = pieces.MergeCodec(FILE)
-    split = [codec.encode(t.encode()) for t in _texts(500)]
-    assert codec.checked() == 0
+    split = codec.encode([t.encode() for t in _texts(500)])
     codec.splits = codec.breaks = False
     codec.known.clear()
     codec.old.clear()
-    assert [codec.encode(t.encode()) for t in _texts(500)] == split
+    assert codec.encode([(" " + t if t else "").encode()[1:] for t in _texts(500)]) == split
 
 
 def test_decoder_equals_library_on_any_ids():
@@ -69,19 +74,19 @@ def test_odd_rows(weird, no_docs, monkeypatch):
 
 def test_small_cache_changes_nothing(monkeypatch):
     codec = pieces.MergeCodec(FILE)
-    want = [codec.encode(t.encode()) for t in _texts(300)]
+    texts = [t.encode() for t in _texts(300)]
+    want = codec.encode(texts)
     monkeypatch.setattr(pieces, "CACHE", 3)
     monkeypatch.setattr(pieces, "CACHED_BYTES", 4)
-    codec.known.clear()
-    codec.old.clear()
-    monkeypatch.setattr(pieces, "FEW", 5)
-    assert [codec.encode(t.encode()) for t in _texts(300)] == want and len(codec.known) <= 3
+    monkeypatch.setattr(pieces, "SHORT", 5)
+    codec = pieces.MergeCodec(FILE)
+    assert [codec.encode([t])[0] for t in texts] == want and max(map(len, codec.known)) <= 4
 
 
 def test_differences_are_told():
     codec = pieces.MergeCodec(FILE)
-    codec.encode(b"some words\nand lines")
+    codec.encode([b"some words\nand lines"])
     assert codec.fresh and codec.checked() == 0 and not codec.fresh
-    codec.pair.clear()
-    codec.encode(b"other words\nother lines")
+    codec.made[:] = codec.made[::-1].copy()
+    codec.encode([b"other words\nother lines"])
     assert codec.checked() == 2
