@@ -28,8 +28,8 @@ from slopeworks.llm.common import materialise, small_batches
 LENGTH, OCCURRENCES, TIMES = 6, 5, 5
 #: A run of a document is misspelt if this divides its checksum.
 MISSPELT = 199
-#: Characters of a shard's words (a longer word has a shard of its own); bytes of the shards of one wave.
-SHARD, WAVE = 400_000, 32 << 20
+#: Characters of a shard's words (a longer word has a shard of its own); bytes of the shards of one wave, some 13 a node, which a worker opens to some 20 times as many.
+SHARD, WAVE = 400_000, 6 << 20
 #: Different words that a task counts before it sends their numbers on.
 COUNTED = 200_000
 _RUN = re.compile(rb"[a-z\xc0-\xff]+")
@@ -204,12 +204,12 @@ def _waves(shards: DataFrame, most: int) -> Iterator[list[bytes]]:
         yield wave
 
 
-def near_words(words: DataFrame, wave: int = WAVE) -> DataFrame:
+def near_words(words: DataFrame) -> DataFrame:
     """(word, n, n_near, best struct<n, word>) of ``words`` (word, n): how many words are one difference away, and the most frequent of them (of equal ones the first); no row for words without any."""
     spark = words.sparkSession
     shards = materialise(trie_shards(words), "spelling-shards")
     found = None
-    for tries in _waves(shards, wave):
+    for tries in _waves(shards, WAVE):
         sent = spark.sparkContext.broadcast(tries)
 
         def walk(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:

@@ -65,7 +65,6 @@ def test_shards_and_waves_change_nothing(spark, monkeypatch, wave, shard):
     monkeypatch.setattr(spelling, "SHARD", shard)
     monkeypatch.setattr(spelling, "WAVE", wave)
     monkeypatch.setattr(spelling, "COUNTED", 50)
-    monkeypatch.setattr(spelling.near_words, "__defaults__", (wave,))
     rng = random.Random(2)
     words = ["".join(rng.choice("aÀÿ×b") for _ in range(rng.randint(3, 6))) for _ in range(60)]
     docs = [(k if k % 9 else None, " ".join(rng.choice(words) + rng.choice(["", "", "日", "1", "É"]) for _ in range(int(rng.paretovariate(0.7)) % 300))) for k in range(150)]
