@@ -36,7 +36,7 @@ def test_planted(text, names, times):
 
 def test_each_template_is_itself():
     scan = licenses.Scanner(licenses.TEMPLATES)
-    for name, text in [*licenses.TEMPLATES.items(), *[x[:2] for x in licenses.BODIES]]:
+    for name, text in [*licenses.TEMPLATES.items(), *[x[:2] for x in licenses.BODIES], ("MIT", "SPDX-License-Identifier: MIT"), ("BUSL-1.1", "// SPDX-License-Identifier: BUSL-1.1")]:
         assert [(x[2], x[4]) for x in scan.scan(text)] == [(name, 0)], text
 
 
@@ -51,3 +51,29 @@ def test_blocks_are_the_lines_of_a_span(spark):
 def test_a_short_notice_in_noise():
     text = "All rights reserved.\nThe eratened th, handha, reat re ates thtintsh eneaer ea."
     assert [x[2] for x in licenses.Scanner(licenses.TEMPLATES).scan(text)] == ["all-rights-reserved"]
+
+
+def test_ranking_decides():
+    """Two templates are confirmed on one stretch: the one that saves more has it, by whatever order they are given in."""
+    whole = next(x[1] for x in licenses.BODIES if x[0] == "MIT" and x[1].startswith("Permission") and len(x[1]) > 900)
+    scan = licenses.Scanner(licenses.TEMPLATES)
+    words = tuple(licenses.words_of(whole))
+    confirmed = scan.spans(words, tuple(range(len(scan.templates))))
+    assert len({t for *_, t in confirmed}) == 3  # the grant, the notice, and the whole
+    assert [(x[2], x[0], x[4]) for x in scan.scan(whole)] == [("MIT", 0, 0)] and scan.scan(whole)[0][1] > len(whole) - 3
+    near = {"x": "one two three four five six seven eight nine ten", "y": "one two three four five six seven eight nine eleven"}
+    for given in (near, dict(reversed(near.items()))):
+        assert [x[2] for x in licenses.Scanner(given).scan("so one two three four five six seven eight nine eleven it is")] == ["y"]
+
+
+def test_templates_of_ones_own_need_no_word_of_licensing():
+    own = {"house": "Only members of the household may read these recipes aloud at dinner."}
+    scan = licenses.Scanner(own)
+    found = scan.scan(FILL * 30 + "\nonly members of this household may read these\nrecipes aloud at dinner\n" + FILL)
+    assert [(x[2], x[4]) for x in found] == [("house", 1)]
+    assert scan.scan("members of the household read recipes") == []
+
+
+def test_a_long_run_of_one_word_and_texts_between():
+    text = "license " * 3000 + licenses._MIT_GRANT + " license" * 3000 + " SPDX-License-Identifier: ISC"
+    assert [x[2] for x in licenses.Scanner(licenses.TEMPLATES).scan(text)] == ["MIT", "ISC"]

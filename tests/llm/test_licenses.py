@@ -1,17 +1,20 @@
+from collections import Counter
+
 from slopeworks.llm import licenses
 from slopeworks.llm.queries import op8_licenses
 
 
 def brute(text):
-    """Every line against every template by words alone."""
+    """Every line against every short notice by words alone; a line with too few of a notice's words cannot be near it."""
     found, at = [], 0
+    notices = [(n, licenses.words_of(t), Counter(licenses.words_of(t))) for n, t in licenses.TEMPLATES.items()]
     for line in (text or "").split("\n"):
-        if licenses.CUE.search(line):
-            mine = licenses.words_of(line)
-            near = {n: licenses.wording_differences(licenses.words_of(t), mine)[0] for n, t in licenses.TEMPLATES.items()}
-            near = {n: d for n, d in near.items() if d <= licenses.DIFFERENT * len(licenses.words_of(licenses.TEMPLATES[n]))}
-            if near:
-                found.append((at, at + len(line), min(near.values()), {n for n, d in near.items() if d == min(near.values())}))
+        mine = [w.lower() for w in licenses._WORDS.findall(line)]
+        counts = Counter(mine)
+        near = {n: licenses.wording_differences(t, mine)[0] for n, t, c in notices if (c - counts).total() <= licenses.DIFFERENT * len(t)}
+        near = {n: d for n, d in near.items() if d <= licenses.DIFFERENT * len(licenses.words_of(licenses.TEMPLATES[n]))}
+        if near:
+            found.append((at, at + len(line), min(near.values()), {n for n, d in near.items() if d == min(near.values())}))
         at += len(line) + 1
     return found
 
