@@ -96,21 +96,19 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int =
 def take_copies(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` (doc_id, source, text and others) as often as their source's target asks for; those not taken go.
 
-    Rows are known by their doc_id and a hash of their columns, so that whole rows are moved only
-    once; rows alike in all columns stand for each other. Columns keep their names, whatever they are.
+    Rows are numbered and written once, so that every row is a key of its own, however many are
+    alike; only numbers, sources and sizes are ranked. Rows of one doc_id are ranked by a hash of
+    their columns (map columns left out), and rows alike in all of them by their number. Columns
+    keep their names, whatever they are.
     """
-    hashed = [c for c, t in docs.dtypes if "map<" not in t]
-    one, h, n, total, nth = ("".join(x) for x in zip(("mix",) * 5, ("_id", "_hash", "_rows", "_copies", "_nth"), ("_" * max(map(len, docs.columns)),) * 5, strict=True))
-    marked = docs.withColumn(h, F.xxhash64(*hashed))
-    thin = marked.select(F.struct(F.col("doc_id").alias("id"), F.col(h).alias("h")).alias("doc_id"), "source", size_of(F.col("text")).alias("size"))
-    taken = mix_sources(thin).groupBy("doc_id").agg(F.sum("copies").alias(total), F.count("*").alias(n)).where(F.col(total) > 0)
-    taken = taken.select(F.col("doc_id.id").alias(one), F.col("doc_id.h").alias(h + "h"), total, n)
-    joined = marked.join(taken, F.col("doc_id").eqNullSafe(F.col(one)) & (F.col(h) == F.col(h + "h")))
-    # Of n equal rows each gives its share of their copies.
-    own = F.row_number().over(Window.partitionBy(one, h + "h").orderBy(F.lit(0)))
-    share = F.floor(F.col(total) / F.col(n)) + (F.col(nth) <= F.col(total) % F.col(n)).cast("long")
-    dealt = joined.withColumn(nth, own).where(share > 0)
-    return dealt.withColumn(total, F.explode(F.sequence(F.lit(1).cast("long"), share))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    name = lambda c: F.col(f"`{c.replace('`', '``')}`")
+    n, one, total = (f"mix_{x}{'_' * max(map(len, docs.columns))}" for x in ("row", "of", "copies"))
+    marked = materialise(docs.withColumn(n, F.monotonically_increasing_id()), "mix-rows")
+    alike = F.xxhash64(*[name(c) for c, t in docs.dtypes if "map<" not in t])
+    thin = marked.select(F.struct(F.col("doc_id").alias("id"), alike.alias("h"), F.col(n).alias("n")).alias("doc_id"), "source", size_of(F.col("text")).alias("size"))
+    taken = mix_sources(thin).where("copies > 0").select(F.col("doc_id.n").alias(one), F.col("copies").alias(total))
+    dealt = marked.join(taken, F.col(n) == F.col(one)).withColumn(total, F.explode(F.sequence(F.lit(1).cast("long"), F.col(total))))
+    return dealt.select(*[name(c) for c in docs.columns])
 
 
 def op2_sql() -> str:

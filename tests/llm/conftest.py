@@ -21,10 +21,10 @@ def weird(spark):
     """Nulls, empty and very long texts, repeated rows, odd characters, and columns the operators use themselves."""
     taken = (
         "score label rank size copies target source_size taken kept n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed row fp component_id fingerprint _kept _text _id _part "
-        "_index _c _lines _symbols _repeats stratum cutoff x bin held_out predicted piece start length part part_rank offset sequence_id h doc words h_ _h mix_id mix_hash mix_copies"
+        "_index _c _lines _symbols _repeats stratum cutoff x bin held_out predicted piece start length part part_rank offset sequence_id h doc words h_ _h mix_id mix_hash mix_copies a.b"
     ).split()
     rows = [(*r, *(f"{r[0]} {c}" for c in taken)) for r in WEIRD]
-    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in taken))
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c.replace('`', '``')}` string" for c in taken))
 
 
 @pytest.fixture(scope="session")

@@ -62,3 +62,17 @@ def test_odd_rows(spark, weird, no_docs):
     assert rows.count() == 12
     held(rows.collect(), [tuple(r) for r in weird.select("doc_id", "text", "source").collect()])
     assert mixing.mix_sources(docs.where("false")).count() == 0
+
+
+def test_rows_alike_are_no_key(spark):
+    """A third of all rows alike, and null ids with one text: no key of the joins and windows holds more than one of them."""
+    rows = [(7, "one two three", "a", {"k": 1})] * 300 + [(None, "four five", "b", {"k": k}) for k in range(300)] + [(k, "six " * (k % 5), "c", None) for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, `m.x` map<string,int>")
+    got = mixing.take_copies(docs)
+    assert got.columns == docs.columns
+    thin = docs.select("doc_id", "source", mixing.size_of(F.col("text")).alias("size"))
+    want = {r["source"]: r["n"] for r in mixing.mix_sources(thin).groupBy("source").agg(F.sum("copies").alias("n")).collect()}
+    found = {r["source"]: r["n"] for r in got.groupBy("source").agg(F.count("*").alias("n")).collect()}
+    assert found == {s: n for s, n in want.items() if n}
+    copies = {tuple(sorted((r["m.x"] or {}).items())): r["n"] for r in got.where("source = 'b'").groupBy(F.to_json("`m.x`").alias("m")).agg(F.count("*").alias("n"), F.first("`m.x`").alias("m.x")).collect()}
+    assert max(copies.values()) - min(copies.values()) <= 1
