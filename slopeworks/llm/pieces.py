@@ -4,7 +4,7 @@ An agenda holds the adjacent pairs of symbols that make a piece, best score firs
 equal ones; the top pair becomes one symbol and its new neighbours join the agenda. Short rows of
 characters are merged side by side in numpy. Characters that no piece holds fall back to their bytes. If no piece runs on across the start of a run of
 spaces, as here, a text is the row of its pre-tokens, and each different one is encoded once a
-worker. The library encodes and decodes every Arrow batch as well, and the two are compared.
+worker. In every Arrow batch the library encodes the same rows as well, and the two are compared.
 """
 
 from __future__ import annotations
@@ -226,12 +226,12 @@ class MergeCodec:
         return b"".join(pieces).decode("utf-8", "slopeworks_each_byte")
 
 
-def encode_documents(docs: DataFrame, model_file: str, whole_check: bool = True) -> DataFrame:
+def encode_documents(docs: DataFrame, model_file: str, whole_check: bool = False) -> DataFrame:
     """(doc_id, ids array<int>, decoded) for every row of ``docs`` (doc_id, text).
 
     ``ids`` ends with the end id; ``decoded`` is the text they give again. In every Arrow batch the
-    library encodes and decodes all texts, or, without ``whole_check``, encodes the rows of characters
-    that the worker had not met before; a difference is an error. Null and empty texts
+    library encodes the rows of characters that the worker had not met before, or, with
+    ``whole_check``, encodes and decodes all texts; a difference is an error. Null and empty texts
     have the end id alone and decode to an empty text; a null doc_id is carried; repeated rows are
     encoded each; other columns are ignored; no rows give no rows.
     """

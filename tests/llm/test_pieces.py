@@ -67,7 +67,7 @@ def test_odd_rows(weird, no_docs, monkeypatch):
     got = pieces.encode_documents(weird, FILE).collect()
     assert sorted((r["doc_id"] or -1, r["ids"]) for r in got) == want
     assert {r["decoded"] for r in got if r["doc_id"] in (2, 3)} == {""} and all(r["ids"] == [2] for r in got if r["doc_id"] in (2, 3))
-    got = pieces.encode_documents(weird, FILE, whole_check=False).collect()
+    got = pieces.encode_documents(weird, FILE, whole_check=True).collect()
     assert sorted((r["doc_id"] or -1, r["ids"]) for r in got) == want
     assert pieces.digests(pieces.encode_documents(no_docs, FILE)).count() == 0
 
