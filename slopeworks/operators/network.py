@@ -5,8 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable
-from heapq import heapify, heappop, heappush
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -133,9 +133,13 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: Requests of one task; more of one block are dealt over several.
+#: Requests of one task; more of one cell are dealt over several.
 REQUESTS_A_TASK = 128
-LABEL = "req_id long, node long, d double, h long, edge_id long, fwd boolean, tail long, w double, round int"
+#: A value at a node where a path enters a cell: the arc it came by, and the node where it had entered the cell before.
+ENTRY = "req_id long, node long, d double, h long, edge_id long, fwd boolean, tail long, w double, root long, cx long, cy long, goal boolean"
+_ENTRY = [c.split()[0] for c in ENTRY.split(", ")]
+#: Folders that entries of a round are dealt to by their cells: a round opens only those it touches.
+FOLDERS = 256
 
 
 def dealt(asked: DataFrame, held: DataFrame, key: list[str], by: str, most: int, work: Callable, schema: str) -> DataFrame:
@@ -149,101 +153,229 @@ def dealt(asked: DataFrame, held: DataFrame, key: list[str], by: str, most: int,
     return fresh(one).cogroup(fresh(each)).applyInPandas(work, schema)
 
 
-def _spread(labels: pd.DataFrame, arcs: pd.DataFrame) -> pd.DataFrame:
-    """What the new labels of a block improve inside it and on the nodes its arcs lead to."""
-    out: dict[int, list[tuple]] = {}
-    for u, *arc in arcs[["u", "v", "w", "edge_id", "fwd"]].itertuples(index=False, name=None):
-        out.setdefault(u, []).append(arc)
-    rows: list[tuple] = []
-    for req, own in labels.groupby("req_id"):
-        goal, most = own["dst"].iloc[0], float(own["most"].iloc[0])
-        best = {n: (d, h) for n, d, h in own[["node", "d", "h"]].itertuples(index=False, name=None)}
-        heap = [(d, h, n) for n, d, h in own.loc[own["new"], ["node", "d", "h"]].itertuples(index=False, name=None)]
-        heapify(heap)
-        found: dict[int, tuple] = {}
-        while heap:
-            d, h, node = heappop(heap)
-            if (d, h) > best[node]:
-                continue
-            if node == goal:
-                most = min(most, d)
-            for to, w, edge, fwd in out.get(node, ()):
-                reached = (d + w, h + 1)
-                if reached[0] <= most and (to not in best or reached < best[to]):
-                    best[to], found[to] = reached, (edge, fwd, node, w)
-                    heappush(heap, (*reached, to))
-        rows += [(req, n, *best[n], *back) for n, back in found.items()]
-    return pd.DataFrame(rows, columns=[c.split()[0] for c in LABEL.split(", ")[:-1]])
-
-
-def path_labels(arcs: DataFrame, requests: DataFrame, nodes: DataFrame, cost: str = "length_m", cell: float = 0.05) -> DataFrame:
-    """Every label (LABEL) that the cheapest paths of the requests (req_id, src, dst, perhaps budget) ever set; the smallest (d, h) of a node holds.
-
-    All requests advance together, block by block: a block is a cell of the nodes' places; a
-    task settles what new labels of its requests improve inside its block, and the values that
-    leave it are the next round's new labels. A round reads and writes no request at rest, and
-    there are about as many rounds as blocks on a path. A value above the best at the target,
-    or above the budget, goes no further. ``cost`` is no less than 0.
+class _Cell:
+    """The arcs whose tails lie in one cell, by tail; inner ones lead to nodes of the cell, the others out of it."""
+
+    def __init__(self, arcs: pd.DataFrame) -> None:
+        arcs = arcs.sort_values(["u", "v", "w", "edge_id", "fwd"], kind="stable")
+        self.nodes = np.unique(arcs["u"].to_numpy(np.int64))
+        self.col = {c: arcs[c].to_numpy() for c in ("u", "v", "w", "grade", "edge_id", "fwd", "vcx", "vcy")}
+        self.tail, head = self.place(self.col["u"]), self.place(self.col["v"])
+        inner = (head >= 0) & (self.col["vcx"] == arcs["cx"].to_numpy()) & (self.col["vcy"] == arcs["cy"].to_numpy())
+        self.head, self.inner = np.where(inner, head, -1), inner
+        self.first = np.searchsorted(self.tail, np.arange(len(self.nodes) + 1))
+        self.named = {k: i for i, k in enumerate(zip(self.col["edge_id"].tolist(), self.col["fwd"].tolist(), strict=True))}
+
+    def place(self, nodes: np.ndarray) -> np.ndarray:
+        """Where nodes stand in ``self.nodes``, -1 if they have no arcs here."""
+        at = np.minimum(np.searchsorted(self.nodes, nodes), max(len(self.nodes) - 1, 0))
+        return np.where(self.nodes[at] == nodes, at, -1) if len(self.nodes) else np.full(len(nodes), -1)
+
+    def onward(self, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(state, arc) for every arc that leaves the nodes of ``state`` (asker times nodes plus node)."""
+        node = state % len(self.nodes)
+        many = self.first[node + 1] - self.first[node]
+        arc = np.repeat(self.first[node] - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())
+        return np.repeat(state, many), arc
+
+
+class _Settled:
+    """What the entries of many askers settle inside a cell, all askers at once: every step takes the arcs out of all nodes that improved in the one before."""
+
+    def __init__(self, cell: _Cell, asker: np.ndarray, node: np.ndarray, d: np.ndarray, h: np.ndarray, most: np.ndarray, goal: np.ndarray, cap: np.ndarray, raised: list[tuple[int, int, float]]) -> None:
+        self.cell, self.cap, n = cell, cap, max(len(cell.nodes), 1)
+        self.n, size = n, n * len(most)
+        self.d, self.h = np.full(size, np.inf), np.zeros(size, np.int64)
+        self.root, self.by = np.full(size, -1), np.full(size, -1)
+        self.most, aim = most.copy(), np.where(goal >= 0, goal, -1)
+        #: Arcs closed to one asker alone: they have been raised above its cap.
+        self.closed = np.array(sorted(a * max(len(cell.tail), 1) + k for a, k, g in raised if g > cap[a] + 1e-9), np.int64)
+        at = cell.place(node)
+        known = (at >= 0) & (d <= most[asker])
+        state = self._better(asker[known] * n + at[known], d[known], h[known], np.flatnonzero(known), np.full(known.sum(), -1))
+        while len(state):
+            ends = state[state % n == aim[state // n]]
+            np.minimum.at(self.most, ends // n, self.d[ends])
+            start, arc = cell.onward(state)
+            on = cell.inner[arc] & self._open(start // n, arc)
+            start, arc = start[on], arc[on]
+            d, h, a = self.d[start] + cell.col["w"][arc], self.h[start] + 1, start // n
+            on = d <= self.most[a]
+            state = self._better(a[on] * n + cell.head[arc[on]], d[on], h[on], self.root[start[on]], arc[on])
+
+    def _open(self, asker: np.ndarray, arc: np.ndarray) -> np.ndarray:
+        own = self.cell.col["grade"][arc] <= self.cap[asker] + 1e-9
+        if len(self.closed):
+            key = asker * len(self.cell.tail) + arc
+            own &= self.closed[np.minimum(np.searchsorted(self.closed, key), len(self.closed) - 1)] != key
+        return own
+
+    def _better(self, state: np.ndarray, d: np.ndarray, h: np.ndarray, root: np.ndarray, by: np.ndarray) -> np.ndarray:
+        """Take over the best value per state where it improves; the states that did."""
+        on = (d < self.d[state]) | ((d == self.d[state]) & (h < self.h[state]))
+        state, d, h, root, by = state[on], d[on], h[on], root[on], by[on]
+        order = np.lexsort((by, h, d, state))
+        order = order[np.concatenate([[True], np.diff(state[order]) > 0])] if len(order) else order
+        state = state[order]
+        self.d[state], self.h[state], self.root[state], self.by[state] = d[order], h[order], root[order], by[order]
+        return state
+
+    def leaving(self, fresh: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(asker, arc, d, h, root) of the arcs out of the cell that those roots reach that are ``fresh``, the best per asker and head."""
+        state = np.flatnonzero(np.isfinite(self.d))
+        state = state[fresh[self.root[state]]]
+        start, arc = self.cell.onward(state)
+        on = ~self.cell.inner[arc] & self._open(start // self.n, arc)
+        start, arc = start[on], arc[on]
+        d, h, a = self.d[start] + self.cell.col["w"][arc], self.h[start] + 1, start // self.n
+        on = d <= self.most[a]
+        a, arc, d, h, root = a[on], arc[on], d[on], h[on], self.root[start[on]]
+        v = self.cell.col["v"][arc]
+        order = np.lexsort((arc, h, d, v, a))
+        best = np.concatenate([[True], (np.diff(a[order]) > 0) | (np.diff(v[order]) != 0)]) if len(order) else order.astype(bool)
+        order = order[best]
+        return a[order], arc[order], d[order], h[order], root[order]
+
+    def way(self, state: int) -> list[int]:
+        """Arcs from its root to a state."""
+        arcs = []
+        while (k := int(self.by[state])) >= 0:
+            arcs.append(k)
+            state = state - state % self.n + int(self.cell.tail[k])
+        return arcs[::-1]
+
+
+def _spread(asked: pd.DataFrame, arcs: pd.DataFrame) -> pd.DataFrame:
+    """New entries of the neighbouring cells, and values at targets, from the entries of a cell: ``fresh`` ones are this round's, rows of kind "raised" close arcs to a request."""
+    cell = _Cell(arcs)
+    raised, asked = asked[asked["kind"] == "raised"], asked[asked["kind"] != "raised"].reset_index(drop=True)
+    asker, reqs = pd.factorize(asked["req_id"])
+    heads = asked.drop_duplicates("req_id")
+    goal = heads["dst"].fillna(-1).to_numpy(np.int64)
+    where = {r: k for k, r in enumerate(reqs)}
+    closed = [(where[r], cell.named[e, f], g) for r, e, f, g in raised.reindex(columns=["req_id", "edge_id", "fwd", "d"]).itertuples(index=False, name=None) if r in where and (e, f) in cell.named]
+    # An older entry of equal value comes first and keeps its node.
+    node, d, h, fresh = asked["node"].to_numpy(np.int64), asked["d"].to_numpy(float), asked["h"].to_numpy(np.int64), asked["fresh"].to_numpy(bool)
+    done = _Settled(cell, asker, node, d, h, heads["most"].to_numpy(float), cell.place(goal), heads["cap"].to_numpy(float), closed)
+    a, arc, ld, lh, root = done.leaving(fresh)
+    out = [pd.DataFrame({"req_id": reqs[a], "node": cell.col["v"][arc], "d": ld, "h": lh, "edge_id": cell.col["edge_id"][arc], "fwd": cell.col["fwd"][arc], "tail": cell.col["u"][arc], "w": cell.col["w"][arc], "root": node[root], "cx": cell.col["vcx"][arc], "cy": cell.col["vcy"][arc], "goal": False})]
+    at = np.arange(len(reqs)) * done.n + cell.place(goal)
+    own = np.flatnonzero((cell.place(goal) >= 0) & np.isfinite(done.d[at % len(done.d)]))
+    own = own[fresh[done.root[at[own]]]]
+    out.append(pd.DataFrame({"req_id": reqs[own], "node": goal[own], "d": done.d[at[own]], "h": done.h[at[own]], "root": node[done.root[at[own]]], "goal": True}))
+    # A target without arcs of its own is only ever an entry.
+    ends = asked[(asked["node"] == asked["dst"]) & asked["fresh"] & ~asked["node"].isin(cell.nodes) & (asked["d"] <= asked["most"])]
+    out.append(pd.DataFrame({"req_id": ends["req_id"], "node": ends["node"], "d": ends["d"], "h": ends["h"], "root": ends["node"], "goal": True}))
+    return pd.concat([f for f in out if len(f)] or out[:1]).reindex(columns=_ENTRY)
+
+
+def entries(arcs: DataFrame, requests: DataFrame, nodes: DataFrame, cost: str = "length_m", cell: float = 0.05, raised: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(ENTRY of all rounds, one row per request with its value at the target (goal), arcs with their cells) of the cheapest paths.
+
+    Requests: req_id, src, dst, perhaps budget (no path is dearer) and cap (no arc is of a higher
+    ``grade``); ``raised`` (req_id, edge_id, fwd, grade) replaces an arc's grade for one request.
+
+    All requests advance together, cell by cell. Only the nodes where paths enter a cell are
+    kept: what lies inside is settled anew from a request's entries whenever one improves. Entries
+    lie in folders by cell and round, and a round opens the folders of the cells it touches and
+    reads, of those, the requests that have something new there. A task holds one cell's arcs.
+    A value above the budget, or above the best at the target, goes no further. ``cost`` is no less than 0.
     """
     spark = arcs.sparkSession
-    place = nodes.select("node_id", F.floor(F.col("lon") / cell).alias("cx"), F.floor(F.col("lat") / cell).alias("cy"))
-    step = arcs.select("u", "v", "edge_id", "fwd", F.col(cost).cast("double").alias("w")).join(place.withColumnRenamed("node_id", "u"), "u")
-    step, place = written(step), written(place)
-    budget = F.col("budget").cast("double") if "budget" in requests.columns else F.lit(float("inf"))
-    asked = written(requests.select("req_id", F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), budget.alias("budget")))
-    root, k = f"{scratch(spark)}/labels-{uuid.uuid4().hex}", 0
-    nothing = [F.lit(None).cast(t).alias(n) for n, t in (("edge_id", "long"), ("fwd", "boolean"), ("tail", "long"), ("w", "double"))]
-    asked.where("src is not null").select("req_id", F.col("src").alias("node"), F.lit(0.0).alias("d"), F.lit(0).cast("long").alias("h"), *nothing).write.parquet(f"{root}/round=0")
+    side = lambda c: F.floor(F.col(c) / cell).cast("long")
+    place = nodes.select("node_id", side("lon").alias("cx"), side("lat").alias("cy"))
+    placed = lambda df, node, x, y: df.join(place.select(F.col("node_id").alias(node), F.col("cx").alias(x), F.col("cy").alias(y)), node, "left").fillna(0, [x, y])
+    grade = F.col("grade").cast("double") if "grade" in arcs.columns else F.lit(float("-inf"))
+    step = arcs.select("u", "v", "edge_id", "fwd", F.col(cost).cast("double").alias("w"), grade.alias("grade"))
+    step = written(placed(placed(step, "u", "cx", "cy"), "v", "vcx", "vcy"))
+    given = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(float("inf"))) if c in requests.columns else F.lit(float("inf"))
+    asked = requests.select("req_id", F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), given("budget").alias("budget"), given("cap").alias("cap"))
+    asked = written(placed(asked, "src", "cx", "cy"))
+    root, k = f"{scratch(spark)}/entries-{uuid.uuid4().hex}", 0
+    folder = F.pmod(F.xxhash64("cx", "cy"), F.lit(FOLDERS)).cast("int").alias("folder")
+    put = lambda df: df.select(*_ENTRY, folder).write.partitionBy("folder").parquet(f"{root}/round={k}")
+    whole = f"{ENTRY}, round int, folder int"
+    nothing = {c: F.lit(None).cast(t) for c, t in (x.split() for x in ENTRY.split(", ")) if c in ("edge_id", "fwd", "tail", "w", "root")}
+    put(asked.where("src is not null").select("req_id", F.col("src").alias("node"), F.lit(0.0).alias("d"), F.lit(0).cast("long").alias("h"), "cx", "cy", F.lit(False).alias("goal")).withColumns(nothing))
+    if raised is not None:
+        raised = raised.join(step.select("edge_id", "fwd", "cx", "cy"), ["edge_id", "fwd"]).select("req_id", "cx", "cy", "edge_id", "fwd", F.col("grade").alias("d"), F.lit("raised").alias("kind"))
     while True:
-        known = spark.read.schema(LABEL).parquet(root)
-        best = known.groupBy("req_id", "node").agg(F.min(F.struct("d", "h", "round")).alias("s")).select("req_id", "node", "s.d", "s.h", (F.col("s.round") == k).alias("new"))
-        placed = best.join(place, F.col("node") == F.col("node_id"), "left").drop("node_id")
-        by = Window.partitionBy("req_id", "cx", "cy")
-        limit = best.join(asked, "req_id").groupBy("req_id", "dst", "budget").agg(F.min(F.when(F.col("node") == F.col("dst"), F.col("d"))).alias("goal")).select("req_id", "dst", F.least("budget", F.coalesce("goal", "budget")).alias("most"))
-        active = written(placed.withColumn("_on", F.max("new").over(by)).where("_on").drop("_on").join(limit, "req_id"))
-        found = dealt(active, step, ["cx", "cy"], "req_id", REQUESTS_A_TASK, _spread, LABEL.rpartition(",")[0])
-        found.write.parquet(f"{root}/round={k + 1}")
+        known = spark.read.schema(whole).parquet(root)
+        new = known.where((F.col("round") == k) & ~F.col("goal"))
+        touched = [r[0] for r in new.select("folder").distinct().collect()]  # FOLDERS at most
+        if not touched:
+            return known, known.where("goal").groupBy("req_id").agg(F.min(F.struct("d", "h", "node", "root")).alias("g")).select("req_id", "g.*"), step
+        goals = known.where("goal").groupBy("req_id").agg(F.min("d").alias("best"))
+        limit = asked.join(goals, "req_id", "left").select("req_id", "dst", "cap", F.least("budget", F.coalesce("best", "budget")).alias("most"))
+        active = new.select("req_id", "cx", "cy").distinct()
+        here = known.where(F.col("folder").isin(touched) & ~F.col("goal")).join(active, ["req_id", "cx", "cy"], "left_semi")
+        best = here.groupBy("req_id", "cx", "cy", "node").agg(F.min(F.struct("d", "h", "round")).alias("s")).select("req_id", "cx", "cy", "node", "s.d", "s.h", (F.col("s.round") == k).alias("fresh"), F.lit("entry").alias("kind"))
+        best = best.join(limit, "req_id").where("d <= most")
+        if raised is not None:
+            best = best.unionByName(raised.join(active, ["req_id", "cx", "cy"], "left_semi"), allowMissingColumns=True)
+        found = dealt(written(best), step, ["cx", "cy"], "req_id", REQUESTS_A_TASK, _spread, ENTRY)
         k += 1
-        if spark.read.schema(LABEL).parquet(f"{root}/round={k}").isEmpty():
-            return known
+        # Values at targets have no cell of their own.
+        put(found.withColumns({"cx": F.coalesce("cx", F.lit(0)), "cy": F.coalesce("cy", F.lit(0))}))
 
 
-def _settled(labels: DataFrame) -> DataFrame:
-    """The label that holds of every request's node: of equal ones the first set."""
-    return labels.groupBy("req_id", "node").agg(F.min(F.struct("d", "h", "round", "edge_id", "fwd", "tail", "w")).alias("s")).select("req_id", "node", "s.*")
-
-
-def _at_goal(labels: DataFrame, requests: DataFrame) -> DataFrame:
-    asked = requests.select("req_id", F.col("dst").alias("node"))
-    return asked.join(_settled(labels), ["req_id", "node"], "left")
-
-
-def shortest_paths(arcs: DataFrame, requests: DataFrame, nodes: DataFrame, cost: str = "length_m") -> DataFrame:
-    """(req_id, cost, hops, status) of the cheapest path per request (req_id, src, dst, perhaps budget); status "none" where no path, or none within the budget, leads there."""
+def shortest_paths(arcs: DataFrame, requests: DataFrame, nodes: DataFrame, cost: str = "length_m", cell: float = 0.05) -> DataFrame:
+    """(req_id, cost, hops, status) of the cheapest path per request (req_id, src, dst, perhaps budget and cap); status "none" where no path, or none within the budget, leads there."""
+    _, goals, _ = entries(arcs, requests, nodes, cost, cell)
     status = F.when(F.col("d").isNull(), "none").otherwise("found")
-    return _at_goal(path_labels(arcs, requests, nodes, cost), requests).select("req_id", F.col("d").alias("cost"), F.col("h").alias("hops"), status.alias("status"))
-
-
-def shortest_routes(arcs: DataFrame, requests: DataFrame, nodes: DataFrame, cost: str = "length_m") -> DataFrame:
+    return requests.select("req_id").join(goals, "req_id", "left").select("req_id", F.col("d").alias("cost"), F.col("h").alias("hops"), status.alias("status"))
+
+
+def _expanded(asked: pd.DataFrame, arcs: pd.DataFrame) -> pd.DataFrame:
+    """The arcs inside a cell between a node where a path entered and the one where it left or ended."""
+    cell = _Cell(arcs)
+    raised, asked = asked[asked["kind"] == "raised"], asked[asked["kind"] != "raised"].reset_index(drop=True)
+    each = np.arange(len(asked))
+    of: dict[int, list[int]] = {}
+    for k, r in enumerate(asked["req_id"]):
+        of.setdefault(r, []).append(k)
+    closed = [(k, cell.named[e, f], g) for r, e, f, g in raised.reindex(columns=["req_id", "edge_id", "fwd", "d"]).itertuples(index=False, name=None) if (e, f) in cell.named for k in of.get(r, ())]
+    until = cell.place(asked["until"].to_numpy(np.int64))
+    done = _Settled(cell, each, asked["root"].to_numpy(np.int64), np.zeros(len(asked)), np.zeros(len(asked), np.int64), np.full(len(asked), np.inf), until, asked["cap"].to_numpy(float), closed)
+    rows = []
+    for k, (req, h) in enumerate(zip(asked["req_id"], asked["h"], strict=True)):
+        for j, a in enumerate(done.way(k * done.n + int(until[k])) if until[k] >= 0 else ()):
+            rows.append((req, int(h) + j, int(cell.col["edge_id"][a]), bool(cell.col["fwd"][a]), int(cell.col["u"][a]), int(cell.col["v"][a]), float(cell.col["w"][a])))
+    return pd.DataFrame(rows, columns=["req_id", "arc_seq", "edge_id", "fwd", "u", "v", "cost"])
+
+
+def shortest_routes(arcs: DataFrame, requests: DataFrame, nodes: DataFrame, cost: str = "length_m", cell: float = 0.05, raised: DataFrame | None = None) -> DataFrame:
     """(req_id, arc_seq, edge_id, fwd, u, v, cost) of the cheapest path per request, arc by arc.
 
-    Predecessors are followed by doubled jumps: about two written tables per doubling of the
-    longest path, whatever the number of requests.
+    The entries of a path are followed back by doubled jumps, about two written tables per doubling
+    of its number of cells; then every cell's part is laid out by a task that holds that cell.
     """
-    labels = path_labels(arcs, requests, nodes, cost)
-    tree = written(_settled(labels))
-    jumps = [written(tree.where("tail is not null").select("req_id", "node", F.col("tail").alias("to")))]
+    every, goals, step = entries(arcs, requests, nodes, cost, cell, raised)
+    best = every.where("not goal").groupBy("req_id", "node").agg(F.min(F.struct("d", "h", "round", "edge_id", "fwd", "tail", "w", "root", "cx", "cy")).alias("s"))
+    tree = written(best.select("req_id", "node", "s.*"))
+    goals = written(goals)
+    jumps = [written(tree.where("root is not null").select("req_id", "node", F.col("root").alias("to")))]
     while True:
         far = jumps[-1].join(jumps[-1].select("req_id", F.col("node").alias("to"), F.col("to").alias("next")), ["req_id", "to"]).select("req_id", "node", F.col("next").alias("to"))
         far = written(far)
         if far.isEmpty():
             break
         jumps.append(far)
-    places = _at_goal(labels, requests).where("d is not null").select("req_id", "node")
+    places = goals.select("req_id", F.col("root").alias("node"))
     for jump in reversed(jumps):
         places = written(places.unionByName(places.join(jump, ["req_id", "node"]).select("req_id", F.col("to").alias("node"))))
-    on = places.join(tree, ["req_id", "node"]).where("tail is not null")
-    return on.select("req_id", (F.col("h") - 1).alias("arc_seq"), "edge_id", "fwd", F.col("tail").alias("u"), F.col("node").alias("v"), F.col("w").alias("cost"))
+    on = written(places.join(tree, ["req_id", "node"]))
+    crossed = on.where("root is not null")
+    # From an entry to the tail of the arc that leaves its cell, and from the last one to the target.
+    parts = crossed.select("req_id", "root", F.col("tail").alias("until")).unionByName(goals.select("req_id", "root", F.col("node").alias("until")))
+    at = on.select("req_id", F.col("node").alias("root"), "h", "cx", "cy")
+    cap = F.coalesce(F.col("cap").cast("double"), F.lit(float("inf"))) if "cap" in requests.columns else F.lit(float("inf"))
+    parts = parts.where("root <> until").join(at, ["req_id", "root"]).join(requests.select("req_id", cap.alias("cap")), "req_id").withColumn("kind", F.lit("part"))
+    if raised is not None:
+        placed = raised.join(step.select("edge_id", "fwd", "cx", "cy"), ["edge_id", "fwd"]).join(parts.select("req_id", "cx", "cy").distinct(), ["req_id", "cx", "cy"], "left_semi")
+        parts = parts.unionByName(placed.select("req_id", "cx", "cy", "edge_id", "fwd", F.col("grade").alias("d"), F.lit("raised").alias("kind")), allowMissingColumns=True)
+    inside = dealt(written(parts), step, ["cx", "cy"], "req_id", REQUESTS_A_TASK, _expanded, "req_id long, arc_seq long, edge_id long, fwd boolean, u long, v long, cost double")
+    return inside.unionByName(crossed.select("req_id", (F.col("h") - 1).alias("arc_seq"), "edge_id", "fwd", F.col("tail").alias("u"), F.col("node").alias("v"), F.col("w").alias("cost")))
 
 
 def tier_grid(routes: DataFrame, tiers: list[int], windows: list[int]) -> DataFrame:

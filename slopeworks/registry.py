@@ -460,16 +460,16 @@ p(req_id, node, d, most) using key (req_id, node) as (
 select q.req_id, round(p.d, 3) as cost, cast(round((p.d - round(p.d, 3)) * 1e9) as bigint) as hops, case when p.d is null then 'none' else 'found' end as status from q left join p on p.req_id = q.req_id and p.node = q.dst"""
 
 
-# A way of 3 km is far above any of the fixture's.
-@query(_relaxed(budget="3000.0"))
+# 3 km are far above a short trip's way.
+@query(_relaxed(budget="case when req_id % 3 = 0 then 1e9 else 3000.0 end"))
 def shortest_paths(spark, d):
     return network.shortest_paths(_arcs(spark, d), view(spark, d, "fx_requests"), view(spark, d, "fx_nodes")).withColumn("cost", r(F.col("cost"), 3))
 
 
-@query(_relaxed("where mean_grade <= 4.0 + 1e-9", "1500.0"))
+@query(_relaxed("where mean_grade <= 4.0 + 1e-9", "case when req_id % 3 = 0 then 12000.0 else 1500.0 end"))
 def grade_capped_path(spark, d):
-    asked = view(spark, d, "fx_requests").withColumn("budget", F.lit(1500.0))
-    return network.shortest_paths(_arcs(spark, d).where(F.col("mean_grade") <= 4.0 + 1e-9), asked, view(spark, d, "fx_nodes")).withColumn("cost", r(F.col("cost"), 3))
+    asked = view(spark, d, "fx_requests").withColumns({"budget": F.when(F.col("req_id") % 3 == 0, 12000.0).otherwise(1500.0), "cap": F.lit(4.0)})
+    return network.shortest_paths(_arcs(spark, d).withColumnRenamed("mean_grade", "grade"), asked, view(spark, d, "fx_nodes")).withColumn("cost", r(F.col("cost"), 3))
 
 
 @query()

@@ -27,9 +27,10 @@ select a.node_id * 2 + 1, a.node_id, b.node_id,
 from fx_nodes a join fx_nodes b on b.node_id = a.node_id + 50
 where (a.node_id * 37 + a.gy * 3) % 10 < 9
 """),
+    # A trip in three goes across the whole network, the others up to 6 columns and 5 rows.
     "fx_requests": ((), """
-select req_id, src, least(49, greatest(0, src % 50 + dx)) + 50 * least(top, greatest(0, cast(floor(src / 50.0) as bigint) + dy)) as dst
-from (select c_custkey as req_id, (c_custkey * 97) % n as src, (c_custkey * 389 + 31) % 13 - 6 as dx, (c_custkey * 31 + 7) % 11 - 5 as dy, cast(floor(n / 50.0) as bigint) - 1 as top
+select req_id, src, case when req_id % 3 = 0 then far else least(49, greatest(0, src % 50 + dx)) + 50 * least(top, greatest(0, cast(floor(src / 50.0) as bigint) + dy)) end as dst
+from (select c_custkey as req_id, (c_custkey * 97) % n as src, (c_custkey * 389 + 31) % n as far, (c_custkey * 389 + 31) % 13 - 6 as dx, (c_custkey * 31 + 7) % 11 - 5 as dy, cast(floor(n / 50.0) as bigint) - 1 as top
       from customer cross join (select count(*) as n from part) t) trips
 """),
     "fx_points": ((), """

@@ -32,3 +32,17 @@ def test_labels_rank_by_importance_length_and_name(spark):
     got = [r.line_id for r in layers.label_candidates(lines, most=5).orderBy("rank").collect()]
     assert got == [11, 9, 7, 5, 3]
     assert layers.label_candidates(lines.where(F.lit(False))).count() == 0
+
+
+def test_several_extents_are_an_error(spark):
+    import pytest
+
+    from slopeworks.operators import layers
+
+    box = "x0 double, x1 double, y0 double, y1 double"
+    features = spark.createDataFrame([(1, 0.0, 1.0, 0.0, 1.0), (2, 5.0, 6.0, 5.0, 6.0)], f"id long, {box}")
+    extents = [(0.0, 2.0, 0.0, 2.0), (4.0, 7.0, 4.0, 7.0)]
+    of = lambda rows: [r.id for r in layers.extent_filter(features, spark.createDataFrame(rows, box)).collect()]
+    assert of(extents[:1]) == [1] and of(extents[1:]) == [2] and of([]) == []
+    with pytest.raises(ValueError, match="one extent"):
+        of(extents)
