@@ -153,16 +153,16 @@ def dealt(asked: DataFrame, held: DataFrame, key: list[str], by: str, most: int,
     return fresh(one).cogroup(fresh(each)).applyInPandas(work, schema)
 
 
-class _Cell:
+class Cell:
     """The arcs whose tails lie in one cell, by tail; inner ones lead to nodes of the cell, the others out of it."""
 
     def __init__(self, arcs: pd.DataFrame) -> None:
         arcs = arcs.sort_values(["u", "v", "w", "edge_id", "fwd"], kind="stable")
-        self.nodes = np.unique(arcs["u"].to_numpy(np.int64))
         self.col = {c: arcs[c].to_numpy() for c in ("u", "v", "w", "grade", "edge_id", "fwd", "vcx", "vcy")}
-        self.tail, head = self.place(self.col["u"]), self.place(self.col["v"])
-        inner = (head >= 0) & (self.col["vcx"] == arcs["cx"].to_numpy()) & (self.col["vcy"] == arcs["cy"].to_numpy())
-        self.head, self.inner = np.where(inner, head, -1), inner
+        self.inner = (self.col["vcx"] == arcs["cx"].to_numpy()) & (self.col["vcy"] == arcs["cy"].to_numpy())
+        self.nodes = np.unique(np.concatenate([self.col["u"], self.col["v"][self.inner]])).astype(np.int64)
+        self.tail = self.place(self.col["u"])
+        self.head = np.where(self.inner, self.place(self.col["v"]), -1)
         self.first = np.searchsorted(self.tail, np.arange(len(self.nodes) + 1))
         self.named = {k: i for i, k in enumerate(zip(self.col["edge_id"].tolist(), self.col["fwd"].tolist(), strict=True))}
 
@@ -179,10 +179,16 @@ class _Cell:
         return np.repeat(state, many), arc
 
 
-class _Settled:
-    """What the entries of many askers settle inside a cell, all askers at once: every step takes the arcs out of all nodes that improved in the one before."""
+class Settled:
+    """What the entries of many askers settle inside a cell, all askers at once: every step takes the arcs out of all nodes that improved in the one before.
 
-    def __init__(self, cell: _Cell, asker: np.ndarray, node: np.ndarray, d: np.ndarray, h: np.ndarray, most: np.ndarray, goal: np.ndarray, cap: np.ndarray, raised: list[tuple[int, int, float]]) -> None:
+    Per asker: ``most`` no value is above, ``goal`` (a place, -1 for none) whose value times
+    ``share`` lowers it, ``cap`` of the arcs' grades, perhaps ``ahead``: what is left to go from
+    every place. ``raised`` has (asker, arc, grade) that replace an arc's grade; ``price`` gives
+    the cost of arcs for askers in place of their ``w``.
+    """
+
+    def __init__(self, cell: Cell, asker: np.ndarray, node: np.ndarray, d: np.ndarray, h: np.ndarray, most: np.ndarray, goal: np.ndarray, cap: np.ndarray, raised: list[tuple[int, int, float]], share: float = 1.0, ahead: np.ndarray | None = None, price: Callable | None = None) -> None:
         self.cell, self.cap, n = cell, cap, max(len(cell.nodes), 1)
         self.n, size = n, n * len(most)
         self.d, self.h = np.full(size, np.inf), np.zeros(size, np.int64)
@@ -195,13 +201,15 @@ class _Settled:
         state = self._better(asker[known] * n + at[known], d[known], h[known], np.flatnonzero(known), np.full(known.sum(), -1))
         while len(state):
             ends = state[state % n == aim[state // n]]
-            np.minimum.at(self.most, ends // n, self.d[ends])
+            np.minimum.at(self.most, ends // n, self.d[ends] * share + (1e-6 if share > 1 else 0.0))
             start, arc = cell.onward(state)
             on = cell.inner[arc] & self._open(start // n, arc)
             start, arc = start[on], arc[on]
-            d, h, a = self.d[start] + cell.col["w"][arc], self.h[start] + 1, start // n
-            on = d <= self.most[a]
-            state = self._better(a[on] * n + cell.head[arc[on]], d[on], h[on], self.root[start[on]], arc[on])
+            a = start // n
+            d, h = self.d[start] + (cell.col["w"][arc] if price is None else price(a, arc)), self.h[start] + 1
+            to = a * n + cell.head[arc]
+            on = (d if ahead is None else d + ahead[to]) <= self.most[a]
+            state = self._better(to[on], d[on], h[on], self.root[start[on]], arc[on])
 
     def _open(self, asker: np.ndarray, arc: np.ndarray) -> np.ndarray:
         own = self.cell.col["grade"][arc] <= self.cap[asker] + 1e-9
@@ -247,7 +255,7 @@ class _Settled:
 
 def _spread(asked: pd.DataFrame, arcs: pd.DataFrame) -> pd.DataFrame:
     """New entries of the neighbouring cells, and values at targets, from the entries of a cell: ``fresh`` ones are this round's, rows of kind "raised" close arcs to a request."""
-    cell = _Cell(arcs)
+    cell = Cell(arcs)
     raised, asked = asked[asked["kind"] == "raised"], asked[asked["kind"] != "raised"].reset_index(drop=True)
     asker, reqs = pd.factorize(asked["req_id"])
     heads = asked.drop_duplicates("req_id")
@@ -256,7 +264,7 @@ def _spread(asked: pd.DataFrame, arcs: pd.DataFrame) -> pd.DataFrame:
     closed = [(where[r], cell.named[e, f], g) for r, e, f, g in raised.reindex(columns=["req_id", "edge_id", "fwd", "d"]).itertuples(index=False, name=None) if r in where and (e, f) in cell.named]
     # An older entry of equal value comes first and keeps its node.
     node, d, h, fresh = asked["node"].to_numpy(np.int64), asked["d"].to_numpy(float), asked["h"].to_numpy(np.int64), asked["fresh"].to_numpy(bool)
-    done = _Settled(cell, asker, node, d, h, heads["most"].to_numpy(float), cell.place(goal), heads["cap"].to_numpy(float), closed)
+    done = Settled(cell, asker, node, d, h, heads["most"].to_numpy(float), cell.place(goal), heads["cap"].to_numpy(float), closed)
     a, arc, ld, lh, root = done.leaving(fresh)
     out = [pd.DataFrame({"req_id": reqs[a], "node": cell.col["v"][arc], "d": ld, "h": lh, "edge_id": cell.col["edge_id"][arc], "fwd": cell.col["fwd"][arc], "tail": cell.col["u"][arc], "w": cell.col["w"][arc], "root": node[root], "cx": cell.col["vcx"][arc], "cy": cell.col["vcy"][arc], "goal": False})]
     at = np.arange(len(reqs)) * done.n + cell.place(goal)
@@ -328,7 +336,7 @@ def shortest_paths(arcs: DataFrame, requests: DataFrame, nodes: DataFrame, cost:
 
 def _expanded(asked: pd.DataFrame, arcs: pd.DataFrame) -> pd.DataFrame:
     """The arcs inside a cell between a node where a path entered and the one where it left or ended."""
-    cell = _Cell(arcs)
+    cell = Cell(arcs)
     raised, asked = asked[asked["kind"] == "raised"], asked[asked["kind"] != "raised"].reset_index(drop=True)
     each = np.arange(len(asked))
     of: dict[int, list[int]] = {}
@@ -336,7 +344,7 @@ def _expanded(asked: pd.DataFrame, arcs: pd.DataFrame) -> pd.DataFrame:
         of.setdefault(r, []).append(k)
     closed = [(k, cell.named[e, f], g) for r, e, f, g in raised.reindex(columns=["req_id", "edge_id", "fwd", "d"]).itertuples(index=False, name=None) if (e, f) in cell.named for k in of.get(r, ())]
     until = cell.place(asked["until"].to_numpy(np.int64))
-    done = _Settled(cell, each, asked["root"].to_numpy(np.int64), np.zeros(len(asked)), np.zeros(len(asked), np.int64), np.full(len(asked), np.inf), until, asked["cap"].to_numpy(float), closed)
+    done = Settled(cell, each, asked["root"].to_numpy(np.int64), np.zeros(len(asked)), np.zeros(len(asked), np.int64), np.full(len(asked), np.inf), until, asked["cap"].to_numpy(float), closed)
     rows = []
     for k, (req, h) in enumerate(zip(asked["req_id"], asked["h"], strict=True)):
         for j, a in enumerate(done.way(k * done.n + int(until[k])) if until[k] >= 0 else ()):
