@@ -96,40 +96,42 @@ def _scaled(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return vectors, np.sqrt((vectors * vectors).sum(axis=1))
 
 
+def _lists(column: pa.Array) -> list[np.ndarray]:
+    """The lists of a column of lists of whole numbers."""
+    flat, ends = column.flatten().to_numpy(), np.concatenate([[0], np.cumsum(column.value_lengths().to_numpy())])
+    return [flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
+
 class _Shard:
-    """A shard's vectors and their tree. Equal vectors are one point; of each the k + 1 smallest ids can be among the nearest."""
+    """A shard's different vectors, their tree, and of each the k + 1 first of the rows that have it: no other can be among the nearest."""
 
     def __init__(self, held: pa.Table, k: int) -> None:
-        held = held.sort_by("vec_id")
-        self.k, self.ids = k, held.column("vec_id").to_numpy()
+        self.k = k
         self.vectors, self.norms = _scaled(held.column("v").combine_chunks())
-        _, point = np.unique(self.vectors, axis=0, return_inverse=True)
-        point = point.ravel()
-        order = np.argsort(point, kind="stable")
-        starts = np.searchsorted(point[order], np.arange(point.max() + 2))
-        self.members = [order[a : min(b, a + k + 1)] for a, b in zip(starts[:-1], starts[1:], strict=True)]
-        heads = order[starts[:-1]]
-        self.tree = VantageTree(self.vectors[heads] / self.norms[heads][:, None])
+        self.ids, self.rows = (_lists(held.column(c).combine_chunks()) for c in ("ids", "rows"))
+        self.tree = VantageTree(self.vectors / self.norms[:, None])
 
     def nearest(self, asked: pa.RecordBatch, relax: float) -> pa.RecordBatch:
-        """(query_id, vec_id, score) of the k nearest to each query that may beat its ``least`` score."""
-        asked_ids, (q, norms) = asked.column("vec_id").to_numpy(), _scaled(asked.column("v"))
+        """(query_id, query_row, vec_id, row, score) of the k nearest to each query, its own row apart, that may beat its ``least`` score."""
+        q, norms = _scaled(asked.column("v"))
+        query_ids, query_rows = (asked.column(c).to_numpy() for c in ("vec_id", "row"))
         least = asked.column("least").fill_null(-2.0).to_numpy(zero_copy_only=False)
         _, found = self.tree.search(q / norms[:, None], self.k + 1, relax, np.where(least > -1.5, least - SLACK, -2.0))
-        queries, ids, scores = [np.array([], np.int64)], [np.array([], np.int64)], [np.array([])]
-        for row, points in enumerate(found):
-            own = [self.members[p] for p in points if p >= 0]
-            if own:
-                own = np.concatenate(own)
-                own = own[self.ids[own] != asked_ids[row]]
-                score = (self.vectors[own] * q[row]).sum(axis=1) / (self.norms[own] * norms[row])
-                best = np.lexsort((self.ids[own], -score))[: self.k]
-                best = best[score[best] >= least[row]]
-                queries.append(np.full(len(best), asked_ids[row]))
-                ids.append(self.ids[own[best]])
-                scores.append(score[best])
-        columns = [pa.array(np.concatenate(c), t) for c, t in ((queries, pa.int64()), (ids, pa.int64()), (scores, pa.float64()))]
-        return pa.RecordBatch.from_arrays(columns, names=["query_id", "vec_id", "score"])
+        out: list[list[np.ndarray]] = [[np.array([], t)] for t in (np.int64, np.int64, np.int64, np.int64, np.float64)]
+        for at, points in enumerate(found):
+            points = points[points >= 0]
+            if not len(points):
+                continue
+            score = (self.vectors[points] * q[at]).sum(axis=1) / (self.norms[points] * norms[at])
+            ids, rows = (np.concatenate([x[p] for p in points]) for x in (self.ids, self.rows))
+            score = np.repeat(score, [len(self.ids[p]) for p in points])
+            other = rows != query_rows[at]
+            ids, rows, score = ids[other], rows[other], score[other]
+            best = np.lexsort((rows, ids, -score))[: self.k]
+            best = best[score[best] >= least[at]]
+            for column, x in zip(out, (np.full(len(best), query_ids[at]), np.full(len(best), query_rows[at]), ids[best], rows[best], score[best]), strict=True):
+                column.append(x)
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=["query_id", "query_row", "vec_id", "row", "score"])
 
 
 def _search(k: int, relax: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -151,8 +153,16 @@ def _search(k: int, relax: float) -> Callable[[Iterator[pa.RecordBatch]], Iterat
     return task
 
 
+def _scaled_down(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Vectors scaled by a power of two, so that those which differ by one are the same."""
+    for b in batches:
+        v, _ = _scaled(b.column("v"))
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(v) + 1) * v.shape[1], pa.int32()), pa.array(v.ravel() + 0.0))
+        yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("row"), lists], names=["vec_id", "row", "v"])
+
+
 def _assign(pivots: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Every vector with its nearest vantage point and the distance to it."""
+    """Every row with its nearest vantage point and the distance to it."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -160,7 +170,7 @@ def _assign(pivots: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator
                 vectors, norms = _scaled(b.column("v"))
                 d = _distance(vectors / norms[:, None] @ pivots.T)
                 own = d.argmin(axis=1)
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(own, pa.int32()), pa.array(d[np.arange(len(own)), own])], names=["vec_id", "v", "pivot", "far"])
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(own, pa.int32()), pa.array(d[np.arange(len(own)), own])], names=[*b.schema.names, "pivot", "far"])
 
     return task
 
@@ -179,65 +189,81 @@ def _onward(pivots: np.ndarray, near: np.ndarray, reach: np.ndarray, relax: floa
                 bound = np.maximum(np.maximum(d - reach, near - d), (d - far) / 2)
                 go = (bound <= radius) & (np.arange(len(pivots)) != home) & (reach >= 0)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(go.sum(axis=1))]), pa.int32()), pa.array(np.nonzero(go)[1], pa.int32()))
-                yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("v"), b.column("least"), lists], names=["vec_id", "v", "least", "pivots"])
+                yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("row"), b.column("v"), b.column("least"), lists], names=["vec_id", "row", "v", "least", "pivots"])
 
     return task
 
 
+FOUND = "query_id long, query_row long, vec_id long, row long, score double"
+
+
 def _searched(filed: DataFrame, parts: DataFrame, asked: DataFrame, blocks: int, k: int, relax: float) -> DataFrame:
-    """(query_id, vec_id, score) of ``asked`` (vec_id, v, least, pivot) in all shards of their vantage point.
+    """FOUND of ``asked`` (vec_id, row, v, least, pivot) in all shards of their vantage point.
 
     A vantage point's members are dealt over ``parts`` of a shard's size, however many they are.
     """
     key = ["pivot", "part", "block"]
     every = lambda m: F.explode(F.sequence(F.lit(0), m - 1))
-    dealt = lambda m: F.pmod(F.xxhash64("vec_id"), m).cast("int")
-    own = filed.join(F.broadcast(parts), "pivot").select("vec_id", "v", F.lit(None).cast("double").alias("least"), F.lit(False).alias("is_query"), "pivot", dealt(F.col("parts")).alias("part"), every(F.lit(blocks)).alias("block"))
-    ask = asked.join(F.broadcast(parts), "pivot").select("vec_id", "v", "least", F.lit(True).alias("is_query"), "pivot", every(F.col("parts")).alias("part"), dealt(F.lit(blocks)).alias("block"))
+    dealt = lambda c, m: F.pmod(F.xxhash64(c), m).cast("int")
+    none = lambda t: F.lit(None).cast(t)
+    # A vector is known by the first of its rows.
+    first = F.col("rows")[0]
+    own = filed.join(F.broadcast(parts), "pivot").select(none("long").alias("vec_id"), none("long").alias("row"), "ids", "rows", "v", none("double").alias("least"), F.lit(False).alias("is_query"), "pivot", dealt(first, F.col("parts")).alias("part"), every(F.lit(blocks)).alias("block"))
+    ask = asked.join(F.broadcast(parts), "pivot").select("vec_id", "row", none("array<long>").alias("ids"), none("array<long>").alias("rows"), "v", "least", F.lit(True).alias("is_query"), "pivot", every(F.col("parts")).alias("part"), dealt("row", F.lit(blocks)).alias("block"))
     sorted_ = own.unionByName(ask).repartition(*key).sortWithinPartitions(*key, "is_query")
-    return sorted_.groupBy(*key).applyInArrow(_search(k, relax), "query_id long, vec_id long, score double")
+    return sorted_.groupBy(*key).applyInArrow(_search(k, relax), FOUND)
 
 
 def nearest(vectors: DataFrame, every: int = 50, k: int = 5, relax: float = RELAX) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest of ``vectors`` (vec_id, embedding) for ids divisible by ``every``.
 
     Rows with a null id, and vectors that are null, empty, zero, of another length than most
-    or that hold a null or non-finite component, take no part. Rows with the query's own id are
-    no candidates; rows that repeat an id with the same vector count once; ties go to the
-    smaller vec_id; other columns are ignored; no rows give no rows.
+    or that hold a null or non-finite component, take no part. Only a query's own row is no
+    candidate of it: rows that repeat an id are candidates, and queries, each for itself; ties go
+    to the smaller vec_id; other columns are ignored; no rows give no rows.
+
+    Equal vectors are one vector with its first k + 1 rows before they are dealt, so that a vector
+    that many rows have is no large shard.
     """
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(math.inf)))
     usable = (
         vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("v"))
         .where("vec_id is not null and v is not null").where(finite).where(F.exists("v", lambda x: x != 0))
     )
-    usable = materialise(usable.select("vec_id", "v").dropDuplicates(["vec_id", "v"]), "nearest-vectors")
+    usable = materialise(usable.select("vec_id", F.monotonically_increasing_id().alias("row"), "v"), "nearest-vectors")
     sizes = usable.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
     if sizes is None:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    usable = usable.where(F.size("v") == sizes["n"])
-    sample = usable.orderBy(F.xxhash64("vec_id"), "vec_id").limit(min(PIVOTS, math.ceil(sizes["count"] / SHARD))).collect()
+    usable = usable.where(F.size("v") == sizes["n"]).mapInArrow(_scaled_down, "vec_id long, row long, v array<double>")
+    # Spark keeps k + 1 rows of a vector in every partition before they meet.
+    nth = F.row_number().over(Window.partitionBy("v").orderBy("vec_id", "row"))
+    alike = usable.withColumn("nth", nth).where(F.col("nth") <= k + 1)
+    members = F.array_sort(F.collect_list(F.struct("vec_id", "row")))
+    different = materialise(alike.groupBy("v").agg(members.alias("m")).select("v", F.col("m.vec_id").alias("ids"), F.col("m.row").alias("rows")), "nearest-different")
+    known = different.count()
+    sample = different.orderBy(F.xxhash64("v"), "v").select("v").limit(min(PIVOTS, math.ceil(known / SHARD))).collect()
     pivots, norms = _scaled(pa.array([r["v"] for r in sample], pa.list_(pa.float64())))
     pivots = np.unique(pivots / norms[:, None], axis=0)
-    filed = materialise(usable.mapInArrow(_assign(pivots), "vec_id long, v array<double>, pivot int, far double"), "nearest-filed")
-    ours = F.pmod("vec_id", F.lit(every)) == 0
+    filed = materialise(different.mapInArrow(_assign(pivots), "v array<double>, ids array<long>, rows array<long>, pivot int, far double"), "nearest-filed")
+    ours = usable.where(F.pmod("vec_id", F.lit(every)) == 0)
+    queries = materialise(ours.mapInArrow(_assign(pivots), "vec_id long, row long, v array<double>, pivot int, far double"), "nearest-queries")
     # A row per vantage point.
-    shards = filed.groupBy("pivot").agg(F.ceil(F.count("*") / SHARD).cast("int").alias("parts"), F.min("far").alias("near"), F.max("far").alias("reach"), F.count_if(ours).alias("asked")).collect()
+    shards = filed.groupBy("pivot").agg(F.ceil(F.count("*") / SHARD).cast("int").alias("parts"), F.min("far").alias("near"), F.max("far").alias("reach")).collect()
     parts = vectors.sparkSession.createDataFrame([(r["pivot"], r["parts"]) for r in shards], "pivot int, parts int")
-    blocks = max(1, math.ceil(sum(r["asked"] for r in shards) / ASKED))
-    queries = filed.where(ours)
+    blocks = max(1, math.ceil(queries.count() / ASKED))
 
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = lambda found: found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-    home = ranked(_searched(filed, parts, queries.select("vec_id", "v", F.lit(None).cast("double").alias("least"), "pivot"), blocks, k, relax))
+    best = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id", "row")
+    kept = lambda found: found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    ranked = lambda found: kept(found).select("query_id", "rank", "vec_id", "score")
+    home = _searched(filed, parts, queries.select("vec_id", "row", "v", F.lit(None).cast("double").alias("least"), "pivot"), blocks, k, relax)
     if len(shards) == 1:
-        return home
-    home = materialise(home, "nearest-home")
-    least = home.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("least"))
+        return ranked(home)
+    home = materialise(kept(home).drop("rank"), "nearest-home")
+    least = home.groupBy("query_row").agg(F.when(F.count("*") >= k, F.min("score")).alias("least"))
     near, reach = np.zeros(len(pivots)), np.full(len(pivots), -1.0)
     for r in shards:
         near[r["pivot"]], reach[r["pivot"]] = r["near"], r["reach"]
-    found = queries.join(least, F.col("vec_id") == F.col("query_id"), "left").select("vec_id", "v", "least", "pivot", "far")
-    routed = found.mapInArrow(_onward(pivots, near, reach, relax), "vec_id long, v array<double>, least double, pivots array<int>")
-    asked = routed.select("vec_id", "v", "least", F.explode("pivots").alias("pivot"))
-    return ranked(home.drop("rank").unionByName(_searched(filed, parts, asked, blocks, k, relax)))
+    found = queries.join(least, F.col("row") == F.col("query_row"), "left").select("vec_id", "row", "v", "least", "pivot", "far")
+    routed = found.mapInArrow(_onward(pivots, near, reach, relax), "vec_id long, row long, v array<double>, least double, pivots array<int>")
+    asked = routed.select("vec_id", "row", "v", "least", F.explode("pivots").alias("pivot"))
+    return ranked(home.unionByName(_searched(filed, parts, asked, blocks, k, relax)))

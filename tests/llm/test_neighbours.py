@@ -12,7 +12,7 @@ def brute(rows, every=50, k=5):
     out = {}
     for q in np.flatnonzero(ids % every == 0):
         s = (v * v[q]).sum(axis=1) / (np.sqrt((v * v).sum(axis=1)) * np.sqrt((v[q] * v[q]).sum()))
-        order = [i for i in np.lexsort((ids, -s)) if ids[i] != ids[q]][:k]
+        order = [i for i in np.lexsort((ids, -s)) if i != q][:k]
         out[int(ids[q])] = [(int(ids[i]), s[i]) for i in order]
     return out
 
@@ -58,7 +58,7 @@ def test_odd_rows(spark):
     rows = [(k, [float(k % 7 + 1), float(k % 3), 1.0]) for k in range(120)]
     rows += [(200, None), (250, [0.0, 0.0, 0.0]), (300, [1.0, nan, 0.0]), (350, [inf, 0.0, 0.0]), (400, [1.0, None, 0.0]), (None, [1.0, 2.0, 3.0]), (450, []), (3, [4.0, 0.0, 1.0]), (500, [1.0, 2.0])]
     df = spark.createDataFrame([(*r, 7, 1.0) for r in rows], "vec_id long, embedding array<double>, rank int, score double")
-    clean = [r for r in rows[:120]]
+    clean = [*rows[:120], (3, [4.0, 0.0, 1.0])]
     assert {q: [i for i, _ in own] for q, own in found(neighbours.nearest(df, relax=1.0)).items()} == {q: [i for i, _ in own] for q, own in brute(clean).items()}
     assert neighbours.nearest(df.where("false")).count() == 0
     assert neighbours.nearest(df.where("vec_id = 50")).count() == 0
@@ -95,9 +95,37 @@ def test_many_shards_are_exact_at_factor_one(spark, monkeypatch):
 def test_far_vantage_points_are_left_out():
     pivots = np.eye(6)
     batch = neighbours.pa.RecordBatch.from_pydict({
-        "vec_id": [0, 20], "v": [[1.0, 0.05, 0, 0, 0, 0], [1.0, 0.9, 0, 0, 0, 0]], "least": [0.99, None],
+        "vec_id": [0, 20], "row": [0, 1], "v": [[1.0, 0.05, 0, 0, 0, 0], [1.0, 0.9, 0, 0, 0, 0]], "least": [0.99, None],
         "pivot": neighbours.pa.array([0, 0], neighbours.pa.int32()), "far": [0.05, 0.6],
     })
     near, reach = np.zeros(6), np.array([0.9, 0.9, 0.9, 0.2, -1.0, 0.9])
     (out,) = neighbours._onward(pivots, near, reach, 1.0)([batch])
     assert out.column("pivots").to_pylist() == [[], [1, 2, 3, 5]]  # within a radius of 0.14 none reaches; without one all that have members
+
+
+def test_rows_that_repeat_an_id_are_candidates(spark):
+    rows = [(3, [1.0, 0.1])] * 3 + [(50, [1.0, 0.1]), (50, [1.0, 0.1]), (50, [0.0, 1.0]), (7, [1.0, 0.2]), (8, [0.1, 1.0])]
+    got = sorted((r["query_id"], r["rank"], r["vec_id"]) for r in neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), relax=1.0).collect())
+    # Twice the twin's own neighbours: three rows of id 3, the other row of id 50, then 7; and once those of the third row.
+    twin = [3, 3, 3, 50, 7]
+    assert got == sorted([(50, k + 1, v) for _ in range(2) for k, v in enumerate(twin)] + [(50, k + 1, v) for k, v in enumerate([8, 7, 3, 3, 3])])
+
+
+def test_a_hot_vector_is_one_row_of_a_shard(spark, monkeypatch):
+    """Half of all rows have one vector: what is filed, and the parts that queries are copied to, do not grow with them."""
+    rng = np.random.default_rng(5)
+    rows = [(k, [1.0, 2.0, 3.0, 4.0] if k % 2 else [float(x) for x in rng.normal(size=4)]) for k in range(1200)]
+    monkeypatch.setattr(neighbours, "SHARD", 100)
+    parts, copies = [], []
+    searched = neighbours._searched
+
+    def watched(filed, shards, asked, *rest):
+        parts.append(sum(r["parts"] for r in shards.collect()))
+        copies.append((filed.count(), asked.join(shards, "pivot").agg({"parts": "sum"}).first()[0]))
+        return searched(filed, shards, asked, *rest)
+
+    monkeypatch.setattr(neighbours, "_searched", watched)
+    got = found(neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), every=15, relax=1.0))
+    want = brute(rows, every=15)
+    assert {q: [i for i, _ in own] for q, own in got.items()} == {q: [i for i, _ in own] for q, own in want.items()}
+    assert copies[0][0] == 601 and max(parts) <= 16 and copies[0][1] <= 80 * 3
