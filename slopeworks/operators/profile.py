@@ -27,21 +27,47 @@ def segment_grades(points: DataFrame) -> DataFrame:
     return n.select("track_id", "seq", (100 * (F.col("next_elev") - F.col("elev_m")) / F.greatest(F.col("next_dist") - F.col("dist_m"), F.lit(1e-6))).alias("grade"))
 
 
-def windowed_grades(points: DataFrame, window_m: float = 100, min_len_m: float = 1) -> DataFrame:
-    """``points`` with next_dist, next_elev and the slope over a window centred on each sample, cut at the track's ends.
+#: Metres of a track that meet in one task.
+CHUNK_M = 20_000.0
+
 
-    Only frames that grow with the distance are used, so a track costs one sort.
+def _chunked(points: DataFrame, half: float, chunk_m: float) -> DataFrame:
+    """``points`` by ``_chunk`` of their track, a chunk's own ones (``_own``) with those half a window around it and the nearest one beyond on either side.
+
+    No key holds more than a chunk and its surroundings, however long the track; what is known of
+    a whole track at once is a row per chunk.
     """
+    # Half a window reaches no farther than the neighbouring chunk.
+    size = max(chunk_m, half)
+    chunk = F.floor(F.col("dist_m") / size)
+    placed = points.withColumn("_chunk", chunk).withColumn("_x", F.col("dist_m") - F.col("_chunk") * size)
+    at = lambda d, own: F.struct((F.col("_chunk") + d).alias("c"), F.lit(own).alias("own"))
+    to = F.array_compact(F.array(at(0, True), F.when(F.col("_x") <= half, at(-1, False)), F.when(F.col("_x") > size - half, at(1, False))))
+    near = placed.withColumn("_to", F.explode(to)).select(*[F.col(f"`{c}`") for c in points.columns], F.col("_to.c").alias("_chunk"), F.col("_to.own").alias("_own"))
+    sample = F.struct(*[F.col(f"`{c}`") for c in points.columns])
+    ends = placed.groupBy("track_id", "_chunk").agg(
+        F.max_by(F.when(F.col("_x") <= size - half, sample), F.when(F.col("_x") <= size - half, F.col("seq"))).alias("inner_last"), F.max_by(sample, "seq").alias("last"),
+        F.min_by(F.when(F.col("_x") > half, sample), F.when(F.col("_x") > half, F.col("seq"))).alias("inner_first"), F.min_by(sample, "seq").alias("first"),
+    )
+    along = Window.partitionBy("track_id").orderBy("_chunk")
+    beside = lambda step, inner, end: F.when(step("_chunk").over(along) == F.col("_chunk") + (1 if step is F.lead else -1), F.coalesce(step(inner).over(along), step(end, 2).over(along))).otherwise(step(end).over(along))
+    beyond = ends.withColumn("_beside", F.array(beside(F.lag, "inner_last", "last"), beside(F.lead, "inner_first", "first"))).withColumn("_s", F.explode(F.array_compact("_beside")))
+    return near.unionByName(beyond.select(*[F.col(f"_s.`{c}`").alias(c) for c in points.columns], "_chunk", F.lit(False).alias("_own")))
+
+
+def _graded(points: DataFrame, window_m: float, min_len_m: float, chunk_m: float) -> DataFrame:
+    """``windowed_grades`` with ``_chunk``."""
     half = window_m / 2
     # Frames take whole bounds: distances are doubled, or told in half millimetres where the window is no whole number.
     unit = 2 if float(window_m).is_integer() else 2000
-    reach, by_dist = round(half * unit), track().orderBy(F.col("dist_m") * unit)
+    part = Window.partitionBy("track_id", "_chunk")
+    reach, by_dist, in_order = round(half * unit), part.orderBy(F.col("dist_m") * unit), part.orderBy("seq")
     sample = F.struct("dist_m", "elev_m", "next_dist", "next_elev")
-    n = with_next(points).withColumns({
+    n = _chunked(points, half, chunk_m).withColumns({"next_dist": F.lead("dist_m").over(in_order), "next_elev": F.lead("elev_m").over(in_order)}).withColumns({
         "_lo": F.max_by(sample, "seq").over(by_dist.rangeBetween(Window.unboundedPreceding, -reach)),
         "_hi": F.max_by(sample, "seq").over(by_dist.rangeBetween(Window.unboundedPreceding, reach)),
-        "_first": F.first(F.struct("dist_m", "elev_m")).over(by_seq().rowsBetween(Window.unboundedPreceding, 0)),
-    })
+        "_first": F.first(F.struct("dist_m", "elev_m")).over(in_order.rowsBetween(Window.unboundedPreceding, 0)),
+    }).where("_own")
 
     def at(s: Column, x: Column) -> Column:
         inside = s["elev_m"] + (s["next_elev"] - s["elev_m"]) * (x - s["dist_m"]) / (s["next_dist"] - s["dist_m"])
@@ -51,17 +77,44 @@ def windowed_grades(points: DataFrame, window_m: float = 100, min_len_m: float =
     hi_x = F.when(F.col("_hi.next_dist").isNull(), F.col("_hi.dist_m")).otherwise(F.col("dist_m") + half)
     lo = F.when(F.col("_lo").isNull(), F.col("_first.elev_m")).otherwise(at(F.col("_lo"), lo_x))
     grade = 100 * (at(F.col("_hi"), hi_x) - lo) / F.greatest(hi_x - lo_x, F.lit(float(min_len_m)))
-    return n.withColumn("grade", grade).drop("_lo", "_hi", "_first")
+    return n.withColumn("grade", grade).drop("_lo", "_hi", "_first", "_own")
 
 
-def islands(graded: DataFrame, above: float) -> DataFrame:
-    """(track_id, run, start_m, end_m, max_grade, samples) of the maximal runs of samples steeper than ``above``."""
-    steep = F.col("grade") > above
-    started = steep & ~F.coalesce(F.lag("grade").over(by_seq()) > above, F.lit(False))
-    runs = graded.withColumn("run", F.sum(started.cast("long")).over(by_seq())).where(steep)
-    return runs.groupBy("track_id", "run").agg(
-        F.min("dist_m").alias("start_m"), F.max("dist_m").alias("end_m"), F.max("grade").alias("max_grade"), F.count("*").alias("samples")
+def windowed_grades(points: DataFrame, window_m: float = 100, min_len_m: float = 1, chunk_m: float = CHUNK_M) -> DataFrame:
+    """``points`` with next_dist, next_elev and the slope over a window centred on each sample, cut at the track's ends.
+
+    Distances do not fall along a track. Only frames that grow with the distance are used, so a
+    chunk costs one sort; a track is as many tasks as it has chunks.
+    """
+    return _graded(points, window_m, min_len_m, chunk_m).drop("_chunk")
+
+
+def islands(graded: DataFrame, above: float, chunk_m: float = CHUNK_M) -> DataFrame:
+    """(track_id, run, start_m, end_m, max_grade, samples) of the maximal runs of samples steeper than ``above``, numbered along their track.
+
+    Runs are found chunk by chunk; a run that is open at a chunk's end is one with that which the
+    next chunk begins with.
+    """
+    cut = graded if "_chunk" in graded.columns else graded.withColumn("_chunk", F.floor(F.col("dist_m") / chunk_m))
+    part = Window.partitionBy("track_id", "_chunk").orderBy("seq")
+    steep = F.coalesce(F.col("grade") > above, F.lit(False))
+    started = steep & ~F.coalesce(F.lag("grade").over(part) > above, F.lit(False))
+    local = cut.select("track_id", "_chunk", "seq", "dist_m", "grade", steep.alias("_steep"), F.sum(started.cast("long")).over(part).alias("_run"))
+    # A row per run of a chunk, and one (run 0 or not steep) for what lies between.
+    runs = local.groupBy("track_id", "_chunk", F.when(F.col("_steep"), F.col("_run")).alias("_run")).agg(
+        F.min("dist_m").alias("start_m"), F.max("dist_m").alias("end_m"), F.max("grade").alias("max_grade"), F.count("*").alias("samples"), F.min("seq").alias("_from"), F.max("seq").alias("_to")
+    )
+    ends = runs.groupBy("track_id", "_chunk").agg(
+        F.count("_run").alias("_runs"), F.min_by(F.col("_run").isNotNull(), "_from").alias("_begins"), F.max_by(F.col("_run").isNotNull(), "_to").alias("_open")
+    )
+    along = Window.partitionBy("track_id").orderBy("_chunk")
+    goes_on = (F.col("_begins") & F.coalesce(F.lag("_open").over(along), F.lit(False))).cast("long")
+    ends = ends.withColumn("_on", goes_on).select(
+        "track_id", "_chunk",
+        (F.coalesce(F.sum("_runs").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) - F.sum("_on").over(along.rowsBetween(Window.unboundedPreceding, 0))).alias("_before"),
     )
+    whole = runs.where("_run is not null").join(ends, ["track_id", "_chunk"]).withColumn("run", F.col("_before") + F.col("_run"))
+    return whole.groupBy("track_id", "run").agg(F.min("start_m").alias("start_m"), F.max("end_m").alias("end_m"), F.max("max_grade").alias("max_grade"), F.sum("samples").alias("samples"))
 
 
 def elevation_gain_loss(points: DataFrame) -> DataFrame:
@@ -72,8 +125,8 @@ def elevation_gain_loss(points: DataFrame) -> DataFrame:
 
 
 def track_metrics(points: DataFrame, window_m: float = 100, threshold: float = 6.0) -> DataFrame:
-    """One row per track: length, steepest grade, steep length, gain, loss, riding time and harshness. One sort by track serves all."""
-    graded = windowed_grades(points, window_m)
+    """One row per track: length, steepest grade, steep length, gain, loss, riding time and harshness. One sort by chunks of tracks serves all."""
+    graded = _graded(points, window_m, 1, CHUNK_M)
     length, climb = F.col("next_dist") - F.col("dist_m"), F.col("next_elev") - F.col("elev_m")
     hard = length * F.pow(F.greatest(F.col("grade"), F.lit(0.0)) / threshold, 3)
     time = F.when(length > 0, length / speed(climb / length))
