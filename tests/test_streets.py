@@ -32,3 +32,26 @@ def test_long_street_and_empty(spark):
     got = merged(spark, rows)
     assert list(got) == [("a", 0)] and got["a", 0][1] == n and sorted(got["a", 0][2]) == [(float(i), 0.0) for i in range(n + 1)]
     assert merged(spark, []) == {}
+
+
+def test_a_street_of_many_pieces_by_jumps(spark, monkeypatch):
+    """10^5 pieces in one line and a ring of 1,000, turned at random: every vertex at its place, in some 17 rounds."""
+    from pyspark.sql import functions as F
+
+    n, m = 100_000, 1_000
+    k = spark.range(n + m)
+    on, at = F.col("id") < n, F.when(F.col("id") < n, F.col("id")).otherwise(F.col("id") - n).cast("double")
+    ring = F.when(on, at + 1).otherwise(F.pmod(at + 1, F.lit(float(m))))
+    turned = F.xxhash64("id") % 2 == 0
+    xs = F.when(turned, F.array(ring, at)).otherwise(F.array(at, ring))
+    y = F.when(on, 0.0).otherwise(1.0)
+    pieces = k.select(F.pmod(F.col("id") * 7919, F.lit(1_000_003)).alias("piece_id"), F.lit("a").alias("name"), F.lit("x").alias("class"), xs.alias("xs"), F.array(y, y).alias("ys"))
+    rounds = []
+    own = streets.written
+    monkeypatch.setattr(streets, "written", lambda df: rounds.append(1) or own(df))
+    got = streets.line_vertices(pieces)
+    line = got.where("y = 0").agg(F.count("*").alias("n"), F.countDistinct("first").alias("lines"), F.max(F.abs(F.col("x") - F.col("seq"))).alias("up"), F.max(F.abs(n - F.col("x") - F.col("seq"))).alias("down")).first()
+    assert (line.n, line.lines) == (n + 1, 1) and 0 in (line.up, line.down)
+    around = [r.x for r in got.where("y = 1").orderBy("seq").collect()]
+    assert len(around) == m + 1 and around[0] == around[-1] and {abs(a - b) for a, b in zip(around, around[1:])} == {1.0, m - 1.0}
+    assert len(rounds) < 50
