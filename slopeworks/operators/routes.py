@@ -108,6 +108,38 @@ def tier_slug(tier: Column) -> Column:
     return F.format_string("variante_+%02dpct", tier)
 
 
+def cut_lines(points: DataFrame, pieces: DataFrame) -> DataFrame:
+    """(edge_id, pos_deg, lon, lat) of pieces (line_id, edge_id, from_at, to_at) of lines (line_id, seq, lon, lat): what ``line_substring`` gives for each, in one sweep along a line.
+
+    Pieces of a line do not overlap. A line's vertices and cuts are sorted once; a cut takes the
+    stretch it falls in from the vertex before it, a vertex its piece from the cut before it. There
+    are as many rows as vertices and twice the pieces. A line without length has none.
+    """
+    by = Window.partitionBy("line_id").orderBy("seq")
+    n = points.withColumns({"_lon": F.lead("lon").over(by), "_lat": F.lead("lat").over(by)})
+    n = n.withColumn("_l", F.coalesce(F.sqrt(F.pow(F.col("_lon") - F.col("lon"), 2) + F.pow(F.col("_lat") - F.col("lat"), 2)), F.lit(0.0)))
+    n = n.withColumn("_s", F.coalesce(F.sum("_l").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
+    none = lambda t: F.lit(None).cast(t)
+    stretch = F.struct("lon", "lat", F.col("_lon").alias("lon2"), F.col("_lat").alias("lat2"), F.col("_s").alias("s"), F.col("_l").alias("l"))
+    vertices = n.select("line_id", F.col("_s").alias("pos"), F.lit(0).alias("kind"), F.col("seq").cast("long").alias("n"), stretch.alias("on"), none("struct<edge_id:bigint,a:double,b:double>").alias("piece"))
+    total = n.groupBy("line_id").agg(F.sum("_l").alias("t")).where("t > 0")
+    a, b = F.col("from_at") * F.col("t"), F.col("to_at") * F.col("t")
+    piece = F.struct(F.col("edge_id").cast("long").alias("edge_id"), a.alias("a"), b.alias("b"))
+    # At one place a piece ends before the next one begins.
+    ends = F.explode(F.array(F.struct(b.alias("pos"), F.lit(1).alias("kind")), F.struct(a.alias("pos"), F.lit(2).alias("kind"))))
+    cuts = pieces.join(total, "line_id").withColumns({"_p": piece, "_e": ends}).select("line_id", "_e.pos", "_e.kind", F.col("edge_id").cast("long").alias("n"), none(vertices.schema["on"].dataType.simpleString()).alias("on"), F.col("_p").alias("piece"))
+    along = Window.partitionBy("line_id").orderBy("pos", "kind", "n").rowsBetween(Window.unboundedPreceding, 0)
+    length = F.max(F.when(F.col("kind") == 0, F.col("pos"))).over(Window.partitionBy("line_id"))
+    swept = vertices.unionByName(cuts).withColumns({
+        "_on": F.last("on", ignorenulls=True).over(along), "_in": F.last(F.when(F.col("kind") == 2, F.col("piece")), ignorenulls=True).over(along), "_t": length,
+    })
+    inner = (F.col("kind") == 0) & (F.col("pos") > F.col("_in.a") + 1e-12 * F.col("_t")) & (F.col("pos") < F.col("_in.b") - 1e-12 * F.col("_t"))
+    share = F.when(F.col("_on.l") > 0, (F.col("pos") - F.col("_on.s")) / F.col("_on.l")).otherwise(0.0)
+    point = lambda c: F.col(f"_on.{c}") + F.coalesce((F.col(f"_on.{c}2") - F.col(f"_on.{c}")) * share, F.lit(0.0))
+    kept = swept.where(F.coalesce(inner, F.lit(False)) | ((F.col("kind") > 0) & F.col("_on").isNotNull()))
+    return kept.select(F.coalesce("piece.edge_id", "_in.edge_id").alias("edge_id"), F.col("pos").alias("pos_deg"), point("lon").alias("lon"), point("lat").alias("lat"))
+
+
 def line_substring(points: DataFrame, a: Column, b: Column) -> DataFrame:
     """The piece of every line (line_id, seq, lon, lat) between positions ``a`` and ``b`` of its planar length: (line_id, pos_deg, lon, lat). A line without length has none."""
     by = Window.partitionBy("line_id").orderBy("seq")

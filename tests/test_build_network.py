@@ -60,3 +60,29 @@ def test_whole_line_and_its_ends(spark):
     cut = lambda a, b: [round(x.lon, 9) for x in routes.line_substring(line, F.lit(a), F.lit(b)).orderBy("pos_deg").collect()]
     assert cut(0.0, 1.0) == [round(2.0 + 0.1 * k, 9) for k in range(8)]
     assert cut(0.9, 1.0) == [2.63, 2.7] and cut(0.0, 0.1) == [2.0, 2.07]
+
+
+def test_a_sweep_cuts_as_each_piece_alone(spark):
+    """Cuts on vertices, between them, at ends, past doubled vertices and gaps between pieces; rows grow with vertices and pieces, not with their product."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from slopeworks.operators import routes
+
+    rng = random.Random(4)
+    vertices, pieces = [], []
+    for line in range(12):
+        x = 0.0
+        for k in range(rng.randint(1, 40)):
+            vertices.append((line, k, 2.0 + x, 48.0 + rng.choice([0.0, 0.001])))
+            x += rng.choice([0.0, 0.01, 0.02])
+        at = sorted({0.0, 1.0, *(rng.choice([rng.random(), 0.25, 0.5]) for _ in range(9))})
+        pieces += [(line, line * 100 + i, a, b) for i, (a, b) in enumerate(zip(at, at[1:])) if i % 4 != 3]
+    v = spark.createDataFrame([*vertices, (99, 0, 2.0, 48.0), (99, 1, 2.0, 48.0)], "line_id long, seq int, lon double, lat double")
+    p = spark.createDataFrame([*pieces, (99, 9900, 0.0, 1.0)], "line_id long, edge_id long, from_at double, to_at double")
+    told = lambda df: sorted((r.edge_id, round(r.pos_deg, 9), round(r.lon, 9), round(r.lat, 9)) for r in df.collect())
+    alone = v.join(p, "line_id").withColumnRenamed("line_id", "_").withColumnRenamed("edge_id", "line_id")
+    want = told(routes.line_substring(alone, F.col("from_at"), F.col("to_at")).withColumnRenamed("line_id", "edge_id"))
+    got = told(routes.cut_lines(v, p))
+    assert got == want and 2 * len(pieces) * 0.5 < len(got) <= len(vertices) + 2 * len(pieces)
