@@ -83,35 +83,73 @@ def cheapest_parallel(arcs: DataFrame, cost: str = "length_m") -> DataFrame:
     return arcs.groupBy("u", "v").agg(best.alias("a")).select("u", "v", "a.*")
 
 
+#: Rounds of doubling cells before points are looked up from the top; most boxes that are sent to all tasks.
+NEAR_ROUNDS, BOXES = 4, 50_000
+
+
 def nearest_node(points: DataFrame, nodes: DataFrame, cell: float = 0.002) -> DataFrame:
-    """The nearest node (node_id, lon, lat) per point (pt_id, lon, lat) in degrees, longitudes scaled by the point's cosine.
+    """The nearest node (node_id, lon, lat) per point (pt_id, lon, lat) in degrees, longitudes scaled by the point's cosine; of equal ones the smaller id.
 
     Cells of doubling size; a point is settled once its best is no farther than the nearest
-    edge of its neighbourhood, and all are once a cell is wider than points and nodes together.
-    What is open is written each round. Only points without a finite place, or without any
-    node, have a null node.
+    edge of its neighbourhood. Points still open after a few rounds are far from the network:
+    they come down a pyramid of occupied cells (``_from_the_top``). What is open is written each
+    round. Only points without a finite place, or without any node, have a null node.
     """
     known = F.coalesce((F.abs("lon") < float("inf")) & (F.abs("lat") < float("inf")), F.lit(False))
     nodes, open_ = nodes.where(known), points.where(known)
     id_type = nodes.schema["node_id"].dataType
-    done = points.where(~known).select("pt_id", F.lit(None).cast(id_type).alias("node_id"), F.lit(None).cast("double").alias("d2"))
-    span = lambda c: F.max(c) - F.min(c)
-    reach = nodes.select("lon", "lat").unionByName(open_.select("lon", "lat")).agg(F.greatest(span("lon"), span("lat"))).first()[0]
+    nobody = lambda df: df.select("pt_id", F.lit(None).cast(id_type).alias("node_id"), F.lit(None).cast("double").alias("d2"))
+    done = nobody(points.where(~known))
     scale = F.cos(F.radians(F.col("lat")))
-    while reach is not None:
+    first = cell
+    for _ in range(NEAR_ROUNDS):
         around = F.explode(F.flatten(F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda i: F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda j: F.struct((F.floor(F.col("lon") / cell) + i).alias("cx"), (F.floor(F.col("lat") / cell) + j).alias("cy"))))))
         asked = open_.withColumn("c", around).select("*", "c.*").drop("c")
         filed = nodes.select("node_id", F.col("lon").alias("nlon"), F.col("lat").alias("nlat"), F.floor(F.col("lon") / cell).alias("cx"), F.floor(F.col("lat") / cell).alias("cy"))
         d2 = F.pow((F.col("nlon") - F.col("lon")) * scale, 2) + F.pow(F.col("nlat") - F.col("lat"), 2)
         best = asked.join(filed, ["cx", "cy"], "left").groupBy("pt_id", "lon", "lat").agg(F.min(F.when(F.col("node_id").isNotNull(), F.struct(d2.alias("d2"), "node_id"))).alias("b"))
-        sure = F.lit(True) if cell > reach else F.coalesce(F.col("b.d2") <= F.pow(cell * scale, 2), F.lit(False))
-        judged = written(best.withColumn("sure", sure))
+        judged = written(best.withColumn("sure", F.coalesce(F.col("b.d2") <= F.pow(cell * scale, 2), F.lit(False))))
         done = done.unionByName(judged.where("sure").select("pt_id", F.col("b.node_id").alias("node_id"), F.col("b.d2").alias("d2")))
         open_ = judged.where("not sure").select("pt_id", "lon", "lat")
         if open_.isEmpty():
-            break
+            return done
         cell *= 2
-    return done
+    far = _from_the_top(open_, nodes, first)
+    return done.unionByName(nobody(open_) if far is None else far)
+
+
+def _from_the_top(points: DataFrame, nodes: DataFrame, cell: float) -> DataFrame | None:
+    """(pt_id, node_id, d2) of the nearest node of every point by branch and bound; None if there are no nodes.
+
+    Boxes of the occupied cells, each level's twice as wide as the one below, are opened from the
+    top: a point goes on with the children whose nearest edge is no farther than the farthest
+    corner of another, some handful a level, and meets nodes only in the cells that are left.
+    """
+    box = [F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min("y0").alias("y0"), F.max("y1").alias("y1")]
+    filed = nodes.select("node_id", F.col("lon").alias("x0"), F.col("lon").alias("x1"), F.col("lat").alias("y0"), F.col("lat").alias("y1"), F.floor(F.col("lon") / cell).cast("long").alias("cx"), F.floor(F.col("lat") / cell).cast("long").alias("cy"))
+    levels = [written(filed.groupBy("cx", "cy").agg(*box))]
+    while (many := levels[-1].count()) > 4:
+        up = lambda c: F.floor(F.col(c) / 2).cast("long").alias(c)
+        levels.append(written(levels[-1].groupBy(up("cx"), up("cy")).agg(*box)))
+    if not many:
+        return None
+    # Four boxes at most.
+    top = [F.struct(F.lit(r["cx"]).alias("cx"), F.lit(r["cy"]).alias("cy")) for r in levels[-1].select("cx", "cy").collect()]
+    held = points.withColumn("c", F.explode(F.array(*top))).select("pt_id", "lon", "lat", "c.cx", "c.cy")
+    scale = F.cos(F.radians(F.col("lat")))
+    off = lambda c, a, b: F.greatest(F.col(a) - F.col(c), F.col(c) - F.col(b), F.lit(0.0))
+    most = lambda c, a, b: F.greatest(F.abs(F.col(a) - F.col(c)), F.abs(F.col(b) - F.col(c)))
+    least = F.pow(off("lon", "x0", "x1") * scale, 2) + F.pow(off("lat", "y0", "y1"), 2)
+    farthest = F.pow(most("lon", "x0", "x1") * scale, 2) + F.pow(most("lat", "y0", "y1"), 2)
+    for level in reversed(levels[:-1]):
+        boxes = level.withColumnsRenamed({"cx": "bx", "cy": "by"}).withColumns({"cx": F.floor(F.col("bx") / 2).cast("long"), "cy": F.floor(F.col("by") / 2).cast("long")})
+        boxes = F.broadcast(boxes) if level.count() <= BOXES else boxes
+        children = held.join(boxes, ["cx", "cy"]).withColumns({"_least": least, "_bound": F.min(farthest).over(Window.partitionBy("pt_id", "lon", "lat"))})
+        # A rounding error must not shut out the nearest.
+        held = written(children.where(F.col("_least") * (1 - 1e-12) <= F.col("_bound") * (1 + 1e-12)).select("pt_id", "lon", "lat", F.col("bx").alias("cx"), F.col("by").alias("cy")))
+    d2 = F.pow((F.col("x0") - F.col("lon")) * scale, 2) + F.pow(F.col("y0") - F.col("lat"), 2)
+    best = held.join(filed.select("node_id", "x0", "y0", "cx", "cy"), ["cx", "cy"]).groupBy("pt_id", "lon", "lat").agg(F.min(F.struct(d2.alias("d2"), "node_id")).alias("b"))
+    return best.select("pt_id", F.col("b.node_id").alias("node_id"), F.col("b.d2").alias("d2"))
 
 
 def scratch(spark: SparkSession) -> str:
