@@ -45,9 +45,10 @@ def words_of(text: bytes) -> set[bytes]:
 
 
 def buckets_of(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(word number, bucket) pairs: the byte n-grams of each word with marked ends, and the word itself."""
-    text = np.frombuffer(b"".join([b"<%s>" % w for w in words]) + bytes(max(NGRAMS)), np.uint8).astype(np.uint64)
-    long = np.array([len(w) + 2 for w in words], dtype=np.int64)
+    """(word number, bucket) pairs: the character n-grams of each word with marked ends, and the word itself."""
+    marked = [f"<{w.decode('utf-8', 'replace')}>" for w in words]
+    text = np.frombuffer("".join(marked).encode("utf-32-le", "replace") + bytes(4 * max(NGRAMS)), "<u4").astype(np.uint64)
+    long = np.array([len(w) for w in marked], dtype=np.int64)
     of, ends = np.repeat(np.arange(len(words)), long), np.repeat(np.cumsum(long), long)
     place = np.arange(len(of))
     rows, found = [np.arange(len(words))], [BUCKETS + np.array([zlib.crc32(w) % BUCKETS for w in words], dtype=np.int64)]
@@ -55,9 +56,9 @@ def buckets_of(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         at = place[ends - place >= n]
         key = np.full(len(at), n, np.uint64)
         for k in range(n):
-            key = (key << np.uint64(8)) | text[at + k]
+            key = (key ^ text[at + k]) * _MIX
         rows.append(of[at])
-        found.append(((key * _MIX) >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.int64))
+        found.append((key >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.int64))
     return np.concatenate(rows), np.concatenate(found)
 
 
@@ -89,17 +90,20 @@ def bag_of(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(buckets_of(sorted(words_of(text)))[1], return_counts=True)
 
 
-def train(found: list[tuple[np.ndarray, np.ndarray]], labels: list[int]) -> SubwordModel:
-    """Vectors and softmax by Adagrad on mini-batches; scale and offset by a logistic fit on texts kept apart."""
+def train(found: list[tuple[np.ndarray, np.ndarray]], labels: list[int], totals: list[int] | None = None) -> SubwordModel:
+    """Vectors and softmax by Adagrad on mini-batches; scale and offset by a logistic fit on texts kept apart.
+
+    ``totals``: subwords of each text where its rare ones are already gone.
+    """
     y_all = np.array(labels, dtype=np.int64)
     if len(set(labels)) < 2:
         return SubwordModel(np.zeros(2 * BUCKETS, np.float32), 0.0 if not labels else (2.0 if labels[0] else -2.0), 1.0)
     texts_with = np.bincount(np.concatenate([ids for ids, _ in found]), minlength=2 * BUCKETS)
     bags = []
-    for ids, weight in found:
+    for (ids, weight), total in zip(found, totals or [int(w.sum()) for _, w in found], strict=True):
         # What few texts hold teaches those texts by heart: its vector stays zero.
         often = texts_with[ids] >= LEAST_TEXTS
-        bags.append((ids[often].astype(np.int32), (weight[often] / max(weight.sum(), 1)).astype(np.float32)))
+        bags.append((ids[often].astype(np.int32), (weight[often] / max(total, 1)).astype(np.float32)))
     rng = np.random.default_rng(SEED)
     shuffled = rng.permutation(len(found))
     apart, learn = shuffled[: len(found) // 5], shuffled[len(found) // 5 :]
@@ -165,24 +169,38 @@ def fit(docs: DataFrame, labels: DataFrame, label: str) -> SubwordModel:
     # 2 * SAMPLE rows of two numbers: small whatever the input.
     sample = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).where("text is not null").join(F.broadcast(chosen), "doc_id")
 
+    # Repeated ids: of the rows of one id the first by text hash is learned from.
+    sample = sample.groupBy("doc_id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             own = [bag_of(t) for t in b.column("text").to_pylist()]
-            held = [pa.array([x[k].astype("<i4").tobytes() for x in own], pa.binary()) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("label"), b.column("h"), *held], names=["doc_id", "label", "h", "ids", "n"])
+            held = [pa.array([x[k] for x in own], pa.list_(pa.int32())) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("label"), *held], names=["doc_id", "label", "ids", "n"])
 
-    # Texts become bags where they lie: what the one task reads is bounded by subwords.
-    sample = sample.select("doc_id", "label", F.xxhash64("text").alias("h"), "text").mapInArrow(bags, "doc_id long, label int, h long, ids binary, n binary")
-    # Repeated ids: of the rows of one id the first by text hash is learned from.
-    sample = sample.groupBy("doc_id", "label").agg(F.min_by(F.struct("ids", "n"), "h").alias("bag")).select("doc_id", "label", "bag.*")
+    # Texts become bags where they lie; what few texts hold is known, and dropped, before the bags meet in one task.
+    sample = materialise(sample.mapInArrow(bags, "doc_id long, label int, ids array<int>, n array<int>"), "toxicity-bags")
+    often = sample.select(F.explode("ids").alias("id")).groupBy("id").count().where(F.col("count") >= LEAST_TEXTS).select("id")
+    known = np.zeros(2 * BUCKETS, bool)
+    known[often.toPandas()["id"].to_numpy(np.int64)] = True  # a row per bucket at most
+    shared = sample.sparkSession.sparkContext.broadcast(known)
+
+    def thinned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            bag = [[np.asarray(x, dtype="<i4") for x in pair] for pair in zip(b.column("ids").to_pylist(), b.column("n").to_pylist(), strict=True)]
+            kept = [shared.value[ids] for ids, _ in bag]
+            held = [pa.array([x[k][own].tobytes() for x, own in zip(bag, kept, strict=True)], pa.binary()) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("label"), *held, pa.array([int(n.sum()) for _, n in bag], pa.int64())], names=["doc_id", "label", "ids", "n", "total"])
+
+    sample = sample.mapInArrow(thinned, "doc_id long, label int, ids binary, n binary, total long")
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = sorted(r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("doc_id", "label", "ids", "n")), strict=True))
-        m = train([(np.frombuffer(r[2], "<i4"), np.frombuffer(r[3], "<i4")) for r in rows], [r[1] for r in rows])
+        rows = sorted(r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("doc_id", "label", "ids", "n", "total")), strict=True))
+        m = train([(np.frombuffer(r[2], "<i4"), np.frombuffer(r[3], "<i4")) for r in rows], [r[1] for r in rows], [r[4] for r in rows])
         yield pa.RecordBatch.from_arrays([pa.array([m.value.astype("<f4").tobytes()], pa.binary()), pa.array([m.offset]), pa.array([m.scale])], names=["value", "offset", "scale"])
 
     counts = {r["label"]: r["count"] for r in open_rows.groupBy("label").count().collect()}
-    row = sample.coalesce(1).mapInArrow(learn, "value binary, offset double, scale double").first()
+    row = sample.repartition(1).mapInArrow(learn, "value binary, offset double, scale double").first()
     if row is None:  # not one labelled text to learn from
         return SubwordModel(np.zeros(2 * BUCKETS, np.float32), 0.0, 1.0)
     # The sample holds the classes more evenly than the labels do: back to the labels' odds.

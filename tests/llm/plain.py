@@ -100,16 +100,70 @@ def quality_score(found):
     return 0.98 * rate + 0.02 / (1 + math.exp(-4 * (raw - 0.5)))
 
 
+def subwords(word):
+    """Buckets of one word (bytes), by loops over its characters."""
+    marked = "<" + word.decode() + ">"
+    buckets = [toxicity.BUCKETS + zlib.crc32(word) % toxicity.BUCKETS]
+    for size in toxicity.NGRAMS:
+        for at in range(len(marked) - size + 1):
+            key = size
+            for c in marked[at : at + size]:
+                key = ((key ^ ord(c)) * 0x9E3779B97F4A7C15) & (1 << 64) - 1
+            buckets.append(key >> 64 - (toxicity.BUCKETS.bit_length() - 1))
+    return buckets
+
+
 def toxicity_score(text, model):
     """Mean of the subwords' values, by loops."""
     total, n = 0.0, 0
     for word in toxicity.words_of((text or "").encode()):
-        marked = b"<" + word + b">"
-        buckets = [toxicity.BUCKETS + zlib.crc32(word) % toxicity.BUCKETS]
-        for size in toxicity.NGRAMS:
-            for at in range(len(marked) - size + 1):
-                key = int.from_bytes(size.to_bytes(2, "big") + marked[at : at + size], "big") & (1 << 64) - 1
-                buckets.append((key * 0x9E3779B97F4A7C15 & (1 << 64) - 1) >> 64 - (toxicity.BUCKETS.bit_length() - 1))
+        buckets = subwords(word)
         total += sum(float(model.value[b]) for b in buckets)
         n += len(buckets)
     return 1 / (1 + math.exp(-max(-50.0, min(50.0, model.offset + model.scale * total / max(n, 1)))))
+
+
+def toxicity_training(texts, labels):
+    """(value of every bucket seen, raw scores and labels of the texts kept apart): the training of `toxicity.train`, number by number."""
+    bags = [Counter(b for w in toxicity.words_of(t) for b in subwords(w)) for t in texts]
+    held = Counter(b for bag in bags for b in bag)
+    known = [{b: n / sum(bag.values()) for b, n in bag.items() if held[b] >= toxicity.LEAST_TEXTS} for bag in bags]
+    rng = np.random.default_rng(toxicity.SEED)
+    order = rng.permutation(len(bags)).tolist()
+    apart, learn = order[: len(bags) // 5], [k for k in order[len(bags) // 5 :] if known[k]]
+    drawn = rng.uniform(-1e-3, 1e-3, (2 * toxicity.BUCKETS, toxicity.DIM))
+    vector = {b: drawn[b].tolist() for b, n in held.items() if n >= toxicity.LEAST_TEXTS}
+    seen = dict.fromkeys(vector, 1e-6)
+    softmax = rng.normal(0, 0.5, (toxicity.DIM, 2)).tolist()
+    seen_s, bias = [[1e-6] * 2 for _ in softmax], [0.0, 0.0]
+    batches = [learn[k : k + toxicity.BATCH] for k in range(0, len(learn), toxicity.BATCH)]
+    epochs, dims = max(toxicity.EPOCHS, -(-toxicity.STEPS // len(batches))), range(toxicity.DIM)
+    for epoch in range(epochs):
+        rate = toxicity.RATE * (1 - epoch / epochs)
+        for which in rng.permutation(len(batches)):
+            batch = batches[which]
+            grad_s, grad_b, grad_v = [[0.0] * 2 for _ in dims], [0.0] * 2, {}
+            for k in batch:
+                mean = [toxicity.GAIN * sum(w * vector[b][d] for b, w in known[k].items()) for d in dims]
+                z = [sum(mean[d] * softmax[d][c] for d in dims) + bias[c] for c in (0, 1)]
+                top = [math.exp(x - max(z)) for x in z]
+                p = [x / sum(top) - (c == labels[k]) for c, x in enumerate(top)]
+                for c in (0, 1):
+                    grad_b[c] += p[c] / len(batch)
+                    for d in dims:
+                        grad_s[d][c] += mean[d] * p[c] / len(batch)
+                for b, w in known[k].items():
+                    own = grad_v.setdefault(b, [0.0] * toxicity.DIM)
+                    for d in dims:
+                        own[d] += w * sum(p[c] * softmax[d][c] for c in (0, 1))
+            for c in (0, 1):
+                bias[c] -= rate * grad_b[c]
+                for d in dims:
+                    seen_s[d][c] += grad_s[d][c] ** 2
+                    softmax[d][c] -= rate * grad_s[d][c] / math.sqrt(seen_s[d][c])
+            for b, own in grad_v.items():
+                seen[b] += sum(x * x for x in own) / toxicity.DIM
+                vector[b] = [v - rate * x / math.sqrt(seen[b]) for v, x in zip(vector[b], own, strict=True)]
+    value = {b: toxicity.GAIN * sum(v[d] * (softmax[d][1] - softmax[d][0]) for d in dims) for b, v in vector.items()}
+    raw = [sum(w * value[b] for b, w in known[k].items()) + bias[1] - bias[0] for k in apart]
+    return value, raw, [labels[k] for k in apart], bias[1] - bias[0]

@@ -1,8 +1,12 @@
+import sys
 import zlib
 
 import numpy as np
 import pytest
 
+sys.path.insert(0, __file__.rpartition("/")[0])
+
+import plain
 from slopeworks.llm import classifier, toxicity
 
 
@@ -63,6 +67,40 @@ def test_misspellings_share_vectors():
     assert low < 0.3 and seen > 0.7 and unseen > 0.7
 
 
+def test_ngrams_are_of_characters():
+    words = ["été".encode(), "漢字".encode(), b"ab", b"x"]
+    of, bucket = toxicity.buckets_of(words)
+    for k, w in enumerate(words):
+        assert sorted(bucket[of == k].tolist()) == sorted(plain.subwords(w))
+    # A word and its misspelling share what lies before the wrong character, whatever its bytes.
+    one, two = (set(toxicity.buckets_of([w.encode()])[1].tolist()) for w in ("détestable", "détestablé"))
+    assert len(one & two) >= len("détestable") * 2
+
+
+def test_training_against_loops(monkeypatch):
+    monkeypatch.setattr(toxicity, "EPOCHS", 3)
+    monkeypatch.setattr(toxicity, "STEPS", 6)
+    monkeypatch.setattr(toxicity, "BATCH", 8)
+    rng = np.random.default_rng(2)
+    texts = [b" ".join([[b"alpha", b"beta", b"gamma", b"delta", "é".encode() * 4, b"rare%d" % k][i] for i in rng.integers(0, 6, 6)] + [b"bad"] * (k % 2)) for k in range(40)]
+    labels = [k % 2 for k in range(40)]
+    model = toxicity.train([toxicity.bag_of(t) for t in texts], labels)
+    value, raw, known, bias = plain.toxicity_training(texts, labels)
+    top = max(map(abs, value.values()))
+    assert top > 0 and all(abs(float(model.value[b]) - v) < 1e-3 * top for b, v in value.items())
+    assert np.count_nonzero(model.value) <= len(value)
+    # Scale and offset: no better ones near by.
+    loss = lambda a, b: sum(np.log1p(np.exp(-(2 * y - 1) * (a * x + b))) for x, y in zip(raw, known, strict=True)) + 0.005 * ((a - 1) ** 2 + b * b)
+    a, b = model.scale, model.offset - model.scale * bias
+    assert all(loss(a, b) <= loss(a + d, b + e) + 1e-5 for d in (-0.05, 0, 0.05) for e in (-0.05, 0, 0.05))
+    # Rare subwords gone before, with the texts' totals told: the same model.
+    held = np.bincount(np.concatenate([toxicity.bag_of(t)[0] for t in texts]), minlength=2 * toxicity.BUCKETS)
+    bags = [toxicity.bag_of(t) for t in texts]
+    thin = [(i[held[i] >= toxicity.LEAST_TEXTS], n[held[i] >= toxicity.LEAST_TEXTS]) for i, n in bags]
+    again = toxicity.train(thin, labels, [int(n.sum()) for _, n in bags])
+    assert (again.value == model.value).all() and again.scale == model.scale
+
+
 def test_isotonic_is_the_rising_fit():
     total, positive = np.array([4, 0, 4, 2, 2.0]), np.array([1, 0, 3, 1, 2.0])
     assert classifier.isotonic(total, positive).tolist() == pytest.approx([0.25, 0.25, 4 / 6, 4 / 6, 1.0])
