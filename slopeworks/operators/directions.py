@@ -51,6 +51,7 @@ def steps(arcs: DataFrame) -> DataFrame:
     )
 
 
+# Fixed values, here and in step_notes and directions_text: the sheet's words.
 def turn_word(delta: Column) -> Column:
     size, side = F.abs(delta), F.when(delta > 0, "droite").otherwise("gauche")
     return (
@@ -75,9 +76,10 @@ def step_notes(stats: DataFrame, threshold: float = 6.0) -> DataFrame:
     return stats.withColumn("notes", F.array_compact(F.array(F.when((F.col("climb_m") >= 40) & (F.col("max_grade") >= 2.0), climb), F.when(F.col("descent_m") >= 40, descent))))
 
 
-def directions_text(steps: DataFrame, totals: DataFrame) -> DataFrame:
+def directions_text(steps: DataFrame, totals: DataFrame, ends: DataFrame | None = None) -> DataFrame:
     """(route_id, line_no, line): departure, every step (route_id, step_no, name, length_m, delta, notes), arrival with the route's totals.
 
+    ``ends`` (route_id, start_name, end_name) names departure and arrival; a route or name that is not there goes unnamed.
     Lines stay rows: a sheet is written by sorting on (route_id, line_no), not by gathering a route in one value.
     """
     mark = F.when(F.exists("notes", lambda n: n.startswith("montée")), F.lit("⛰ ")).otherwise("↘ ")
@@ -86,6 +88,8 @@ def directions_text(steps: DataFrame, totals: DataFrame) -> DataFrame:
     line = F.concat(F.format_string("%2d", "step_no"), F.lit(". "), instruction, F.lit(" **"), F.col("name"), F.lit("** — "), geo.distance_text(F.col("length_m")), notes)
     body = steps.select("route_id", F.col("step_no").cast("long").alias("line_no"), line.alias("line"))
     n = totals.join(steps.groupBy("route_id").agg((F.max("step_no") + 1).alias("_n")), "route_id")
+    n = n.join(ends, "route_id", "left") if ends is not None else n.withColumns({c: F.lit(None).cast("string") for c in ("start_name", "end_name")})
+    after = lambda c: F.coalesce(F.concat(F.lit(" : "), F.col(c)), F.lit(""))
     minutes, gain = F.format_string("%.0f", F.bround(F.col("time_s") / 60)), F.format_string("%.0f", F.bround(F.round("gain_m", 6)))  # whatever the order of the sum
-    arrival = F.concat(F.format_string("%2d", "_n"), F.lit(". Arrivée — total "), geo.distance_text(F.col("length_m")), F.lit(", "), minutes, F.lit(" min, D+ "), gain, F.lit(" m"))
-    return body.unionByName(n.select("route_id", F.lit(0).cast("long").alias("line_no"), F.lit("Départ").alias("line"))).unionByName(n.select("route_id", F.col("_n").cast("long").alias("line_no"), arrival.alias("line")))
+    arrival = F.concat(F.format_string("%2d", "_n"), F.lit(". Arrivée"), after("end_name"), F.lit(" — total "), geo.distance_text(F.col("length_m")), F.lit(", "), minutes, F.lit(" min, D+ "), gain, F.lit(" m"))
+    return body.unionByName(n.select("route_id", F.lit(0).cast("long").alias("line_no"), F.concat(F.lit("Départ"), after("start_name")).alias("line"))).unionByName(n.select("route_id", F.col("_n").cast("long").alias("line_no"), arrival.alias("line")))

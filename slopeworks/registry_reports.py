@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from slopeworks.jobs import build_network
 from slopeworks.operators import directions, profile, reports, routes, search
-from slopeworks.operators.network import written
+from slopeworks.operators.network import scratch, written
 from slopeworks.registry import GRADED, RUNS, SPEED, SQL, _access, query
-from slopeworks.registry_routes import directions_text
+from slopeworks.registry_routes import directions_text, gpx_lines, union_features
 from slopeworks.registry_search import _points, _rounded, _solve
+from slopeworks.sources import files
 from slopeworks.sources.fixtures import view
 
 TIERS = f"""{GRADED}, {RUNS}, {SPEED},
@@ -76,6 +79,25 @@ def _ends(spark, d):
     return ends.drop("src", "dst")
 
 
+FILES = f"""with {TIERS}, js as (select req_id, tier, lead(tier) over (partition by req_id order by tier) is null as last, '{{"tier_pct":' || tier || ',"length_m":' || {_fixed('length_m')} || ',"detour_pct":' || {_fixed('detour_pct', 1)} || ',"max_grade_pct":' || {_fixed('max_grade_pct', 1)}
+  || ',"steep_len_m":' || {_fixed('steep_len_m')} || ',"gain_m":' || {_fixed('gain_m')} || ',"loss_m":' || {_fixed('loss_m')} || ',"time_s":' || {_fixed('time_s')} || ',"same_as_tier":' || coalesce(cast(same_as_tier as varchar), 'null') || ',"png":' || case when same_as_tier is null then '"' || {SLUG} || '.png"' else 'null' end || '}}' as line from so),
+fl as (select 'track_' || track_id || '.gpx' as file, part as a, 0 as b, line_no as c, line from ({SQL['gpx_lines']})
+union all select 'track_' || track_id || '.geojson', 0, 0, line_no, line from ({SQL['union_features']})
+union all select 'request_' || req_id || '_rapport.md', section, coalesce(tier, -1), line_no, line from ({SQL['route_report']})
+union all select 'request_' || req_id || '_resume.json', 1, tier, 0, line || case when last then '' else ',' end from js
+union all select 'request_' || req_id || '_resume.json', 0, 0, 0, '{{"variants":[' from js where last union all select 'request_' || req_id || '_resume.json', 2, 0, 0, ']}}' from js where last)
+select file, md5(string_agg(line, chr(10) order by a, b, c) || chr(10)) as md5, cast(count(*) as bigint) as n_lines from fl group by file"""
+
+
+@query(FILES)
+def route_files(spark, d):
+    """Track, features, report and summary of every route and request as files, written to the shared folder and read back."""
+    path = f"{scratch(spark)}/route-files-{uuid.uuid4().hex}"
+    reports.write_routes(path, gpx_lines(spark, d), union_features(spark, d), route_report(spark, d), reports.summary_json(_solved(spark, d)))
+    back = files.read_files(spark, path)
+    return back.where("file <> '_SUCCESS'").select("file", F.md5("text").alias("md5"), (F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))).cast("long").alias("n_lines"))
+
+
 @query(f"""select route_id, 'sheet' as part, line_no, line from ({SQL['directions_text']}) union all
 select track_id, 'track', seq, printf('<trkpt lat="%.6f" lon="%.6f"><ele>%.1f</ele></trkpt>', lat, lon, round(elev_m, 1)) from ({SQL['assemble_points']})""")
 def describe_routes(spark, d):
@@ -86,19 +108,32 @@ def describe_routes(spark, d):
     return sheet.unionByName(points.select(F.col("track_id").alias("route_id"), F.lit("track").alias("part"), F.col("seq").alias("line_no"), line.alias("line")))
 
 
+def _named(arcs, spark, d):
+    """The arcs of routes (route_id, arc_seq, edge_id, length_m) with the names and classes of their streets."""
+    return arcs.join(view(spark, d, "fx_edge_names"), "edge_id", "left").select("route_id", F.col("arc_seq").alias("seq"), "name", "road_class", "length_m")
+
+
+#: Windows and tiers of the web page: 3 x 121.
+WEB = ([50, 100, 200], search.Plan(tuple(range(121)), refine=False))
+
+
+def _web(spark, d):
+    """Numbered tiers, samples and steps of every request's different routes, over all windows at once."""
+    windows, plan = WEB
+    nodes, points = view(spark, d, "fx_nodes"), _points(spark, d)
+    arcs = written(search.measured_arcs(nodes, view(spark, d, "fx_edges"), points, windows, plan.threshold))
+    numbered, ways = search.numbered_tiers(written(search.staircases(view(spark, d, "fx_requests"), nodes, arcs, windows, plan)), plan)
+    ways = written(ways.withColumn("route_id", F.concat_ws("/", "req_id", "route_no")))
+    key = [F.split("route_id", "/")[k].cast("long").alias(c) for k, c in enumerate(("req_id", "route_no"))]
+    samples = routes.assemble_points(ways, points).withColumnRenamed("track_id", "route_id").select(*key, "seq", "dist_m", "elev_m", "lon", "lat")
+    steps = directions.steps(_named(ways, spark, d)).select(*key, "step_no", "name", "length_m", "d_start", "d_end")
+    return written(numbered), written(samples), steps
+
+
 @query()
 def web_frontier(spark, d):
     """Windows and tiers of every request, the different routes once, a frontier per window and an extent."""
-    windows = [50, 100]
-    found = written(_solve(spark, d, windows, search.Plan((0, 10, 20), refine=False))[0])
-    numbered = written(search.number_routes(search.describe(found, _points(spark, d), windows)).select("req_id", "window_m", "tier_pct", "route_no"))
-    first = numbered.groupBy("req_id", "route_no").agg(F.min(F.struct("window_m", "tier_pct")).alias("k")).select("req_id", "route_no", "k.*")
-    arcs = found.join(first, ["req_id", "window_m", "tier_pct"]).withColumn("route_id", F.concat_ws("/", "req_id", "route_no"))
-    key = [F.split("route_id", "/")[0].cast("long").alias("req_id"), F.split("route_id", "/")[1].cast("long").alias("route_no")]
-    samples = routes.assemble_points(arcs, _points(spark, d)).withColumnRenamed("track_id", "route_id").select(*key, "seq", "dist_m", "elev_m", "lon", "lat")
-    named = arcs.select("route_id", F.col("arc_seq").alias("seq"), F.lit(None).cast("string").alias("name"), F.lit("residential").alias("road_class"), "length_m")
-    steps = directions.steps(named).select(*key, "step_no", "name", "length_m", "d_start", "d_end")
-    return reports.frontier_export(numbered, samples, steps)
+    return reports.frontier_export(*_web(spark, d))
 
 
 @query()
@@ -106,19 +141,19 @@ def request_reports(spark, d):
     """The report lines of every solved request."""
     found = written(_solve(spark, d, [100], search.Plan((0, 10, 50)))[0])
     solved = written(reports.tiers_of(search.describe(found, _points(spark, d), [100])))
-    return _rounded(reports.route_report(solved, _sheets(found, solved, _points(spark, d)), _ends(spark, d), SOURCES))
+    return _rounded(reports.route_report(solved, _sheets(spark, d, found, solved), _ends(spark, d), SOURCES))
 
 
-def _sheets(found, solved, edge_points):
-    """Direction lines (req_id, tier, line_no, line) of the different routes of every request; the network's arcs have no names."""
+def _sheets(spark, d, found, solved):
+    """Direction lines (req_id, tier, line_no, line) of the different routes of every request."""
     own = solved.where("same_as_tier is null").withColumn("route_id", F.concat_ws("/", "req_id", "tier"))
     arcs = found.withColumn("route_id", F.concat_ws("/", "req_id", "tier_pct")).join(own.select("route_id"), "route_id", "left_semi")
-    points = written(routes.assemble_points(arcs, edge_points))
-    named = arcs.select("route_id", F.col("arc_seq").alias("seq"), F.lit(None).cast("string").alias("name"), F.lit("residential").alias("road_class"), "length_m")
-    steps = written(directions.steps(named))
+    points = written(routes.assemble_points(arcs, _points(spark, d)))
+    steps = written(directions.steps(_named(arcs, spark, d)))
     notes = directions.step_notes(routes.step_stats(profile.windowed_grades(points), steps)).select("route_id", "step_no", "notes")
     turns = routes.turn_bearings(points, steps).select("route_id", "step_no", "delta")
-    lines = directions.directions_text(steps.join(notes, ["route_id", "step_no"]).join(turns, ["route_id", "step_no"]), own.select("route_id", "length_m", "time_s", "gain_m"))
+    ends = own.select("route_id", "req_id").join(_ends(spark, d), "req_id").select("route_id", "start_name", "end_name")
+    lines = directions.directions_text(steps.join(notes, ["route_id", "step_no"]).join(turns, ["route_id", "step_no"]), own.select("route_id", "length_m", "time_s", "gain_m"), ends)
     return lines.join(own.select("route_id", "req_id", "tier"), "route_id").drop("route_id")
 
 

@@ -133,12 +133,13 @@ ln as (select st.*, nt.notes, tn.delta, case when delta > 0 then 'droite' else '
 ct as (select tt.*, k.n from tt join (select route_id, max(step_no) + 1 as n from ln group by route_id) k on k.route_id = tt.route_id)
 select route_id, step_no as line_no, printf('%2d', step_no) || '. ' || case when delta is null then 'Partir sur' when abs(delta) < 25 then 'Continuer tout droit sur' when abs(delta) < 60 then 'Légèrement à ' || side || ' sur' when abs(delta) < 135 then 'Tourner à ' || side || ' sur'
   else 'Faire demi-tour (virage serré à ' || side || ') sur' end || ' **' || name || '** — ' || {_far('length_m')} || case when len(notes) = 0 then '' else '  ' || chr(10) || '    ' || case when starts_with(notes[1], 'montée') then '⛰ ' else '↘ ' end || array_to_string(notes, ' ; ') end as line from ln
-union all select route_id, 0, 'Départ' from ct
-union all select route_id, n, printf('%2d', n) || '. Arrivée — total ' || {_far('length_m')} || printf(', %.0f min, D+ %.0f m', time_s / 60, round(gain_m, 6)) from ct""")
+union all select route_id, 0, 'Départ : début ' || route_id from ct
+union all select route_id, n, printf('%2d', n) || '. Arrivée : fin ' || route_id || ' — total ' || {_far('length_m')} || printf(', %.0f min, D+ %.0f m', time_s / 60, round(gain_m, 6)) from ct""")
 def directions_text(spark, d):
     steps = _steps(spark, d).join(step_notes(spark, d), ["route_id", "step_no"]).join(turn_bearings(spark, d), ["route_id", "step_no"])
     totals = profile.track_metrics(_points(spark, d)).withColumnRenamed("track_id", "route_id")
-    return directions.directions_text(steps, totals)
+    named = totals.select("route_id", F.concat(F.lit("début "), "route_id").alias("start_name"), F.concat(F.lit("fin "), "route_id").alias("end_name"))
+    return directions.directions_text(steps, totals, named)
 
 
 @query(f"""with {ROUTE}, rn as (select distinct track_id, 'R&D <' || track_id || '>' as name from ap)

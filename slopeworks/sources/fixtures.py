@@ -102,6 +102,11 @@ select a.gy as route_id, cast(row_number() over (partition by a.gy order by e.ed
        case when a.gx % 12 >= 4 then concat('rue ', cast(a.gx - a.gx % 4 as varchar(9))) end as name,
        case when a.gx % 2 = 0 then 'service' else 'residential' end as road_class
 from fx_edges e join fx_nodes a on a.node_id = e.u where e.edge_id % 2 = 0
+"""),
+    "fx_edge_names": (('fx_edges', 'fx_nodes'), """
+select e.edge_id, case when (a.gx + a.gy) % 12 < 4 then null when e.edge_id % 2 = 0 then concat('rue ', cast(a.gy as varchar(9))) else concat('avenue ', cast(a.gx as varchar(9))) end as name,
+       case when a.gx % 2 = 0 then 'service' else 'residential' end as road_class
+from fx_edges e join fx_nodes a on a.node_id = e.u
 """),
     "fx_flags": ((), """
 select l_orderkey as seg_id, case when l_suppkey % 2 = 0 then 'is_bridge' else 'is_tunnel' end as flag,
