@@ -478,6 +478,24 @@ def shortest_routes(spark, d):
     return network.shortest_routes(_arcs(spark, d), view(spark, d, "fx_requests"), view(spark, d, "fx_nodes"))
 
 
+CHAINS = _relaxed(budget="case when req_id % 3 = 0 then 1e9 else 3000.0 end")
+
+
+@query(f"""select req_id, t.cost, t.hops, true as starts, true as ends, true as joined, true as known from ({with_views(CHAINS)}) t where t.status = 'found' and t.hops > 0""")
+def route_chains(spark, d):
+    """Every found route added up from its arcs again: metres, arcs, whether it starts and ends where asked, whether each arc begins where the one before ends, and whether the network has its arcs."""
+    arcs, asked = _arcs(spark, d), view(spark, d, "fx_requests")
+    by = Window.partitionBy("req_id").orderBy("arc_seq")
+    own = arcs.select("edge_id", "fwd", F.col("u").alias("_u"), F.col("v").alias("_v"), F.col("length_m").alias("_m"))
+    n = network.shortest_routes(arcs, asked, view(spark, d, "fx_nodes")).select("req_id", "arc_seq", "edge_id", "fwd", "u", "v").join(own, ["edge_id", "fwd"], "left")
+    n = n.withColumns({"_before": F.lag("v").over(by), "_known": F.coalesce((F.col("u") == F.col("_u")) & (F.col("v") == F.col("_v")), F.lit(False))}).join(asked, "req_id")
+    told = {
+        "cost": r(F.sum("_m"), 3), "hops": F.count("*"), "starts": F.min_by("u", "arc_seq") == F.first("src"), "ends": F.max_by("v", "arc_seq") == F.first("dst"),
+        "joined": F.every(F.coalesce(F.col("_before") == F.col("u"), F.col("_before").isNull())), "known": F.every("_known"),
+    }
+    return n.groupBy("req_id").agg(*[c.alias(k) for k, c in told.items()])
+
+
 @query("""with n as (select line_id, 'street ' || (line_id % 7) as name, max(lon) - min(lon) as len, 0.049 as span, line_id % 4 as imp from fx_lines group by line_id)
 select line_id, name, cast(row_number() over (order by imp desc, len desc, name, line_id) as bigint) as rank from n where len >= 0.025 * span qualify rank <= 160""")
 def label_candidates(spark, d):
