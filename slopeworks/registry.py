@@ -105,9 +105,12 @@ def tile_cover(spark, d):
 
 @query("""select vec_id as tile_id, list_transform(embedding, lambda v: round(128 * 256.0 + floor(abs(v) * 100) + 7 / 256.0 - 32768, 6)) as elev from embeddings""")
 def tile_decode(spark, d):
-    e = spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", F.transform("embedding", lambda v: F.floor(F.abs(v) * 100).cast("double")).alias("g"))
+    # In single precision, as entries are: 0.29 times 100 is 29 there and less in double precision.
+    # A whole number above 2^24, an infinity or what is no number is its own floor: floor() gives a bigint, which holds none of them.
+    floor = lambda x: F.when(x < 2.0**24, F.floor(x).cast("double")).otherwise(x.cast("double"))
+    e = spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", F.transform("embedding", lambda v: floor(F.abs(v) * F.lit(100).cast("float"))).alias("g"))
     rgb = e.withColumns({"r": F.transform("g", lambda _: F.lit(128)), "b": F.transform("g", lambda _: F.lit(7))})
-    value = F.zip_with(F.zip_with("r", "g", lambda a, g: a * 256.0 + g), "b", lambda x, b: r(x + b / 256.0 - 32768))
+    value = F.zip_with(F.zip_with("r", "g", lambda a, g: (a * 256.0 + g).cast("float")), "b", lambda x, b: r(x.cast("double") + b / 256.0 - 32768))
     return rgb.select(F.col("vec_id").alias("tile_id"), value.alias("elev"))
 
 
