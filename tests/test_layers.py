@@ -26,6 +26,18 @@ def test_boxes_of_any_size_meet_once(spark):
     assert layers.features_per_request(fd.limit(0), rd).count() == 0 == layers.features_per_request(fd, rd.limit(0)).count()
 
 
+def test_boxes_are_not_sent_to_all_tasks_and_crowds_are_dealt(spark, monkeypatch):
+    monkeypatch.setattr(layers, "REQUESTS_A_CELL", 7)
+    fd = spark.range(300).selectExpr("id", "id / 128D as xmin", "id / 128D + 0.004D as xmax", "id % 7 / 128D as ymin", "id % 7 / 128D + 0.05D as ymax")
+    rd = spark.range(100).selectExpr("id as req_id", "id / 512D as x0", "id / 512D + 2D as x1", "0D as y0", "0.03D as y1")
+    got = layers.features_per_request(fd, rd)
+    plan = got._jdf.queryExecution().optimizedPlan().toString() + got._jdf.queryExecution().sparkPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join" in line and "_task#" in line and "_tasks" not in line.split("_task#")[0]]
+    assert any("SortMergeJoin" in line for line in joins) and not any("BroadcastHashJoin" in line for line in joins)
+    want = sorted((q, p) for q in range(100) for p in range(300) if p / 128 <= q / 512 + 2 and p / 128 + 0.004 >= q / 512 and p % 7 / 128 <= 0.03)
+    assert sorted(tuple(x) for x in got.collect()) == want
+
+
 def test_kind_from_the_head_is_the_decoded_kind(spark):
     point = lambda order, code: struct.pack(f"{order}BI2d", order == "<", code, 1.0, 2.0)
     raws = [point("<", 1), point(">", 1), struct.pack("<BII", 1, 2, 0), struct.pack(">BII", 0, 6, 0), b"", None, b"\x01\x63\x00\x00\x00", b"\x01\x02"]
