@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from slopeworks.operators import profile
+from slopeworks.operators import profile, routes
 
 
 def tracks(spark, seed=1):
@@ -60,3 +60,12 @@ def test_no_key_holds_more_than_a_chunk_and_what_is_around(spark):
     cut = profile._chunked(tracks(spark), 50.0, 200.0)
     most = cut.where("track_id = 1").groupBy("_chunk").count().agg(F.max("count")).first()[0]
     assert most < 900 / 8 and cut.where("track_id = 1 and _own").count() == 900
+
+
+def test_edges_carry_no_places_through_the_sorts(spark):
+    points = spark.range(60).selectExpr("id div 6 as edge_id", "id % 6 as seq", "id % 6 * 10D as dist_m", "id * 7 % 5 * 1D as elev_m", "id * 1D as lon", "id * 2D as lat")
+    got = routes.edge_metrics(points)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" in plan and "lon#" not in plan and "lat#" not in plan
+    # Tasks of the sorts are as many as asked for, not merged by their few bytes.
+    assert "RepartitionByExpression [track_id" in plan and got.count() == 10
