@@ -86,3 +86,31 @@ def test_a_sweep_cuts_as_each_piece_alone(spark):
     want = told(routes.line_substring(alone, F.col("from_at"), F.col("to_at")).withColumnRenamed("line_id", "edge_id"))
     got = told(routes.cut_lines(v, p))
     assert got == want and 2 * len(pieces) * 0.5 < len(got) <= len(vertices) + 2 * len(pieces)
+
+
+def test_access_by_rows_is_access_by_arrays(spark):
+    from pyspark.sql import functions as F
+
+    from slopeworks.operators import network
+
+    kinds = [(t, h, u, g, m) for t in ("denied", "allowed", "designated", "other") for h in (None, "forward", "backward") for u in (True, False) for g in (True, False) for m in (None, "bicycle", "foot")]
+    rows = [(s, k, *kinds[(s * 31 + k * k * 17 + s * k * 7) % len(kinds)]) for s in range(300) for k in range(s % 6 + 1)]
+    rules = spark.createDataFrame(rows, "seg_id long, ord long, access_type string, heading string, has_during boolean, has_recognized boolean, mode string")
+    listed = rules.groupBy("seg_id").agg(F.array_sort(F.collect_list(F.struct("ord", "access_type", "heading", "has_during", "has_recognized", "mode"))).alias("r")).select("seg_id", network.bike_access(F.col("r")).alias("a")).select("seg_id", "a.*")
+    want = sorted(tuple(x) for x in listed.collect())
+    assert sorted(tuple(x) for x in network.access_of_rules(rules).collect()) == want
+    assert len(set(x[1:] for x in want)) > 6
+
+
+def test_nodes_alone_are_those_of_the_network_without_its_grades(spark, monkeypatch):
+    lon, lat = 2.39, 48.85
+    segments = spark.createDataFrame([(s, "road", "residential", None) for s in range(8)], "seg_id long, subtype string, class string, subclass string")
+    vertices = spark.createDataFrame([(s, k, lon + 0.001 * k - 0.002 * (s == 5), lat + 0.0001 * s) for s in range(8) for k in range(3)], "seg_id long, seq int, lon double, lat double")
+    connectors = spark.createDataFrame([(s, at, (s * 3 + i) % 11) for s in range(8) for i, at in enumerate((0.0, 0.25, 0.25, 1.0))], "seg_id long, at double, connector_id long")
+    access = spark.createDataFrame([(4, True, True, False, False), (6, False, True, True, False)], "seg_id long, allow boolean, fwd boolean, bwd boolean, explicit boolean")
+    flags = spark.createDataFrame([(4, "is_bridge", None, None)], "seg_id long, flag string, from_at double, to_at double")
+    ground = tiles(spark, lon, lat, 0.2)
+    want = sorted(tuple(x) for x in build_network.build_network(segments, vertices, connectors, access, flags, ground, side=SIDE, zoom=Z)["nodes"].collect())
+    monkeypatch.setattr(build_network.routes, "edge_metrics", None)
+    monkeypatch.setattr(build_network.profile, "smooth", None)
+    assert len(want) > 5 and sorted(tuple(x) for x in build_network.build_nodes(segments, vertices, connectors, access, ground, side=SIDE, zoom=Z).collect()) == want
