@@ -69,3 +69,9 @@ def test_edges_carry_no_places_through_the_sorts(spark):
     assert "Window" in plan and "lon#" not in plan and "lat#" not in plan
     # Tasks of the sorts are as many as asked for, not merged by their few bytes.
     assert "RepartitionByExpression [track_id" in plan and got.count() == 10
+
+
+def test_only_tracks_of_several_chunks_are_asked_for_their_ends(spark):
+    points = spark.range(60).selectExpr("id div 6 as track_id", "id % 6 as seq", "id % 6 * 10D as dist_m", "id * 7 % 5 * 1D as elev_m")
+    got = profile.windowed_grades(points)
+    assert "LeftSemi" in got._jdf.queryExecution().optimizedPlan().toString() and got.count() == 60
