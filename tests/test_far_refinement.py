@@ -1,0 +1,75 @@
+"""Routes do not depend on whether a task holds their field: far ones are refined too, and of equal ways all searches take the same one."""
+
+import random
+
+import pandas as pd
+from pyspark.sql import functions as F
+
+from slopeworks.operators import network, search
+
+
+def level_grid(spark, wide, high, seed):
+    """A grid whose arcs have two lengths, so that many ways are equally long."""
+    rng = random.Random(seed)
+    up = {n: float(rng.randrange(7)) for n in range(wide * high)}
+    pairs = [(n, n + 1) for n in up if n % wide < wide - 1] + [(n, n + wide) for n in up if n + wide in up]
+    edges = [(i, u, v, float(rng.choice((100, 150))), up[v] - up[u], True, i % 7 != 0, rng.choice((1.0, 1.3))) for i, (u, v) in enumerate(pairs)]
+    at = {n: (2.0 + n % wide * 0.001, 48.0 + n // wide * 0.001) for n in up}
+    points = [(i, k, w * k / 5, up[u] + de * k / 5 + (rng.randrange(3) if 0 < k < 5 else 0), *at[u]) for i, u, _, w, de, *_ in edges for k in range(6)]
+    return (
+        spark.createDataFrame([(n, *at[n]) for n in up], "node_id long, lon double, lat double"),
+        spark.createDataFrame(edges, "edge_id long, u long, v long, length_m double, de double, allow_fwd boolean, allow_bwd boolean, pref double"),
+        spark.createDataFrame(points, "edge_id long, seq long, dist_m double, elev_m double, lon double, lat double"),
+    )
+
+
+def test_far_routes_are_refined_as_those_of_one_field(spark, monkeypatch):
+    nodes, edges, points = level_grid(spark, 5, 4, 3)
+    asked = spark.createDataFrame([(1, 0, 19), (2, 15, 4), (4, 2, 16)], "req_id long, src long, dst long")
+    plan = search.Plan((0, 80), precision=3.0, threshold=2.0, steep_weights=(5.0,), grade_weights=(2.0, 0.0), class_weights=(0.3,))
+    arcs = network.written(search.measured_arcs(nodes, edges, points, [200], plan.threshold))
+
+    def solved():
+        found = network.written(search.of_tiers(search.staircases(asked, nodes, arcs, [200], plan, 0.002), plan))
+        soft = search.refined(found, asked, nodes, arcs, points, [200], plan, 0.002)
+        key = lambda df: sorted(tuple(round(x, 6) if isinstance(x, float) else x for x in r) for r in df.select("req_id", "tier_pct", "arc_seq", "edge_id", "fwd", "cap_pct", "budget_m").collect())
+        return key(found), key(soft), {r[0] for r in found.select("level").distinct().collect()}
+
+    plain, soft, levels = solved()
+    assert search.FAR not in levels and soft != plain
+    monkeypatch.setattr(search, "FIELD_ARCS", 30)
+    far_plain, far_soft, levels = solved()
+    assert levels == {search.FAR}
+    assert far_plain == plain
+    assert far_soft == soft
+
+
+def test_equal_ways_do_not_depend_on_cells(spark):
+    nodes, edges, _ = level_grid(spark, 7, 7, 1)
+    arcs = network.arcs_from_edges(edges).withColumn("length_m", F.lit(100.0))
+    asked = spark.createDataFrame([(k, k * 5 % 49, 48 - k * 3 % 49) for k in range(12)], "req_id long, src long, dst long")
+    of = lambda cell: sorted(tuple(r) for r in network.shortest_routes(arcs, asked, nodes, cell=cell).select("req_id", "arc_seq", "edge_id", "fwd").collect())
+    assert of(0.002) == of(0.003) == of(10.0)
+
+
+def test_a_route_does_not_depend_on_what_is_softened_beside_it():
+    """Beside trips of a large budget, the ways of a small one lead no farther than its own budget."""
+    rng, rows = random.Random(5), []
+    wide, high = 9, 8
+    up = {n: float(rng.randrange(9)) for n in range(wide * high)}
+    pairs = [(n, n + 1) for n in up if n % wide < wide - 1] + [(n, n + wide) for n in up if n + wide in up]
+    for e, (u, v) in enumerate(pairs):
+        long = float(rng.randint(70, 130))
+        for fwd, a, b in ((True, u, v), (False, v, u)):
+            grade = 100 * (up[b] - up[a]) / long
+            rows.append((e, fwd, a, b, long, grade, grade, long if grade > 2 else 0.0, 1.0, [0.0, long], [up[a], up[b]]))
+    arcs = pd.DataFrame(rows, columns=["edge_id", "fwd", "u", "v", "length_m", "mean_grade", "grade", "steep_m", "pref", "dist", "elev"])
+    asks = [(k, rng.randrange(36), 36 + rng.randrange(36)) for k in range(40)]
+    trips = pd.DataFrame(asks, columns=["req_id", "src", "dst"]).assign(window_m=100, tier_pct=10, cap_pct=12.0, bar_pct=12.0)
+    field = search._Field(arcs)
+    trips["shortest_m"] = [field.ahead(*(trips.loc[[k], c].to_numpy() for c in ("src", "dst")), 1.0)[0, field.out.place(trips.loc[[k], "src"].to_numpy())][0] for k in trips.index]
+    trips["budget_m"] = trips["shortest_m"] * 1.1
+    beside = trips.head(1).assign(req_id=99, tier_pct=300, budget_m=trips["shortest_m"][0] * 4)
+    soften = search._softened(search.Plan((10,)))
+    told = lambda asked: soften(asked, arcs).query("req_id < 99").sort_values(["req_id", "rank", "arc_seq"]).reset_index(drop=True)
+    pd.testing.assert_frame_equal(told(trips), told(pd.concat([trips, beside])))
